@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, remove, written
 
 DEPTH = 3
 WILD = "*"
@@ -67,10 +67,12 @@ def templates(labelled: DataFrame, branches: int = 20, least_rows: int = 5, apar
     """From host, s0.. and blocked (1, 0 or null: unlabelled) to a row per distinct segments: host, s0.., t0.. (the segments with merged ones as wildcards) and the counts n, known, bad.
 
     Each level is one aggregation by (host, template so far), which combines on the map side, and one join of distinct
-    branches, never of rows.
+    branches, never of rows. The tree is written after each level: it is read three times by the next one, and its plan
+    would otherwise triple with each.
     """
     names = [f"s{d}" for d in range(DEPTH)]
     tree = labelled.groupBy("host", *names).agg(F.count("*").alias("n"), F.count("blocked").alias("known"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
+    tree, path = written(tree, "url-tree")
     for d in range(DEPTH):
         above = [f"t{i}" for i in range(d)]
         child = tree.groupBy("host", *above, f"s{d}").agg(F.sum("n").alias("cn"), F.sum("known").alias("ck"), F.sum("bad").alias("cb"))
@@ -82,7 +84,9 @@ def templates(labelled: DataFrame, branches: int = 20, least_rows: int = 5, apar
         many = (F.col("children") > branches) | (F.col("rows") < least_rows * F.col("children"))
         merged = many & (F.col("children") > 1) & alike
         kind = child.join(node, ["host", *above]).select("host", *above, f"s{d}", F.when(merged, F.lit(WILD)).otherwise(F.col(f"s{d}")).alias(f"t{d}"))
-        tree = tree.join(kind, ["host", *above, f"s{d}"])
+        old = path
+        tree, path = written(tree.join(kind, ["host", *above, f"s{d}"]), "url-tree")
+        remove(tree.sparkSession, old)
     return tree
 
 
@@ -98,7 +102,7 @@ def judge(pages: DataFrame, rules: dict[str, str], purity: float = 0.8, prior: f
     # Purity from the host down: each level's share is smoothed towards that of the level above.
     share = F.lit(0.5)
     keys = ["host", *[f"t{d}" for d in range(DEPTH)]]
-    leaf = tree.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+    leaf, _ = written(tree.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad")), "url-templates")
     joined = leaf.select(*keys)
     for d in range(DEPTH + 1):
         level = keys[: d + 1]
