@@ -1 +1 @@
-"""functions."""
+"""Column functions: text, titles, urls, times, scores and anchors."""

@@ -1 +1 @@
-"""operators."""
+"""Operators over DataFrames: predicates, deduplication, relations, joins, selection, clustering."""
