@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_title, grams, title_parts, title_similarity
 from ..functions.urls import merge_key
+from .lineage import settled
 
 METRICS = ("hn_score", "hn_comments", "github_stars", "hf_likes", "hf_downloads", "cross_source_count")
 
@@ -68,6 +69,7 @@ def similar_titles(classes: DataFrame, threshold: float, inclusive: bool = False
     prefix filter keeps; or, for titles that hold each other, the rarest run of characters of the shorter one, which must
     stand in the longer. No pair above the threshold is missed.
     """
+    classes = settled(classes)
     flat = classes.select("class", "parts.words", "parts.pairs", "parts.canon", "parts.cjk", "parts.clean")
     small = F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")
 

@@ -489,12 +489,14 @@ def diversified_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_pairs(pools: DataFrame) -> DataFrame:
-    """Pairs of a pool with a similar title, by the similarity join of all titles."""
-    parts = pools.select("run", "id", text.title_parts(F.col("title")).alias("p"), F.explode(text.words(text.clean_title(F.col("title")))).alias("word"))
-    left, right = parts.select("run", "word", F.col("id").alias("a"), F.col("p").alias("pa")), parts.select("run", "word", F.col("id").alias("b"), F.col("p").alias("pb"))
-    met = left.join(right, ["run", "word"]).where("a < b").dropDuplicates(["run", "a", "b"])
+    """Pairs of a pool that share a word and have similar titles: ids meet first, then each title's parts are looked up."""
+    met = pools.select("run", "id", F.explode(text.words(text.clean_title(F.col("title")))).alias("word"))
+    ids = met.withColumnRenamed("id", "a").join(met.withColumnRenamed("id", "b"), ["run", "word"]).where("a < b").select("run", "a", "b").distinct()
+    parts = pools.groupBy("run", "id").agg(F.first(text.title_parts(F.col("title"))).alias("p"))
+    of = lambda side: parts.select("run", F.col("id").alias(side), F.col("p").alias(f"p{side}"))
     sim = text.title_similarity(F.col("pa"), F.col("pb"))
-    return met.where(sim > 0.4).select("run", "a", "b", F.when(sim > 0.7, "same_event").otherwise("review").alias("relation"))
+    judged = ids.join(of("a"), ["run", "a"]).join(of("b"), ["run", "b"]).where(sim > 0.4)
+    return judged.select("run", "a", "b", F.when(sim > 0.7, "same_event").otherwise("review").alias("relation"))
 
 
 @query()
