@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_slices
-from .tokens import encode_texts
+from .tokens import SLICE, chunk_cache, encode_texts
 
 SHARD_TOKENS = 1 << 20
 BLOCK_BITS = 512
@@ -41,15 +41,18 @@ class WaveletMatrix:
         values = values.astype(np.uint16 if levels <= 16 else np.uint32)
         planes, zeros, ranks = [], [], []
         for level in range(levels - 1, -1, -1):
-            bits = ((values >> level) & 1).astype(bool)
+            bits = (values & values.dtype.type(1 << level)) != 0
             plane = np.zeros(-(-max(n, 1) // BLOCK_BITS) * (BLOCK_BITS // 8), np.uint8)
             packed = np.packbits(bits, bitorder="little")
             plane[: len(packed)] = packed
             counts = np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK_BITS // 64).sum(axis=1, dtype=np.uint32)
             planes.append(plane)
             ranks.append(np.concatenate([[0], np.cumsum(counts)]).astype(np.uint32))
-            values = np.concatenate([values[~bits], values[bits]])
-            zeros.append(n - int(bits.sum()))
+            ones = np.count_nonzero(bits)
+            dealt = np.empty_like(values)
+            dealt[: n - ones], dealt[n - ones :] = values[~bits], values[bits]
+            values = dealt
+            zeros.append(n - ones)
         return cls(n, planes, zeros, ranks)
 
     def to_bytes(self) -> bytes:
@@ -153,7 +156,7 @@ def write_tokens(docs: DataFrame, to: str, path: str, end_id: int, shard_tokens:
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        part, cache, state = TaskContext.get().partitionId(), {}, {"shard": 0, "first": 0}
+        part, cache, state = TaskContext.get().partitionId(), chunk_cache(path), {"shard": 0, "first": 0}
         ids, held, size = [], [], 0
 
         def flush():
@@ -169,7 +172,7 @@ def write_tokens(docs: DataFrame, to: str, path: str, end_id: int, shard_tokens:
 
         for batch in batches:
             column, names = batch.column("text"), batch.column("id")
-            for start, stop in text_slices(column):
+            for start, stop in text_slices(column, SLICE):
                 made = encode_texts(path, column.slice(start, stop - start), cache, end)
                 for i, doc in zip(names.slice(start, stop - start).to_pylist(), made, strict=True):
                     if held and size + (len(doc) >> 2) > shard_tokens:
