@@ -29,6 +29,8 @@ GRAMS = (5, 4, 3, 2, 1)
 #: Labelled rows per language that are fitted, in expectation: a deterministic choice by hash of the id.
 FIT_ROWS = 2000
 CACHE_WORDS = 200_000
+#: Languages whose shares are broadcast; with more of them, rows and shares are joined by a shuffle.
+MOST_BROADCAST = 10_000
 
 
 @dataclass
@@ -64,7 +66,10 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = 30_000, max_
     Which rows are taken depends on xxhash64 of doc_id alone, and on the count of each language over all rows.
     """
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    share = rows.groupBy("lang").agg((F.lit(float(fit_rows)) / F.count("*")).alias("share"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = sizes.select("lang", (F.lit(float(fit_rows)) / F.col("rows")).alias("share"))
+    if sizes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        share = F.broadcast(share)
     drawn = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     taken = rows.where(F.col("text").isNotNull()).join(share, "lang").where(drawn).select("lang", "text")
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
@@ -78,7 +83,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = 30_000, max_
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item"))
     best = both.where((F.col("n") >= 2)).withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("size") == 0, max_words).otherwise(max_grams))
     found, sums = best.select("lang", "item", "size", "n").toPandas(), totals.toPandas()
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1).collect()
+    frequent = sizes.orderBy(F.desc("rows"), "lang").limit(1).collect()
     if path:
         from .common import remove
 
