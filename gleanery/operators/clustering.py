@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _with_partners(pools: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+def with_partners(pools: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Each row of a pool with the rows related to it: array<struct<other, relation>>. pairs: keys, a, b, relation, each pair once."""
     both = pairs.select(*keys, F.col("a").alias("id"), F.struct(F.col("b").alias("other"), "relation").alias("p")).unionByName(pairs.select(*keys, F.col("b").alias("id"), F.struct(F.col("a").alias("other"), "relation").alias("p")))
     near = both.groupBy(*keys, "id").agg(F.collect_list("p").alias("partners"))
@@ -31,7 +31,7 @@ def leaders(pools: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
                 order.append(row.id)
         return f.assign(leader=[leader[i] for i in f["id"]])[[*keys, "id", "leader"]]
 
-    made = _with_partners(pools, pairs.withColumn("relation", F.lit("same")), keys)
+    made = with_partners(pools, pairs.withColumn("relation", F.lit("same")), keys)
     schema = ", ".join(f"`{c}` {made.schema[c].dataType.simpleString()}" for c in [*keys, "id"]) + f", leader {made.schema['id'].dataType.simpleString()}"
     return made.groupBy(*keys).applyInPandas(run, schema)
 
@@ -73,7 +73,7 @@ def events(pools: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
         state = ["quarantined" if i in quarantined else "event" if event[i] == i else "merged" for i in f["id"]]
         return f.assign(event=[event.get(i) for i in f["id"]], state=state).astype({"event": "object"})[[*keys, "id", "event", "state"]]
 
-    made = _with_partners(pools, pairs, keys)
+    made = with_partners(pools, pairs, keys)
     kind = made.schema["id"].dataType.simpleString()
     schema = ", ".join(f"`{c}` {made.schema[c].dataType.simpleString()}" for c in [*keys, "id"]) + f", event {kind}, state string"
     return made.groupBy(*keys).applyInPandas(run, schema)
@@ -100,7 +100,7 @@ def accepted_duplicates(pools: DataFrame, pairs: DataFrame, keys: list[str]) ->
         chosen = set(accepted)
         return f.assign(accepted=[i in chosen for i in f["id"]], because_of=pd.Series([why.get(i) for i in f["id"]], index=f.index, dtype="object"))[[*keys, "id", "accepted", "because_of"]]
 
-    made = _with_partners(pools, pairs.withColumn("relation", F.lit("same")), keys).join(pools.select(*keys, "id", "score"), [*keys, "id"])
+    made = with_partners(pools, pairs.withColumn("relation", F.lit("same")), keys).join(pools.select(*keys, "id", "score"), [*keys, "id"])
     kind = made.schema["id"].dataType.simpleString()
     schema = ", ".join(f"`{c}` {made.schema[c].dataType.simpleString()}" for c in [*keys, "id"]) + f", accepted boolean, because_of {kind}"
     return made.groupBy(*keys).applyInPandas(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import anchors, scoring, text, times, urls
-from ..operators import clustering, dedup, joins, predicates, relation, selection
+from ..operators import clustering, dedup, editing, joins, predicates, relation, selection
 from ..streaming import state
 from . import analytics
 from .candidates import candidate_order, collect_candidates, retain, score
@@ -517,6 +517,23 @@ def accepted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.accepted_duplicates(pools, pool_pairs(pools), ["run"])
 
 
+def draft_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools with what their drafts are worth: short titles are built again, titles without evidence for good rejected."""
+    pools = edition_pools(spark, sf_dir)
+    reason = F.when(F.length("title") < 12, "source_missing_event_detail").when(F.col("title").rlike("[0-9]"), "unsupported_number").otherwise("")
+    second = F.when(reason == "unsupported_number", F.lit("")).otherwise(reason)
+    return pools.select(
+        "run", "id", "rank", "title", (F.col("rank") + F.when(F.col("primary"), 0).otherwise(100)).alias("strength"), (F.col("topic") == "github").alias("opinion"),
+        (F.col("topic") == "hn").alias("post"), F.col("source").alias("author"), F.array(editing.attempt(reason, 1), editing.attempt(second, 2)).alias("attempts"),
+    )
+
+
+@query()
+def edited_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pools = draft_pools(spark, sf_dir)
+    return editing.edit(pools, pool_pairs(pools), ["run"])
+
+
 @query()
 def related_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).where("published_at IS NOT NULL")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import text
-from gleanery.operators import clustering, relation, selection
+from gleanery.operators import clustering, editing, relation, selection
 from gleanery.plans import queries as Q
 
 SMALL = "/root/testdata/sf0.001"
@@ -70,6 +70,61 @@ def test_leaders_and_events(spark):
     assert kept == {1: True, 2: False, 3: True, 4: True, 5: False, 6: False}
 
 
+GOOD, AGAIN, BAD = {"action": "accept", "reason": ""}, {"action": "rebuild", "reason": "weak"}, {"action": "reject", "reason": "bad"}
+
+
+def edited(spark, rows, pairs=(), **limits):
+    """rows: opinion, post, author, attempts; the rank is the place, and the strength too unless a fifth value gives it."""
+    made = [(1, i, i, r[4] if len(r) > 4 else i, *r[:4]) for i, r in enumerate(rows, 1)]
+    pools = spark.createDataFrame(made, "run int, id long, rank int, strength int, opinion boolean, post boolean, author string, attempts array<struct<action string, reason string>>")
+    links = spark.createDataFrame([(1, *p) for p in pairs], "run int, a long, b long, relation string")
+    return {r["id"]: (r["state"], r["reason"], r["because_of"]) for r in editing.edit(pools, links, ["run"], editing.Limits(**limits)).collect()}
+
+
+DONE = ("accepted", "", None)
+
+
+def test_edit_retries_once(spark):
+    rows = [(False, False, "", [AGAIN, GOOD]), (False, False, "", [AGAIN, AGAIN]), (False, False, "", [BAD]), (False, False, "", None), (False, False, "", [AGAIN])]
+    assert edited(spark, rows) == {1: DONE, 2: ("rejected", "weak", None), 3: ("rejected", "bad", None), 4: ("rejected", editing.INVALID, None), 5: ("rejected", editing.INVALID, None)}
+
+
+def test_edit_keeps_quotas(spark):
+    opinion, post, fact = (True, False, "Ann", [GOOD]), (False, True, "", [GOOD]), (False, False, "", [GOOD])
+    assert edited(spark, [opinion, opinion, (True, False, "", [GOOD]), fact], batch=1) == {1: DONE, 2: ("rejected", "opinion_author_limit", None), 3: ("rejected", "selection_rejected", None), 4: DONE}
+    assert edited(spark, [post, post, fact], posts=1, wanted_posts=1) == {1: DONE, 2: ("rejected", "x_limit", None), 3: DONE}
+    assert edited(spark, [post, fact], posts=0) == {1: ("rejected", "x_limit", None), 2: DONE}
+    # A fact comes before an opinion of a better rank as long as facts are owed.
+    assert edited(spark, [opinion, fact, fact], items=2, facts=2) == {1: ("not_selected", "target_reached", None), 2: DONE, 3: DONE}
+
+
+def test_edit_removes_reports_of_one_event(spark):
+    fact = lambda strength: (False, False, "", [GOOD], strength)
+    assert edited(spark, [fact(2), fact(1), fact(3)], [(1, 2, "same_event"), (2, 3, "review")]) == {1: ("rejected", "semantic_duplicate", 2), 2: DONE, 3: ("rejected", "semantic_duplicate_unresolved", 2)}
+    # When all places are taken, only a stronger report of an accepted event still gets in.
+    assert edited(spark, [fact(5), fact(4), fact(1)], [(1, 3, "same_event")], items=1) == {1: ("rejected", "semantic_duplicate", 3), 2: ("not_selected", "target_reached", None), 3: DONE}
+    # A post that waits takes the place of one that is gone.
+    posts = [(False, True, "", [GOOD], s) for s in (3, 9)] + [fact(1)]
+    assert edited(spark, posts, [(1, 3, "same_event")], posts=1) == {1: ("rejected", "semantic_duplicate", 3), 2: DONE, 3: DONE}
+
+
+def test_edited_edition_keeps_its_promises(spark):
+    pools = Q.draft_pools(spark, SMALL)
+    rows = {(r["run"], r["id"]): r for r in pools.collect()}
+    found = Q.edited_edition(spark, SMALL).collect()
+    assert {(r["run"], r["id"]) for r in found} == set(rows) and len(found) == len(rows)
+    kept = [rows[r["run"], r["id"]] for r in found if r["state"] == "accepted"]
+    limits = editing.Limits()
+    for run in {r["run"] for r in found}:
+        mine = [r for r in kept if r["run"] == run]
+        authors = [r["author"] for r in mine if r["opinion"]]
+        assert len(mine) <= limits.items and sum(r["post"] for r in mine) <= limits.posts and len(authors) == len(set(authors)) <= limits.opinions
+    accepted = {(r["run"], r["id"]) for r in kept}
+    pairs = Q.pool_pairs(pools).collect()
+    assert not [p for p in pairs if (p["run"], p["a"]) in accepted and (p["run"], p["b"]) in accepted]
+    assert accepted
+
+
 def test_related_pairs_equal_all_pairs(spark):
     c = Q.candidates(spark, SMALL).where("published_at IS NOT NULL")
     rows = c.select("id", "title", F.col("summary").alias("evidence"), "url", F.col("source").alias("thread_id"), F.col("id").cast("string").alias("item_id"), "published_at", F.lit(None).cast("array<string>").alias("person_candidates"))
