@@ -25,16 +25,29 @@ def collapse(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(known(value), " ", " "), r"\s+", " "))
 
 
+def unescape(value: Column) -> Column:
+    """Text with the commonest character references resolved, once."""
+    out = known(value)
+    for reference, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#x2F;", "/"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = F.replace(out, F.lit(reference), F.lit(character))
+    return out
+
+
 def strip_tags(value: Column) -> Column:
     return collapse(F.regexp_replace(known(value), r"<[^>]+>", ""))
 
 
-def visible_text(html: Column) -> Column:
-    """Text outside scripts, styles, templates and drawings; a tag counts as a space."""
+def without_hidden(html: Column) -> Column:
+    """Markup without scripts, styles, templates and drawings."""
     out = known(html)
     for tag in ("script", "style", "noscript", "template", "svg"):
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    return collapse(F.regexp_replace(out, r"(?s)<[^>]*>", " "))
+    return out
+
+
+def visible_text(html: Column) -> Column:
+    """Text outside of what is hidden; a tag counts as a space."""
+    return collapse(F.regexp_replace(without_hidden(html), r"(?s)<[^>]*>", " "))
 
 
 def clean_title(value: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import anchors, scoring, text, times, urls
+from ..functions import anchors, drafts, forum, scoring, text, times, urls
 from ..operators import clustering, dedup, editing, joins, predicates, relation, selection
 from ..streaming import state
 from . import analytics
@@ -398,6 +398,32 @@ def source_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("total"), F.count("ts").alias("dated"), F.max("ts").alias("latest"), F.count_if(F.col("ts") >= F.lit("2024-01-28").cast("timestamp_ntz")).alias("last_days"))
 
 
+@query("""
+SELECT page_id, regexp_replace(url, '#.*$', '') AS article, 'https://news.ycombinator.com/item?id=' || page_id AS comments, page_id % 3 = 0 AS ambiguous, 'note ' || page_id AS detail
+FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, '', 'https://news.ycombinator.com/item?id=' || page_id, true, 'note ' || page_id FROM pages WHERE page_id % 3 = 0""")
+def forum_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as a post of a forum; every third one shows another address than it leads to."""
+    p = table(spark, sf_dir, "pages")
+    shown = F.when(F.col("page_id") % 3 == 0, "https://other.example.com/").otherwise(F.col("url"))
+    post = F.concat(F.lit('<p>Article URL: <a href="'), "url", F.lit('">'), shown, F.lit('</a></p><p>note '), F.col("page_id").cast("string"), F.lit('</p><p>Comments URL: <a href="https://news.ycombinator.com/item?id='), F.col("page_id").cast("string"), F.lit('">thread</a></p><p>Points: 7</p><p># Comments: 3</p><script>x</script>'))
+    return p.select("page_id", forum.envelope(post).alias("e")).select("page_id", "e.*")
+
+
+@query("""
+SELECT doc_id AS id, doc_id % 5 IN (0, 4) AS accepted, CASE WHEN doc_id % 5 IN (0, 4) THEN 2 END AS bindings FROM documents""")
+def strict_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draft per document, of which three in five break the contract: a wrong index, a field too many, a sentence without evidence."""
+    d = table(spark, sf_dir, "documents")
+    fault = F.col("doc_id") % 5
+    quoted = lambda name: F.struct(F.lit(name).alias("target"), F.left("text", F.lit(40)).alias("source_quote"), F.lit("https://example.com/").alias("source_url"))
+    safe = d.withColumn("text", F.concat(F.lit("t "), F.coalesce("text", F.lit(""))))
+    base = {"index": F.when(fault == 1, 2).otherwise(1), "event_key": F.lit("k"), "chinese_title": F.left("text", F.lit(30)), "evidence_targets": F.when(fault == 3, F.array(quoted("title"))).otherwise(F.array(quoted("title"), quoted("brief_1")))}
+    made = lambda brief, **more: F.to_json(F.struct(*[c.alias(n) for n, c in (base | {"brief": brief} | more).items()]))
+    raw = F.when(fault == 4, made(F.array(F.lit("One sentence。")))).when(fault == 2, made(F.lit("One sentence。"), extra=F.lit(1))).otherwise(made(F.lit("One sentence。")))
+    parsed = safe.select("doc_id", drafts.strict_draft(raw, F.lit(1), F.lit("k")).alias("d"))
+    return parsed.select(F.col("doc_id").alias("id"), F.col("d").isNotNull().alias("accepted"), F.when(F.col("d").isNotNull(), F.size("d.bindings")).alias("bindings"))
+
+
 # State and windows
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.functions import text
+from gleanery.functions import drafts, forum, text
 from gleanery.operators import clustering, editing, relation, selection
 from gleanery.plans import queries as Q
 
@@ -144,3 +144,40 @@ def test_related_pairs_equal_all_pairs(spark):
 def test_title_similarity(spark, a, b, expected):
     one = spark.range(1).select(text.title_similarity(text.title_parts(F.lit(a)), text.title_parts(F.lit(b))).alias("s")).first()["s"]
     assert one == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("summary, article, ambiguous, detail", [
+    ('<p>Article URL: <a href="https://a.example.com/x">https://a.example.com/x</a></p><p>Points: 3</p>', "https://a.example.com/x", False, ""),
+    ("Article URL: https://a.example.com/x\nComments URL: https://news.ycombinator.com/item?id=1\nSome words", "https://a.example.com/x", False, "Some words"),
+    ('&lt;p&gt;Article URL: &lt;a href="https:&#x2F;&#x2F;a.example.com&#x2F;x"&gt;here&lt;/a&gt;&lt;/p&gt; words', "https://a.example.com/x", False, "words"),
+    ('Article URL: <a href="https://a.example.com/x">https://b.example.com/</a>', "", True, ""),
+    ('Article URL: <a href="https://10.0.0.1/x">k</a> words', "", False, "words"),
+    ("Article URL: https://a.example.com/x Article URL: https://b.example.com/y", "", True, ""),
+    ("<script>Article URL: https://a.example.com/</script>plain", "", False, "plain"),
+    (None, "", False, ""),
+])
+def test_forum_envelope(spark, summary, article, ambiguous, detail):
+    one = spark.createDataFrame([(summary,)], "s string").select(forum.envelope(F.col("s")).alias("e")).first()["e"]
+    assert (one["article"], one["ambiguous"], one["detail"]) == (article, ambiguous, detail)
+
+
+def test_normalized_source(spark):
+    rows = [("T", "https://a.example.com/p?utm_source=f", "<b>more</b>", None, "more", "A", "rss"), ("T", "https://news.ycombinator.com/item?id=1", "Article URL: https://some-lab.org/x", None, None, "HN", "hn"), ("T", None, "T", None, None, "A", "rss"), (None,) * 7]
+    names = "title string, url string, summary string, excerpt string, body string, source string, kind string"
+    found = [r["n"].asDict() for r in spark.createDataFrame(rows, names).select(forum.normalized_source(*map(F.col, ("title", "url", "summary", "excerpt", "body", "source", "kind"))).alias("n")).collect()]
+    assert [(n["evidence"], n["url"], n["publisher"], n["via"], n["quality"]) for n in found] == [
+        ("T\nmore", "https://a.example.com/p", "Example", "rss", "ready"), ("T", "https://some-lab.org/x", "Some Lab", "hacker_news", "title_only"), ("T", "", "A", "rss", "title_only"), ("", "", "", "rss", "title_only"),
+    ]
+
+
+def test_strict_draft_contract(spark):
+    import json
+
+    quote = lambda target: {"target": target, "source_quote": "q", "source_url": "u"}
+    good = {"index": 1, "event_key": "k", "chinese_title": " T ", "brief": ["One。", "Two。"], "evidence_targets": [quote("title"), quote("brief_1"), quote("brief_2")]}
+    broken = [{"index": "1"}, {"index": 2}, {"index": True}, {"event_key": "x"}, {"chinese_title": " "}, {"brief": ["One。", "Two。", "Three。"]}, {"brief": []}, {"brief": "One。Two。Three。"}, {"brief": None}, {"more": 1}, {"evidence_targets": []}, {"evidence_targets": [quote("title")]}, {"evidence_targets": [*good["evidence_targets"], quote("brief_3")]}, {"evidence_targets": [quote("title"), quote("brief_1"), {**quote("brief_2"), "source_quote": " "}]}, {"evidence_targets": [quote("title"), quote("brief_1"), {"target": "brief_2", "source_quote": "q"}]}]
+    raws = [json.dumps(good), json.dumps(good | {"brief": "", "evidence_targets": [quote("title")]})] + [json.dumps(good | b) for b in broken] + ["[1]", "{", "", None]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+    found = [r["d"] for r in rows.select("i", drafts.strict_draft(F.col("raw"), F.lit(1), F.lit("k")).alias("d")).orderBy("i").collect()]
+    assert (found[0]["title"], found[0]["brief"], [b["claim"] for b in found[0]["bindings"]]) == ("T", "One。Two。", ["T", "One", "Two"])
+    assert found[1]["mode"] == "title_only" and found[2:] == [None] * (len(raws) - 2)
