@@ -1,7 +1,7 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps.
 
-Each step is two aggregations that combine on the map side and two joins on node ids; the driver sees only a count and
-a checksum. Each round is written to the shared folder, which ends its lineage.
+Each step is two aggregations that combine on the map side and two joins on node ids, in which the hub of a large group
+meets a broadcast of hot nodes (see `join_with_hot`) and not one task; the driver sees only a count and a checksum. Each round is written to the shared folder, which ends its lineage.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import join_with_hot, remove, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,10 +24,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = checksum
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
+        total = 2 * checksum[0]
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_with_hot(both.where("v > u"), least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_with_hot(large, lower, ["u"], "n", total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
         old = path
         stars, path = written(small, "edges")
         remove(spark, old)
