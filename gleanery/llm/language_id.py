@@ -17,6 +17,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -101,19 +102,18 @@ def _model(found, sums, frequent) -> LanguageModel:
     languages = sorted(sums["lang"].unique().tolist())
     column = {lang: i for i, lang in enumerate(languages)}
     total = {(r.lang, r.size_): r.total for r in sums.rename(columns={"size": "size_"}).itertuples()}
-    tables, lines = {}, []
+    tables, parts, at = {}, [], 0
     for size, part in found.groupby("size"):
-        table: dict[str, int] = {}
-        floor = np.array([math.log(0.5 / (total.get((lang, size), 0) + 1.0)) for lang in languages])
-        for lang, item, n in zip(part["lang"], part["item"], part["n"], strict=True):
-            if item not in table:
-                table[item] = len(lines)
-                lines.append(floor.copy())
-            lines[table[item]][column[lang]] = math.log((n + 0.5) / (total[lang, size] + 1.0))
-        tables[int(size)] = table
+        codes, items = pd.factorize(part["item"])
+        lines = np.tile([math.log(0.5 / (total.get((lang, size), 0) + 1.0)) for lang in languages], (len(items), 1))
+        sums_of = part["lang"].map({lang: total.get((lang, size), 0) for lang in languages}).to_numpy(float)
+        lines[codes, part["lang"].map(column).to_numpy(int)] = np.log((part["n"].to_numpy(float) + 0.5) / (sums_of + 1.0))
+        tables[int(size)] = dict(zip(items.tolist(), range(at, at + len(items)), strict=True))
+        parts.append(lines - lines.max(axis=1, keepdims=True))
+        at += len(items)
     tables.setdefault(0, {})
-    scores = np.array(lines).reshape(len(lines), len(languages))
-    return LanguageModel(languages, tables, scores - scores.max(axis=1, keepdims=True) if lines else scores, column.get(frequent, 0))
+    scores = np.concatenate(parts) if parts else np.zeros((0, len(languages)))
+    return LanguageModel(languages, tables, scores, column.get(frequent, 0))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
