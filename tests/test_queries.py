@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.functions import drafts, forum, text
+from gleanery.functions import claims, drafts, forum, text
 from gleanery.operators import clustering, editing, relation, selection
 from gleanery.plans import queries as Q
 
@@ -181,3 +181,21 @@ def test_strict_draft_contract(spark):
     found = [r["d"] for r in rows.select("i", drafts.strict_draft(F.col("raw"), F.lit(1), F.lit("k")).alias("d")).orderBy("i").collect()]
     assert (found[0]["title"], found[0]["brief"], [b["claim"] for b in found[0]["bindings"]]) == ("T", "One。Two。", ["T", "One", "Two"])
     assert found[1]["mode"] == "title_only" and found[2:] == [None] * (len(raws) - 2)
+
+
+GROUPS = {"release": ("发布", "release"), "funding": ("融资", "raise")}
+
+
+def test_claims(spark):
+    lit = F.lit
+    cases = [
+        (claims.unsupported_action(lit("A 发布 B"), lit("a releases b"), GROUPS), False), (claims.unsupported_action(lit("A 融资"), lit("a releases b"), GROUPS), True),
+        (claims.action_matches(lit("发布"), lit("released"), GROUPS), True), (claims.action_matches(lit("融资"), lit("released"), GROUPS), False), (claims.action_matches(lit("x"), lit("y"), GROUPS), True),
+        (claims.unsupported_tokens(lit("OpenAI 5.5"), lit("openai had 5.5"), ()), False), (claims.unsupported_tokens(lit("grew 12"), lit("grew")), True), (claims.unsupported_tokens(lit("the API"), lit("the door")), True), (claims.unsupported_tokens(lit(None).cast("string"), lit("x")), False),
+        (claims.related(lit("Acme X2 out"), lit("Acme put X2 out today"), GROUPS), True), (claims.related(lit("Acme X3 out"), lit("Acme put X2 out today"), GROUPS), False),
+        (claims.related(lit("新模型发布"), lit("something was released"), GROUPS), True), (claims.related(lit("新模型来了"), lit("旧的新模型走"), GROUPS), True), (claims.related(lit("甲乙丙"), lit("丁戊"), GROUPS), False),
+        (claims.anchors_held(lit("Acme发布X2"), lit("Acme ships X2"), (), ("发布",)), True), (claims.anchors_held(lit("Acme发布好X2"), lit("Acme ships X2"), (), ("发布",)), False), (claims.anchors_held(lit("发布"), lit("x"), (), ("发布",)), False),
+        (claims.untranslated_prose(lit("新 model with 力"), ("with",)), True), (claims.untranslated_prose(lit("新 a/with `run with` With"), ("with",)), False),
+    ]
+    row = spark.range(1).select(*[c.alias(str(i)) for i, (c, _) in enumerate(cases)]).first()
+    assert [row[str(i)] for i in range(len(cases))] == [expected for _, expected in cases]
