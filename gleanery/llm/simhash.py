@@ -5,7 +5,8 @@ A fingerprint has a bit set if it is set in over half of the XXH64 hashes of the
 byte position; as one position alone has only 256 values, a posting is named by three positions and the bytes there,
 of the least family of position triples of which any 4 positions hold one (20 of the 56). Within a posting, the bytes that two
 fingerprints share are tallied over all 8 positions; those with fewer than the guaranteed 4 go, and the rest are
-verified by their differing bits. Postings hold distinct fingerprints only, so exact copies weigh nothing. A posting
+verified by their differing bits. A posting of more than POSTING fingerprints leaves its task: it is dealt by a fourth
+shared byte, never by a fifth, as more are not guaranteed, and what is still too large in pairs of blocks. Postings hold distinct fingerprints only, so exact copies weigh nothing. A posting
 yields a spanning forest of its links, not all pairs, which leaves the components as they are: a large group of near
 copies costs one row per member.
 
@@ -28,7 +29,7 @@ from .components import connected_components
 
 SEED = 42
 BITS = 4
-#: Above so many fingerprints, a posting is split by one more shared byte.
+#: Above so many fingerprints, a posting is dealt anew by a fourth shared byte, and a part of it in pairs of blocks.
 POSTING = 20_000
 BLOCK = 1 << 20
 
@@ -121,19 +122,8 @@ def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return (shared >= 8 - bits) & (np.bitwise_count(differing) <= bits)
 
 
-def posting_links(prints: np.ndarray, bits: int, used: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+def posting_links(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints: what a reached one links to leaves the rest that is still held against later ones."""
-    if len(prints) > POSTING and len(used) < 2:
-        a, b = [], []
-        view = prints.view(np.uint8).reshape(-1, 8)
-        for p in (p for p in range(8) if p not in used and np.ptp(view[:, p])):
-            order = np.argsort(view[:, p], kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(view[order, p])) + 1):
-                if len(part) > 1:
-                    x, y = posting_links(prints[part], bits, (*used, p))
-                    a.append(x)
-                    b.append(y)
-        return (np.concatenate(a), np.concatenate(b)) if a else (prints[:0], prints[:0])
     rest, a, b = prints, [], []
     while len(rest) > 1:
         reached, rest = rest[:1], rest[1:]
@@ -155,9 +145,48 @@ def posting_links(prints: np.ndarray, bits: int, used: tuple[int, ...] = ()) ->
     return (np.concatenate(a), np.concatenate(b)) if a else (prints[:0], prints[:0])
 
 
-def _partition_links(bits: int):
+def fourth_positions() -> list[list[int]]:
+    """For each triple the positions that it is split by: of each 4 positions, the first triple among them has the split."""
+    family = [set(t) for t in position_triples()]
+    first = {four: next(i for i, t in enumerate(family) if t <= set(four)) for four in itertools.combinations(range(8), 4)}
+    return [sorted(next(iter(set(four) - t)) for four, owner in first.items() if owner == i) for i, t in enumerate(family)]
+
+
+def dealt(prints: np.ndarray, key: int, most: int):
+    """Yields (key, block_a, block_b, fingerprints) of the parts of a large posting, each by one more shared byte, which the 4 shared ones guarantee; a part of more than `most` comes as pairs of blocks, of which any two fingerprints share one."""
+    view = prints.view(np.uint8).reshape(-1, 8)
+    for p in fourth_positions()[key >> 24]:
+        order = np.argsort(view[:, p], kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(view[order, p])) + 1):
+            name = (key << 11) | (p << 8) | int(view[part[0], p])
+            if len(part) <= most:
+                if len(part) > 1:
+                    yield name, 0, 0, prints[part]
+                continue
+            blocks = -(-2 * len(part) // most)
+            for a, b in itertools.combinations(range(blocks), 2):
+                yield name, a, b, np.concatenate([prints[part[a::blocks]], prints[part[b::blocks]]])
+
+
+LINKS = "key long, block_a int, block_b int, a long, b long"
+
+
+def _edges(a: list[np.ndarray], b: list[np.ndarray]):
+    """One forest for all postings of a batch: no more edges than fingerprints; a null key marks an edge."""
+    if not a or not sum(map(len, a)):
+        return
+    x, y = np.concatenate(a), np.concatenate(b)
+    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    parent = merge_forest(np.arange(len(nodes)), at[: len(x)], at[len(x) :])
+    child = np.flatnonzero(parent != np.arange(len(nodes)))
+    none = [pa.nulls(len(child), t) for t in (pa.int64(), pa.int32(), pa.int32())]
+    yield pa.RecordBatch.from_arrays([*none, pa.array(nodes[child].view(np.int64)), pa.array(nodes[parent[child]].view(np.int64))], names=["key", "block_a", "block_b", "a", "b"])
+
+
+def _partition_links(bits: int, most: int | None, group: tuple[str, ...] = ("key",)):
+    """Edges of the postings of a partition; those of more than `most` fingerprints (None: of any number) are not held together but go on as rows, with the fingerprint as a, for a second deal."""
     def run(batches):
-        for batch, starts in whole_groups(batches, ["key"]):
+        for batch, starts in whole_groups(batches, list(group)):
             prints = batch.column("print").to_numpy().view(np.uint64)
             sizes = np.diff(np.append(starts, len(prints)))
             owner = np.repeat(np.arange(len(starts)), sizes)
@@ -174,26 +203,37 @@ def _partition_links(bits: int):
                 a.append(left[hit])
                 b.append(right[hit])
             for g in np.flatnonzero(sizes > 16):
-                x, y = posting_links(prints[starts[g] : starts[g] + sizes[g]], bits)
-                a.append(x)
-                b.append(y)
-            if a and sum(map(len, a)):
-                # One forest for all postings of the batch: no more edges than fingerprints.
-                x, y = np.concatenate(a), np.concatenate(b)
-                nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-                parent = merge_forest(np.arange(len(nodes)), at[: len(x)], at[len(x) :])
-                child = np.flatnonzero(parent != np.arange(len(nodes)))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[child].view(np.int64)), pa.array(nodes[parent[child]].view(np.int64))], names=["a", "b"])
+                posting = prints[starts[g] : starts[g] + sizes[g]]
+                if most is None or len(posting) <= most:
+                    x, y = posting_links(posting, bits)
+                    a.append(x)
+                    b.append(y)
+                    continue
+                for name, one, two, part in dealt(posting, batch.column("key")[int(starts[g])].as_py(), most):
+                    n = len(part)
+                    named = [pa.array(np.full(n, x, t)) for x, t in ((name, np.int64), (one, np.int32), (two, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*named, pa.array(part.view(np.int64)), pa.nulls(n, pa.int64())], names=["key", "block_a", "block_b", "a", "b"])
+            yield from _edges(a, b)
 
     return run
 
 
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """Edges a, b between distinct fingerprints that have the components of all links at `bits` or fewer differing bits; bits is at most 4."""
+    """Edges a, b between distinct fingerprints that have the components of all links at `bits` or fewer differing bits; bits is at most 4.
+
+    Postings of up to POSTING fingerprints are settled where they lie; larger ones are dealt anew by a fourth shared byte and in pairs of blocks.
+    """
     if bits > BITS:
         raise ValueError("the position triples guarantee a shared posting up to 4 differing bits")
     postings = prints.select("print", F.explode(F.array(*posting_keys(F.col("print")))).alias("key"))
-    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(_partition_links(bits), "a long, b long")
+    first, _ = written(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_partition_links(bits, POSTING), LINKS), "posting-links")
+    edges = first.where("key IS NULL").select("a", "b")
+    large = first.where("key IS NOT NULL").select("key", "block_a", "block_b", F.col("a").alias("print"))
+    if large.isEmpty():
+        return edges
+    where = ("key", "block_a", "block_b")
+    second = large.repartition(*where).sortWithinPartitions(*where).mapInArrow(_partition_links(bits, None, where), LINKS)
+    return edges.unionByName(second.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", width: int = 4, bits: int = BITS) -> DataFrame:

@@ -217,6 +217,31 @@ def test_simhash_links_of_many_near_prints(spark):
     assert components(range(len(prints)), [(where[int(a)], where[int(b)]) for a, b in zip(x, y, strict=True)]) == expected
 
 
+@pytest.mark.parametrize("constant", [3, 4, 5])
+def test_simhash_large_postings_lose_no_link(spark, monkeypatch, constant):
+    """Fingerprints that all share some bytes, many more than a posting may hold; pairs differ by one bit in each of four bytes."""
+    from gleanery.llm import simhash
+
+    monkeypatch.setattr(simhash, "POSTING", 40)
+    rng = np.random.default_rng(constant)
+    raw = rng.integers(0, 256, (300, 8)).astype(np.uint8)
+    raw[:, 8 - constant :] = 7
+    near = raw.copy()
+    for i in range(300):
+        for p in rng.choice(8, 4, replace=False):
+            near[i, p] ^= 1 << int(rng.integers(0, 8))
+    near[:150, 4:], near[:150, :4] = raw[:150, 4:], raw[:150, :4] ^ (1 << rng.integers(0, 8, (150, 4))).astype(np.uint8)
+    prints = np.unique(np.concatenate([raw, near]).view(np.uint64).ravel())
+    distances = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    expected = components(range(len(prints)), zip(*np.nonzero(distances <= 4), strict=True))
+    at = {int(p): i for i, p in enumerate(prints)}
+    x, y = simhash.posting_links(prints, 4)
+    assert components(range(len(prints)), [(at[int(a)], at[int(b)]) for a, b in zip(x, y, strict=True)]) == expected
+    found = simhash.links(spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long")).collect()
+    pairs = [(at[r["a"] % (1 << 64)], at[r["b"] % (1 << 64)]) for r in found]
+    assert components(range(len(prints)), pairs) == expected
+
+
 def test_position_triples_reach_every_four():
     import itertools
 
