@@ -2,10 +2,10 @@
 
 Base phrases are found at every place where their words stand consecutively. On top of that works a positional
 rare-token index over licence templates: the document frequency of each template word over all documents gives its
-IDF; of the template words that a document holds, the RARE of highest IDF are looked up with their positions in it, each
-is joined with the template postings (template, position there), and a template is a candidate at a relative position
-where enough of its rare words agree. A candidate counts only if one of the template's mandatory key phrases stands in the
-document too.
+IDF. A template stands at a relative position if at least `least_share` of its words agree there, so of any T - need + 1
+of its T positions, need being the words that must agree, one agrees. Each template whose mandatory key phrase stands is
+therefore looked up by so many of its own positions, those of highest IDF, and each relative position where one of them
+agrees is held against the whole notice. No place is missed; the IDF decides the work alone, never the labels.
 
 Defined cases: a null or wordless text has 0 words, no label and score 0; ties in IDF go to the word that comes first in the
 alphabet; repeated rows are each judged by themselves; a null id is carried through; an empty table gives no rows.
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-RARE = 8
-
 #: Notices as licences ask for them, (label, words of the notice, key phrases of which one must stand).
 TEMPLATES = (
     ("agpl", "gnu affero general public license", ("affero general public license",)),
@@ -71,25 +69,30 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[s
     return {r["word"]: r["count"] for r in counts}, docs.count()
 
 
+def rare_positions(notice: list[str], idf: dict[str, float], least_share: float) -> list[int]:
+    """The positions of highest IDF of a notice, as few as no place with `least_share` of the words can miss."""
+    size = len(notice)
+    need = next((k for k in range(1, size) if k / size >= least_share), size)
+    return sorted(range(size), key=lambda p: (-idf[notice[p]], notice[p], p))[: size - need + 1]
+
+
 def _template_matches(line: Column, words: Column, idf: dict[str, float], least_share: float) -> Column:
     """array<struct<label, cover>> of the templates that stand in a document."""
-    ranked = F.transform(F.array_intersect(words, _strings(sorted(idf))), lambda w: F.struct((-F.element_at(F.create_map(*[F.lit(x) for kv in sorted(idf.items()) for x in kv]), w)).alias("order"), w.alias("w")))
-    rare = F.transform(F.slice(F.array_sort(ranked), 1, RARE), lambda r: F.struct(r["w"].alias("w"), F.filter(F.transform(words, lambda x, i: F.when(x == r["w"], i)), lambda i: i.isNotNull()).alias("at")))
-    all_templates = F.array(*[F.struct(F.lit(label).alias("label"), _strings(notice.split()).alias("words"), _strings(keys).alias("keys")) for label, notice, keys in TEMPLATES])
-
-    def match(t, looked_up):
-        looked = F.filter(looked_up, lambda r: F.array_contains(t["words"], r["w"]))
-        shifts = F.flatten(F.transform(looked, lambda r: F.flatten(F.transform(t["words"], lambda w, p: F.when(w == r["w"], F.transform(r["at"], lambda i: i - p)).otherwise(F.array().cast("array<int>"))))))
-        need = F.greatest(F.lit(1), F.ceil(F.size(looked) * least_share).cast("int"))
-        likely = F.filter(F.array_distinct(shifts), lambda d: F.size(F.filter(shifts, lambda x: x == d)) >= need)
+
+    def template(label, notice, keys):
+        parts = notice.split()
+        rare = F.array(*[F.struct(F.lit(parts[p]).alias("w"), F.lit(p).alias("p")) for p in rare_positions(parts, idf, least_share)])
+        return F.struct(F.lit(label).alias("label"), _strings(parts).alias("words"), _strings(keys).alias("keys"), rare.alias("rare"))
+
+    def cover(t):
+        shifts = F.flatten(F.transform(t["rare"], lambda r: F.filter(F.transform(words, lambda x, i: F.when(x == r["w"], i - r["p"])), lambda i: i.isNotNull())))
         same = lambda d: F.size(F.filter(F.transform(t["words"], lambda w, p: F.coalesce(F.get(words, d + p) == w, F.lit(False))), lambda x: x)) / F.size(t["words"])
-        cover = F.coalesce(F.array_max(F.transform(likely, same)), F.lit(0.0))
-        key = F.exists(t["keys"], lambda k: line.contains(F.concat(F.lit(" "), k, F.lit(" "))))
-        return F.struct(t["label"].alias("label"), F.when(key, cover).otherwise(0.0).alias("cover"))
+        return F.struct(t["label"].alias("label"), F.coalesce(F.array_max(F.transform(F.array_distinct(shifts), same)), F.lit(0.0)).alias("cover"))
 
-    # One-element transforms hold the looked-up words so that they are worked out once per document.
-    once = F.flatten(F.transform(F.array(rare), lambda looked_up: F.transform(all_templates, lambda t: match(t, looked_up))))
-    return F.filter(once, lambda m: m["cover"] >= least_share)
+    stands = lambda t: F.exists(t["keys"], lambda k: line.contains(F.concat(F.lit(" "), k, F.lit(" "))))
+    standing = F.filter(F.array(*[template(*t) for t in TEMPLATES]), stands)
+    # Held once more, so that a cover is worked out once per template.
+    return F.filter(F.transform(standing, cover), lambda m: m["cover"] >= least_share)
 
 
 def scan(docs: DataFrame, phrases: dict[str, str], least_share: float = 0.6, id_column: str = "doc_id") -> DataFrame:

@@ -458,6 +458,33 @@ def test_license_base(odd, docs):
     assert scan(odd.limit(0), LICENCE_PHRASES).count() == 0
 
 
+def test_license_several_notices(spark):
+    """Each notice whose key phrase stands is found beside any others, whatever the words of the other documents."""
+    from gleanery.llm.license_scan import TEMPLATES, scan
+
+    notice = {label: words for label, words, _ in TEMPLATES}
+    rng = np.random.default_rng(9)
+    texts = [
+        f"Copyright X. All rights reserved. {notice['bsd']}", f"{notice['mit']} all rights reserved", " -- ".join(notice[x] for x in ("apache-2.0", "gpl-2.0", "mpl-2.0", "bsd")), " . ".join(notice.values()),
+        "public " * 50 + notice["mpl-2.0"].replace("subject to", "x"), "mozilla public license", "rights all rights reserved redistribution " + notice["bsd"][:60],
+    ]
+    for _ in range(40):
+        chosen = [notice[x].split() for x in rng.choice(list(notice), 4, replace=False)]
+        texts.append(" ".join(w for words in chosen for w in words if rng.random() > 0.04))
+    texts += ["redistribution reserved rights all"] * 30
+    rows = {r["doc_id"]: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {"no such phrase": "none"}).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall("[a-z0-9]+", text.lower())
+        expected = {}
+        for label, line, keys in TEMPLATES:
+            t = line.split()
+            best = max(sum(0 <= d + p < len(words) and words[d + p] == w for p, w in enumerate(t)) / len(t) for d in range(-len(t), len(words)))
+            if best >= 0.6 and any(f" {k} " in f" {' '.join(words)} " for k in keys):
+                expected[label] = best
+        assert rows[i]["labels"] == ",".join(sorted(expected)) and rows[i]["score"] == max(expected.values(), default=0), i
+    assert rows[0]["labels"] == "all-rights-reserved,bsd" and rows[3]["labels"].count(",") >= 12
+
+
 # 10
 
 
