@@ -1,17 +1,21 @@
 """Operator 5, URL filters, in DataFrame functions alone.
 
 Rules of host and path prefix decide what they fit, the longest first. The rest is judged by a path-template tree. A
-template is a host and the first DEPTH segments of a path; a segment that looks variable by itself (a number, a date,
-a long hexadecimal or mixed identifier) is a wildcard from the start. Going down the tree, the children of a node are
-merged into one wildcard if there are many and they are alike: more than `branches` of them, or fewer rows per child than
-`least_rows`, and no child whose share of blocked rows, smoothed, differs from the node's by more than `apart` with
-its sampling error. The rows that rules decide are the labels: a template is rejected if the smoothed share of blocked
-rows among its labelled ones exceeds `purity`. Templates without a label of their own take their parent's share as
-prior, so a host of which rules know nothing is allowed.
+template is a host and the segments of a path; a segment that looks variable by itself (a number, a date, a long
+hexadecimal or mixed identifier) is a wildcard from the start. Going down the tree, the children of a node are merged
+into one wildcard if there are many and they are alike: more than `branches` of them, or fewer rows per child than
+`least_rows`, and no child whose labelled share, smoothed, differs from the node's by more than `apart` with its
+sampling error. The tree is walked as deep as paths of one template differ.
+
+The rows that rules decide are the labels. The share of a template is that of blocked rows among its labelled ones,
+smoothed by `prior` rows of its parent's share; an only child has its parent's rows and so its share. A template is
+rejected if that share exceeds `purity` and it has at least `least_labels` labelled rows; its unlabelled rows, however
+many, weigh nothing. A template with fewer labels, or none, of its own is allowed, also below a rejected parent, unless
+it was merged with its siblings, whose labels it then shares.
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits no rule and is allowed; ties between rules
 cannot occur, as rules are distinct and of the fitting ones the longest wins; equal urls get equal verdicts; an empty
-table gives no rows. Depth beyond DEPTH is one tail wildcard.
+table gives no rows. A level of the tree is a few jobs, so urls that first differ deep down cost as many levels.
 """
 
 from __future__ import annotations
@@ -19,9 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, remove, written
+from .common import ascii_lower, written
 
-DEPTH = 3
 WILD = "*"
 
 
@@ -49,71 +52,60 @@ def _variable(segment: Column) -> Column:
     return stem.rlike(r"^[0-9]+([-_.][0-9]+)*$") | stem.rlike(r"^[0-9a-fA-F-]{8,}$") | (stem.rlike(r"[0-9]") & (F.length(stem) >= 12))
 
 
-def _segments(path: Column) -> list[Column]:
+def shape_of(path: Column) -> Column:
+    """The path without its first slash, variable segments as wildcards."""
     parts = F.split(F.regexp_replace(path, r"(?s)^/", ""), "/")
-    out = []
-    for d in range(DEPTH):
-        part = F.coalesce(F.get(parts, F.lit(d)), F.lit(""))
-        out.append(F.when(_variable(part), F.lit(WILD)).otherwise(part))
-    return out
+    return F.array_join(F.transform(parts, lambda part: F.when(_variable(part), F.lit(WILD)).otherwise(part)), "/")
 
 
-def _weight(bad: str, known: str, rows: str) -> Column:
-    """Blocked rows, where a row without a label is half of one."""
-    return F.col(bad) + 0.5 * (F.col(rows) - F.col(known))
+def templates(labelled: DataFrame, prior: float = 4.0, branches: int = 20, least_rows: int = 5, apart: float = 0.2) -> DataFrame:
+    """From host, shape and blocked (1, 0 or null: unlabelled) to a row per distinct host, shape: t (its template), labels (the template's labelled rows) and share.
 
-
-def templates(labelled: DataFrame, branches: int = 20, least_rows: int = 5, apart: float = 0.2) -> DataFrame:
-    """From host, s0.. and blocked (1, 0 or null: unlabelled) to a row per distinct segments: host, s0.., t0.. (the segments with merged ones as wildcards) and the counts n, known, bad.
-
-    Each level is one aggregation by (host, template so far), which combines on the map side, and one join of distinct
-    branches, never of rows. The tree is written after each level: it is read three times by the next one, and its plan
-    would otherwise triple with each.
+    Each level is one aggregation by (host, template so far), which combines on the map side, and joins of distinct
+    branches, never of rows. A shape leaves the walk when no other of its template differs from it further down. Each
+    level is written: it is read several times by the next one, and its plan would otherwise grow with each.
     """
-    names = [f"s{d}" for d in range(DEPTH)]
-    tree = labelled.groupBy("host", *names).agg(F.count("*").alias("n"), F.count("blocked").alias("known"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
-    tree, path = written(tree, "url-tree")
-    for d in range(DEPTH):
-        above = [f"t{i}" for i in range(d)]
-        child = tree.groupBy("host", *above, f"s{d}").agg(F.sum("n").alias("cn"), F.sum("known").alias("ck"), F.sum("bad").alias("cb"))
-        share = (F.sum(_weight("cb", "ck", "cn")) + 1) / (F.sum("cn") + 2)
-        node = child.groupBy("host", *above).agg(F.count("*").alias("children"), F.sum("cn").alias("rows"), share.alias("share"))
-        own = (_weight("cb", "ck", "cn") + 1) / (F.col("cn") + 2)
-        error = 2 * F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("cn") + 1))
-        alike = F.abs(own - F.col("share")) <= apart + error
+    tree = labelled.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("blocked").alias("known"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
+    tree, _ = written(tree, "url-tree")
+    smoothed = lambda bad, known, to, by: (F.col(bad) + by * to) / (F.col(known) + by)
+    hosts = tree.groupBy("host").agg(F.sum("known").alias("labels"), F.sum("bad").alias("b"), (F.count("*") > 1).alias("open"))
+    tree = tree.join(hosts.select("host", "labels", smoothed("b", "labels", F.lit(0.5), prior).alias("share"), "open"), "host").withColumn("t", F.lit(""))
+    tree, _ = written(tree, "url-tree")
+    done, depth = tree.where(~F.col("open")), 0
+    while not (walked := tree.where("open")).isEmpty():
+        segments = F.split("shape", "/")
+        walked = walked.withColumn("s", F.coalesce(F.get(segments, F.lit(depth)), F.lit("")))
+        child = walked.groupBy("host", "t", "share", "s").agg(F.sum("n").alias("cn"), F.sum("known").alias("ck"), F.sum("bad").alias("cb"), F.count("*").alias("shapes"), F.max(F.size(segments)).alias("deepest"))
+        node = child.groupBy("host", "t").agg(F.count("*").alias("children"), F.sum("cn").alias("rows"))
+        error = 2 * F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("ck") + 1))
+        alike = F.abs(smoothed("cb", "ck", F.col("share"), 2) - F.col("share")) <= apart + error
         many = (F.col("children") > branches) | (F.col("rows") < least_rows * F.col("children"))
         merged = many & (F.col("children") > 1) & alike
-        kind = child.join(node, ["host", *above]).select("host", *above, f"s{d}", F.when(merged, F.lit(WILD)).otherwise(F.col(f"s{d}")).alias(f"t{d}"))
-        old = path
-        tree, path = written(tree.join(kind, ["host", *above, f"s{d}"]), "url-tree")
-        remove(tree.sparkSession, old)
-    return tree
-
-
-def judge(pages: DataFrame, rules: dict[str, str], purity: float = 0.8, prior: float = 4.0, id_column: str = "page_id", url_column: str = "url", **how) -> DataFrame:
+        kind = child.join(node, ["host", "t"]).withColumn("below", F.concat("t", F.lit("/"), F.when(merged, F.lit(WILD)).otherwise(F.col("s"))))
+        kind, _ = written(kind, "url-branches")
+        group = kind.groupBy("host", "t", "below").agg(
+            F.sum("ck").alias("labels"), F.sum("cb").alias("b"), F.first("share").alias("above"), (F.count("*") == F.first("children")).alias("only"),
+            ((F.sum("shapes") > 1) & (F.max("deepest") > depth + 1)).alias("open"),
+        )
+        share = F.when(F.col("only"), F.col("above")).otherwise(smoothed("b", "labels", F.col("above"), prior))
+        told = kind.select("host", "t", "s", "below").join(group.select("host", "t", "below", "labels", share.alias("share"), "open"), ["host", "t", "below"])
+        rows = walked.select("host", "t", "s", "shape", "n", "known", "bad").join(told, ["host", "t", "s"])
+        tree, _ = written(rows.select("host", "shape", "n", "known", "bad", "labels", "share", "open", F.col("below").alias("t")), "url-tree")
+        done, depth = done.unionByName(tree.where(~F.col("open"))), depth + 1
+    return done.select("host", "shape", "t", "labels", "share")
+
+
+def judge(pages: DataFrame, rules: dict[str, str], purity: float = 0.8, prior: float = 4.0, id_column: str = "page_id", url_column: str = "url", least_labels: int = 5, **how) -> DataFrame:
     """A row per row of pages: id, host, path, rule, verdict."""
     url = F.col(url_column)
     rows = pages.select(F.col(id_column).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    segments = [s.alias(f"s{d}") for d, s in enumerate(_segments(F.col("path")))]
-    shaped = rows.select("*", *segments)
-    tree = templates(shaped.select("host", *[f"s{d}" for d in range(DEPTH)], (F.col("ruled") == "block").cast("int").alias("blocked")), **how)
-    # Purity from the host down: each level's share is smoothed towards that of the level above.
-    share = F.lit(0.5)
-    keys = ["host", *[f"t{d}" for d in range(DEPTH)]]
-    leaf, _ = written(tree.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad")), "url-templates")
-    joined = leaf.select(*keys)
-    for d in range(DEPTH + 1):
-        level = keys[: d + 1]
-        sums = leaf.groupBy(*level).agg(F.sum(_weight("bad", "known", "n")).alias(f"b{d}"), F.sum("n").alias(f"n{d}"))
-        joined = joined.join(sums, level)
-        share = (F.col(f"b{d}") + prior * share) / (F.col(f"n{d}") + prior)
-    rejected = joined.select(*keys, share.alias("blocked_share")).where(F.col("blocked_share") > purity)
-    bad = tree.join(rejected, keys).select("host", *[f"s{d}" for d in range(DEPTH)], F.lit("block").alias("template"))
+    shaped = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), shape_of(F.col("path")).alias("shape"))
+    tree = templates(shaped.select("host", "shape", (F.col("ruled") == "block").cast("int").alias("blocked")), prior, **how)
+    bad = tree.where((F.col("share") > purity) & (F.col("labels") >= least_labels)).select("host", "shape", F.lit("block").alias("template"))
     # Only urls that no rule decides ask the tree; rejected templates alone are on the other side.
     asks = shaped.where(F.col("rule").isNull() & (F.col("host") != ""))
     done = shaped.where(F.col("rule").isNotNull() | (F.col("host") == ""))
-    told = asks.join(bad, ["host", *[f"s{d}" for d in range(DEPTH)]], "left").select("id", "host", "path", "rule", F.coalesce("template", F.lit("allow")).alias("verdict"))
+    told = asks.join(bad, ["host", "shape"], "left").select("id", "host", "path", "rule", F.coalesce("template", F.lit("allow")).alias("verdict"))
     both = done.select("id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict")).unionByName(told)
     return both.withColumnsRenamed({"id": id_column})

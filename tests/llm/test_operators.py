@@ -300,6 +300,30 @@ def test_url_templates_reject_by_purity(spark):
     assert got["/spam/0"] == "block" and got["/news/ak"] == "allow" and got["/p/3"] == "allow"
 
 
+def test_url_labels_reach_a_larger_unlabelled_part(spark):
+    """One row in ten is labelled; the verdicts are those of the labels, also at ten times the rows and deep in a path."""
+    from gleanery.llm.url_filter import judge
+
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")
+    rules, rows, expected = {}, [], {}
+    for part, verdict in (("bad", "block"), ("good", "allow")):
+        for i in range(300):
+            path = f"/x/y/z/{part}/{name(i)}"
+            rows.append(f"http://h.org{path}")
+            expected[path] = verdict
+            if i % 10 == 0:
+                rules[f"h.org{path}"] = verdict
+    for i in range(40):
+        rows.append(f"http://h.org/x/y/z/bad/new/{i}")
+        rows.append(f"http://h.org/x/y/z/none/{name(i)}")
+        expected[f"/x/y/z/none/{name(i)}"] = "allow"
+    for times in (1, 10):
+        frame = spark.createDataFrame(list(enumerate(rows * times)), "page_id long, url string")
+        got = {(r["path"], r["verdict"]) for r in judge(frame, rules).collect()}
+        assert len(got) == len(set(rows))
+        assert {(p, v) for p, v in got if p in expected} == set(expected.items()), times
+
+
 # 6 and 7
 
 
