@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, SimHash near-dedup, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows
-that share an id share the decision for that id.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The
+dedup stages number their rows and decide by that number: of each group exactly one row stays, also where ids are null
+or repeated. A null id counts as less than any other; of rows with one id any may be the one that stays.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import exact_dedup, language_id, packing, simhash
-from gleanery.llm.common import read_table, written
+from gleanery.llm.common import number_or_least, read_table, written
 from gleanery.llm.queries import PACK_END, WINDOW, WORD_VOCABULARY
 
 #: A document whose best language has a smaller share of the evidence than this speaks none of the learned ones.
@@ -26,16 +27,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.where(sure).select(*[F.col("_text").alias("text") if c == "text" else c for c in docs.columns])
 
 
+def _one_of_each(docs: DataFrame, name: str, groups_of, group: str, best) -> DataFrame:
+    """Of the rows that `groups_of` puts in one group, the one that is `best` by (id, row number)."""
+    rows, _ = written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+    told = groups_of(rows, "_row").select("_row", group).join(rows.select("_row", number_or_least(F.col("doc_id")).alias("_id")), "_row")
+    kept = told.groupBy(group).agg(best(F.struct("_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    kept = exact_dedup.deduplicate(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    return _one_of_each(docs, "exact-rows", exact_dedup.deduplicate, "keep_id", F.max)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    return _one_of_each(docs, "near-rows", simhash.near_duplicates, "component_id", F.min)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,26 @@ def test_stages_keep_columns_and_clean_rows(spark):
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_null_and_repeated_ids_keep_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    first = sorted({r["text"]: r for r in docs.collect() if r["text"]}.values(), key=lambda r: r["doc_id"])[:14]
+    at = docs.columns.index("doc_id")
+    named = lambda r, i: (*r[:at], i, *r[at + 1 :])
+    rows = [named(r, None) for r in first[:4]] + [named(r, 7) for r in first[4:8]] + [tuple(r) for r in first[8:]]
+    rows += rows[:2] * 3 + rows[4:6] * 3 + rows[8:10] * 3
+    texts = [r["text"] for r in first]
+    prints = [brute_print(x) for x in texts]
+    groups = components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    frame = spark.createDataFrame(rows, docs.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    exact = stages["exact_dedup"](spark, frame, SMALL)
+    assert sorted(r["text"] for r in exact.collect()) == sorted(texts)
+    near = stages["simhash_dedup"](spark, exact, SMALL)
+    left = [r["text"] for r in near.collect()]
+    assert sorted(groups[texts.index(x)] for x in left) == sorted(set(groups.values()))
+    packed = stages["packing"](spark, near, SMALL).collect()
+    assert sum(r["length"] for r in packed) == sum(len(reference_ids(x)) + 1 for x in left)
