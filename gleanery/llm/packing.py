@@ -1,14 +1,15 @@
 """Operator 6, packing token ids into windows of fixed capacity by Karmarkar-Karp differencing.
 
 A document's ids are cut into full windows and a rest. Full windows stand alone. Rests are dealt by a hash of their
-document into shards of about SHARD_DOCS, each of which is packed by itself: every item is a partition of the window
+row's number, not of its id, into shards of about SHARD_DOCS, each of which is packed by itself: every item is a partition of the window
 set with one filled part; the two partitions of greatest imbalance are merged again and again, the fullest parts of
 one with the emptiest of the other, which leaves windows of nearly equal sums. If the fullest exceeds the capacity, the
 window count rises and the shard is packed anew. Items are cut once more, at CUT ids, before that: smaller items
 level better.
 
 Defined cases: a null or empty text holds the end id alone; a document of many windows is spread over shards piece by
-piece; repeated rows are packed each; an empty table gives no rows. A null id is dealt like any other value.
+piece; repeated rows are packed each; an empty table gives no rows. rows of a null or repeated id are
+spread over all shards like any others.
 """
 
 from __future__ import annotations
@@ -108,8 +109,8 @@ def _pack(capacity: int):
 
 
 def pieces(ids: DataFrame, capacity: int, shards: int, id_column: str = "doc_id", cut: int = CUT) -> DataFrame:
-    """Cuts doc_id, ids into full windows and items of at most `cut` ids: id, start, length, ids, doc_tokens, shard (odd: full windows)."""
-    whole = ids.select(id_column, "ids", (F.octet_length("ids") / 4).cast("long").alias("doc_tokens"))
+    """Cuts doc_id, ids into full windows and items of at most `cut` ids: id, start, length, ids, doc_tokens, shard (odd: full windows). Each row has a number of its own in _row."""
+    whole = ids.select(id_column, "_row", "ids", (F.octet_length("ids") / 4).cast("long").alias("doc_tokens"))
     full = (F.col("doc_tokens") - F.col("doc_tokens") % capacity).alias("full")
     at = F.concat(
         F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("long"), F.col("full") - 1, F.lit(capacity).cast("long"))).otherwise(F.array().cast("array<long>")),
@@ -118,7 +119,7 @@ def pieces(ids: DataFrame, capacity: int, shards: int, id_column: str = "doc_id"
     cuts = whole.select("*", full).select("*", F.explode(at).alias("start"))
     is_full = F.col("start") < F.col("full")
     length = F.when(is_full, F.lit(capacity)).otherwise(F.least(F.lit(cut), F.col("doc_tokens") - F.col("start"))).cast("long")
-    dealt = F.when(is_full, 2 * F.pmod(F.xxhash64(id_column, "start"), F.lit(shards)) + 1).otherwise(2 * F.pmod(F.xxhash64(id_column), F.lit(shards)))
+    dealt = F.when(is_full, 2 * F.pmod(F.xxhash64("_row", "start"), F.lit(shards)) + 1).otherwise(2 * F.pmod(F.xxhash64("_row"), F.lit(shards)))
     bits = F.expr("substring(ids, cast(start * 4 + 1 as int), cast(length * 4 as int))")
     return cuts.select("*", length.alias("length")).select(id_column, "start", "length", bits.alias("ids"), "doc_tokens", dealt.cast("long").alias("shard"))
 
@@ -126,6 +127,7 @@ def pieces(ids: DataFrame, capacity: int, shards: int, id_column: str = "doc_id"
 def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, id_column: str = "doc_id") -> DataFrame:
     """A row per piece: id, start, length, ids (binary), doc_tokens, sequence_id, offset."""
     shards = max(1, -(-docs.count() // SHARD_DOCS))
-    cut = pieces(token_ids(docs.select(id_column, "text"), path, end_id), capacity, shards, id_column)
+    numbered = docs.select(id_column, "text", F.monotonically_increasing_id().alias("_row"))
+    cut = pieces(token_ids(numbered, path, end_id), capacity, shards, id_column)
     out = T.StructType([*(f for f in cut.schema.fields if f.name != "shard"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return cut.repartition("shard").sortWithinPartitions("shard", id_column, "start").mapInArrow(_pack(capacity), out)

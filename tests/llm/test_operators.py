@@ -368,6 +368,16 @@ def test_packing(which, request):
     assert pack(frame.limit(0), public_tokenizers.path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_packing_spreads_rows_of_one_id(spark, monkeypatch):
+    from gleanery.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    frame = spark.createDataFrame([(None if i % 2 else 7, "one two three") for i in range(200)], "doc_id long, text string")
+    rows = packing.pack(frame, public_tokenizers.path("word_bpe_49k.json"), 2, 4096).collect()
+    shards = Counter(r["sequence_id"] // packing.STRIDE for r in rows)
+    assert len(rows) == 200 and len(shards) > 5 and max(shards.values()) < 60
+
+
 def test_differencing_is_even():
     from gleanery.llm.packing import differencing, fill
 
