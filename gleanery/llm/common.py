@@ -19,11 +19,11 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new temporary one, remembered in the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("gleanery.shared.dir", None)
+    """The folder in spark.checkpoint.dir; where that is unset in a local session (tests), a new temporary one, remembered in the session. On a cluster it must be set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gleanery.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("gleanery.shared.dir", found)
     return found.rstrip("/")
