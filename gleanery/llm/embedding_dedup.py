@@ -1,6 +1,7 @@
 """Operator 10, near-duplicate embeddings by randomised-rotation binary codes.
 
-Rows with equal label and equal vector become one representative first. Each representative is turned by several seeded
+Rows with equal label and equal vector become one representative first, named by a number of its own and not by an id,
+which may be null or repeated. Each representative is turned by several seeded
 random rotations; the signs are its code, and with each rotation is stored the inner product of the vector and its code,
 the correction factor that makes the estimated inner product of another vector unbiased. Candidates come from the codes:
 `tables` disjoint groups of `bits` code bits name the buckets that a vector lies in. In a bucket, a pair is looked at
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LEAST_ID, join_with_hot, merge_forest, number_or_least, whole_groups, written
+from .common import LEAST_ID, join_with_hot, merge_forest, number_or_least, remove, whole_groups, written
 from .components import connected_components
 
 SEED = 11
 #: Largest block of a bucket that is compared in one piece.
-BLOCK = 2048
+BLOCK = 512
 PAIRS = 1 << 17
 #: Width of the confidence bound in standard errors.
 EPSILON = 4.0
@@ -176,28 +177,33 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, miss: float = 1e-
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(sound & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.select("id", "label", F.when(valid, F.col("vector")).alias("vector"))
-    grouped = rows.where(F.col("vector").isNotNull()).groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    reps, _ = written(grouped.select("rep", "label", F.size("vector").alias("dim"), "vector", "n"), "representatives")
+    grouped = rows.where(F.col("vector").isNotNull()).groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    reps, _ = written(grouped.select(F.monotonically_increasing_id().alias("rep"), "least", "label", F.size("vector").alias("dim"), "vector", "n"), "representatives")
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(most, threshold, miss)
     key_schema = T.StructType([reps.schema["rep"], reps.schema["label"], reps.schema["dim"], T.StructField("tab", T.IntegerType()), T.StructField("code", T.LongType())])
     keys = reps.select("rep", "label", "dim", "vector").mapInArrow(_keys(bits, tables), key_schema)
     bucket = F.xxhash64("label", "dim", "tab", "code")
-    keyed, _ = written(keys.select("rep", "tab", bucket.alias("bucket")), "buckets")
+    keyed, keyed_path = written(keys.select("rep", "tab", bucket.alias("bucket")), "buckets")
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     met = keyed.join(sizes, "bucket")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     salt = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = met.select("rep", "tab", "bucket", salt.alias("salt"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("rep", "tab", "bucket", "salt", F.least("salt", "other").alias("block_a"), F.greatest("salt", "other").alias("block_b"))
-    carried = dealt.join(reps, "rep")
+    carried = dealt.join(reps.drop("least"), "rep")
     where = ["bucket", "block_a", "block_b"]
     found = carried.repartition(*where).sortWithinPartitions(*where).mapInArrow(_bucket_links(bits, tables, threshold), "rep long, links long, root long")
-    found, _ = written(found, "links")
+    found, found_path = written(found, "links")
+    remove(table.sparkSession, keyed_path)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep"})
-    answers = reps.select("rep", "label", "vector", "n").join(counts, "rep", "left").join(roots, "rep", "left")
-    answers = answers.select("label", "vector", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    named = roots.join(reps.select("rep", "least"), "rep")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").join(counts, "rep")
+    linked, _ = written(named.select("rep", "links", "component_id"), "linked")
+    remove(table.sparkSession, found_path)
+    answers = reps.select("rep", "least", "label", "vector", "n").join(linked, "rep", "left")
+    answers = answers.select("label", "vector", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     told = join_with_hot(rows.where(F.col("vector").isNotNull()), answers, ["label", "vector"], "n", table.count()).select("id", "n_links", "component_id")
     alone = rows.where(F.col("vector").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     real = [F.nullif(F.col(c), F.lit(LEAST_ID)).alias(n) for c, n in (("id", id_column), ("component_id", "component_id"))]
