@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEAST_ID, SLICE_BYTES, join_with_hot, merge_forest, number_or_least, whole_groups, written
+from .common import LEAST_ID, SLICE_BYTES, join_with_hot, merge_forest, number_or_least, remove, whole_groups, written
 from .components import connected_components
 
 SEED = 42
@@ -218,32 +218,35 @@ def _partition_links(bits: int, most: int | None, group: tuple[str, ...] = ("key
     return run
 
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """Edges a, b between distinct fingerprints that have the components of all links at `bits` or fewer differing bits; bits is at most 4.
+def links(prints: DataFrame, bits: int = BITS) -> tuple[DataFrame, str]:
+    """Edges a, b between distinct fingerprints that have the components of all links at `bits` or fewer differing bits, and the table that they read; bits is at most 4.
 
     Postings of up to POSTING fingerprints are settled where they lie; larger ones are dealt anew by a fourth shared byte and in pairs of blocks.
     """
     if bits > BITS:
         raise ValueError("the position triples guarantee a shared posting up to 4 differing bits")
     postings = prints.select("print", F.explode(F.array(*posting_keys(F.col("print")))).alias("key"))
-    first, _ = written(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_partition_links(bits, POSTING), LINKS), "posting-links")
+    first, path = written(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_partition_links(bits, POSTING), LINKS), "posting-links")
     edges = first.where("key IS NULL").select("a", "b")
     large = first.where("key IS NOT NULL").select("key", "block_a", "block_b", F.col("a").alias("print"))
     if large.isEmpty():
-        return edges
+        return edges, path
     where = ("key", "block_a", "block_b")
     second = large.repartition(*where).sortWithinPartitions(*where).mapInArrow(_partition_links(bits, None, where), LINKS)
-    return edges.unionByName(second.select("a", "b"))
+    return edges.unionByName(second.select("a", "b")), path
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", width: int = 4, bits: int = BITS) -> DataFrame:
     """A row per row of docs: id, fingerprint in hex, component_id (the least id that it reaches)."""
     rows, _ = written(fingerprints(docs, id_column, width), "prints")
-    distinct, _ = written(rows.groupBy("print").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-prints")
-    nodes = connected_components(links(distinct.select("print"), bits)).withColumnsRenamed({"node": "print"})
+    distinct, distinct_path = written(rows.groupBy("print").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-prints")
+    edges, edges_path = links(distinct.select("print"), bits)
+    nodes = connected_components(edges).withColumnsRenamed({"node": "print"})
+    remove(docs.sparkSession, edges_path)
     least = nodes.join(distinct, "print").groupBy("root").agg(F.min("least").alias("component_id"))
     linked = nodes.join(least, "root").select("print", "component_id")
     table, _ = written(distinct.join(linked, "print", "left").select("print", "n", F.coalesce("component_id", "least").alias("component_id")), "print-components")
+    remove(docs.sparkSession, distinct_path)
     both = join_with_hot(rows, table, ["print"], "n", rows.count())
     real = [F.nullif(F.col(c), F.lit(LEAST_ID)).alias(n) for c, n in (("id", id_column), ("component_id", "component_id"))]
     return both.select(real[0], F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), real[1])
