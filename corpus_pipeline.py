@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import exact_dedup, language_id, packing, simhash
-from gleanery.llm.common import number_or_least, read_table, written
+from gleanery.llm.common import number_or_least, read_table, release, written
 from gleanery.llm.queries import PACK_END, WINDOW, WORD_VOCABULARY
 
 #: A document whose best language has a smaller share of the evidence than this speaks none of the learned ones.
@@ -30,6 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def _one_of_each(docs: DataFrame, name: str, groups_of, group: str, best) -> DataFrame:
     """Of the rows that `groups_of` puts in one group, the one that is `best` by (id, row number)."""
     rows, _ = written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+    release(docs.sparkSession)
     told = groups_of(rows, "_row").select("_row", group).join(rows.select("_row", number_or_least(F.col("doc_id")).alias("_id")), "_row")
     kept = told.groupBy(group).agg(best(F.struct("_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
     return rows.join(kept, "_row", "left_semi").select(docs.columns)
@@ -62,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs, _ = written(docs, f"pipeline-{name}")
+            release(spark)
     return docs
