@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bounded, known, substrings_held
+from .text import bounded_shape, contains_any, folded, jaccard, known, normalized, once, substrings_held, unescape
 
 #: Names of firms and products that count as entities.
 ENTITIES = (
@@ -15,19 +15,64 @@ ENTITIES = (
     "langchain", "llamaindex", "cursor", "windsurf", "rowboat", "factiq", "backlog", "cowork", "fable", "grok", "xai", "sora",
     "kling", "nexa", "qualcomm", "kimi", "minimax", "qwen", "jiuqian", "jiqizhixin", "qbitai", "36kr", "muse", "instagram",
 )
-#: Words that tell what happened, by kind of event.
+#: What marks a kind of event in a text, as a substring; two reports of one event share a kind.
 ACTIONS = {
-    "release": ("release", "released", "releases", "launch", "launched", "launches", "unveil", "unveils", "发布", "推出", "上线"),
-    "acquisition": ("acquire", "acquires", "acquired", "acquisition", "收购"),
-    "funding": ("raise", "raises", "raised", "funding", "融资"),
-    "departure": ("resign", "resigns", "resigned", "leave", "leaves", "left", "step down", "离职", "辞职"),
-    "appointment": ("join", "joins", "joined", "appoint", "appoints", "appointed", "加入", "任命"),
-    "legal": ("sue", "sues", "sued", "lawsuit", "起诉", "诉讼"),
-    "open_source": ("open source", "open-source", "开源"),
-    "partnership": ("partner", "partners", "partnership", "合作"),
+    "release": ("release", "released", "releases", "launch", "launched", "launches", "roll out", "rollout", "available", "receiving access", "发布", "推出", "上线"),
+    "funding": ("funding", "funded", "raises", "raised", "融资", "投资", "估值"),
+    "acquisition": ("acquire", "acquired", "acquisition", "merger", "收购", "合并"),
+    "partnership": ("partner", "partnership", "collaborat", "合作"),
+    "open_source": ("open source", "open-source", "opensource", "开源"),
+    "research": ("paper", "study", "research", "论文", "研究"),
+    "departure": ("departing", "departure", "leaving", "leaves", "left", "steps down", "stepping down", "resigns", "resigned", "takes off", "headed out the door", "离职", "辞职", "离开", "卸任"),
+    "appointment": ("appointed", "appointment", "named", "promoted", "任命", "晋升"),
+    "joining": ("joins", "joined", "joining", "hired", "入职", "加入"),
+    "layoff": ("layoff", "layoffs", "laid off", "cuts jobs", "裁员"),
+    "office": ("office", "campus", "headquarters", "办公室", "总部"),
 }
-#: Words that turn a statement round.
-NEGATIONS = ("not", "no", "never", "denies", "denied", "without", "没有", "未", "否认", "不会")
+#: What marks a kind of event that a text asserts, as whole words, in the order in which they are tried.
+EVENT_ACTIONS = {
+    "release": ("发布", "推出", "介绍", "上线", "公开", "开放使用", "release", "released", "releases", "launch", "launched", "launches", "available", "receiving access", "introduce", "introduced", "introduces", "introducing", "roll out", "rollout"),
+    "update": ("更新", "升级", "新增", "下线", "update", "updated", "updates", "upgrade", "upgraded", "upgrades", "add", "added", "adds", "deprecate", "deprecated", "暂停", "追踪", "跟踪", "pause", "paused", "pauses", "tracks"),
+    "result": ("达到", "提升", "降低", "减少", "超过", "增长", "achieve", "achieved", "improve", "improved", "reduce", "reduced", "reduces", "exceed", "exceeded", "jump", "jumps"),
+    "research": ("研究发现", "论文提出", "实验显示", "发表论文", "发表", "study finds", "paper proposes", "publishes a paper", "published a paper", "publishes", "published"),
+    "funding": ("完成融资", "获得融资", "获得投资", "融资完成", "raise", "raises", "raised", "funded"),
+    "acquisition": ("收购", "完成合并", "acquire", "acquired", "acquires", "merges with"),
+    "partnership": ("达成合作", "宣布合作", "签署合作", "partners with", "partnered with", "collaborates with", "collaborated with"),
+    "appointment": ("任命", "晋升", "appoint", "appointed", "appoints", "promoted"),
+    "departure": ("宣布离职", "宣布辞职", "announces departure", "announced departure", "departs", "departed", "离职", "辞职", "离开", "卸任", "leaving", "leaves", "left", "takes off", "headed out the door", "steps down", "resigns", "resigned"),
+    "organizational_change": ("解散", "disband", "disbanded", "disbands"),
+    "joining": ("入职", "加入", "joins", "joined", "hired"),
+    "layoff": ("裁员", "layoffs", "laid off", "cuts jobs"),
+    "policy": ("颁布禁令", "出台禁令", "发布禁令", "监管裁决", "bans", "banned", "prohibits", "regulated", "issues a ban"),
+    "infrastructure": ("建设", "部署", "扩建", "扩大", "builds", "built", "deploys", "deployed", "expands"),
+    "security": ("披露漏洞", "发现漏洞", "修复漏洞", "discloses", "disclosed", "discovers", "discovered", "fixes", "fixed"),
+    "open_source": ("开源", "open source", "open-source", "open-sources"),
+}
+#: Words of which any means that nothing is asserted.
+NEGATION = r"\b(?:not|never|without|would not)\b|未|没有|并未|不会"
+#: Spellings of organisations, for the relation of reports and for the claims of a text.
+ORGANIZATIONS = {
+    "openai": "openai", "anthropic": "anthropic", "google deepmind": "google deepmind", "deepmind": "google deepmind", "google": "google", "meta": "meta",
+    "microsoft": "microsoft", "microsoft research": "microsoft", "nvidia": "nvidia", "hugging face": "hugging face", "mistral ai": "mistral ai", "mistral": "mistral ai",
+    "deepseek": "deepseek", "qwen": "qwen", "微软": "microsoft", "谷歌": "google", "谷歌深度思维": "google deepmind", "英伟达": "nvidia", "元宇宙公司": "meta", "阿里通义": "qwen", "通义千问": "qwen",
+}
+CLAIM_ORGANIZATIONS = {
+    "openai": "openai", "anthropic": "anthropic", "google": "google", "google deepmind": "google deepmind", "deepmind": "google deepmind", "mistral": "mistral ai", "mistral ai": "mistral ai",
+    "microsoft": "microsoft", "meta": "meta", "nvidia": "nvidia", "xai": "xai", "x.ai": "xai", "cohere": "cohere", "cerebras": "cerebras", "谷歌": "google", "微软": "microsoft", "英伟达": "nvidia",
+}
+#: Families of models with a version, and the variants that may follow.
+FAMILIES = ("gpt", "claude", "gemini", "llama", "qwen", "deepseek", "model")
+VARIANTS = ("deep think", "enterprise", "flash", "haiku", "maverick", "max", "mini", "nano", "opus", "pro", "scout", "sonnet", "thinking", "turbo", "ultra")
+#: Amounts, shares, years and durations, in lower case.
+QUALIFIERS = {
+    "amount": r"((?:\$|usd\s*)\d+(?:[.,]\d+)?(?:\s*(?:million|billion|m|b))?)",
+    "percent": r"(\d+(?:[.,]\d+)?%)",
+    "year": r"\b((?:19|20)\d{2})\b",
+    "duration": r"\b(\d+(?:[.,]\d+)?\s*(?:years?|months?|days?|hours?))\b",
+}
+#: Words without weight in an event's key, and in the tokens of a report.
+KEY_STOPWORDS = ("a", "an", "the", "to", "for", "of", "and", "with", "its", "new", "begin", "begins", "makes", "make", "selected")
+TEXT_STOPWORDS = ("a", "an", "and", "for", "from", "in", "is", "new", "of", "on", "the", "to", "with")
 
 
 def entities(text: Column, names: tuple[str, ...] = ENTITIES) -> Column:
@@ -35,38 +80,38 @@ def entities(text: Column, names: tuple[str, ...] = ENTITIES) -> Column:
 
 
 def actions(text: Column, kinds: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """Kinds of event of which a word is a substring, sorted."""
-    low = F.lower(known(text))
-    found = []
-    for kind, marks in sorted((kinds or ACTIONS).items()):
-        any_mark = F.lit(False)
-        for m in marks:
-            any_mark = any_mark | low.contains(m)
-        found.append(F.when(any_mark, F.lit(kind)))
-    return F.array_compact(F.array(*found))
-
-
-def asserted_actions(text: Column, kinds: dict[str, tuple[str, ...]] | None = None, negations: tuple[str, ...] = NEGATIONS) -> Column:
-    """Kinds of event of which a whole word stands in the text; none if any negation does."""
-    low = F.lower(known(text))
-    denied = F.lit(False)
-    for n in negations:
-        denied = denied | bounded(low, n)
-    found = []
-    for kind, marks in sorted((kinds or ACTIONS).items()):
-        any_mark = F.lit(False)
-        for m in marks:
-            any_mark = any_mark | bounded(low, m)
-        found.append(F.when(~denied & any_mark, F.lit(kind)))
-    return F.array_compact(F.array(*found))
-
-
-def models(text: Column) -> Column:
-    """Names of models with a version, such as gpt-5 or claude 4.5, in one spelling."""
-    shape = r"(?i)\b(gpt|claude|gemini|llama|grok|qwen|mistral|deepseek|kimi|phi)[\s-]?(v?[0-9]+(?:\.[0-9]+)*[a-z]?)\b"
-    low = F.lower(known(text))
-    names, versions = F.regexp_extract_all(low, F.lit(shape), F.lit(1)), F.regexp_extract_all(low, F.lit(shape), F.lit(2))
-    return F.array_sort(F.array_distinct(F.zip_with(names, versions, lambda n, v: F.concat(n, F.lit("-"), v))))
+    """Kinds of event of which a mark is a substring, sorted."""
+    low = folded(text)
+    return once(low, lambda x: F.array_compact(F.array(*[F.when(contains_any(x, marks), F.lit(kind)) for kind, marks in sorted((kinds or ACTIONS).items())])))
+
+
+def asserted_actions(text: Column, kinds: dict[str, tuple[str, ...]] | None = None, negation: str = NEGATION) -> Column:
+    """Kinds of event of which a whole mark stands in the text, sorted; none if it negates anything."""
+    found = lambda x: [F.when(x.rlike("|".join(map(bounded_shape, marks))), F.lit(kind)) for kind, marks in sorted((kinds or EVENT_ACTIONS).items())]
+    return once(folded(unescape(text)), lambda x: F.when(x.rlike(negation), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*found(x)))))
+
+
+def canonical_names(text: Column, spellings: dict[str, str]) -> Column:
+    """The canonical names of which a spelling stands in the text as whole words, sorted."""
+    by_name: dict[str, list[str]] = {}
+    for spelling, name in spellings.items():
+        by_name.setdefault(name, []).append(bounded_shape(spelling))
+    return once(folded(text), lambda x: F.array_compact(F.array(*[F.when(x.rlike("|".join(shapes)), F.lit(name)) for name, shapes in sorted(by_name.items())])))
+
+
+def organizations(text: Column, spellings: dict[str, str] | None = None) -> Column:
+    return canonical_names(text, spellings or ORGANIZATIONS)
+
+
+def models(text: Column, families: tuple[str, ...] = FAMILIES, variants: tuple[str, ...] = VARIANTS) -> Column:
+    """Names of models with a version, and the variant that follows: gpt-4o-mini, claude-4.5-sonnet. Sorted."""
+    suffix = "|".join(sorted(variants, key=lambda v: (-len(v), v)))
+    shape = rf"(?iU)\b((?:{'|'.join(families)})[- ]?[a-z]*\d[\w.+-]*)(?:\s*(?:\(\s*)?({suffix})\b(?:\s*\))?)?"
+    plain = F.regexp_replace(normalized(text), "[\u2010-\u2015\u2212]", "-")
+    part = lambda x, n: F.regexp_extract_all(x, F.lit(shape), F.lit(n))
+    dashed = lambda v, of: F.regexp_replace(F.lower(v), of, "-")
+    named = lambda base, more: F.when(F.coalesce(more, F.lit("")) != "", F.concat(dashed(base, r"[\s-]+"), F.lit("-"), dashed(more, r"\s+"))).otherwise(dashed(base, r"[\s-]+"))
+    return once(plain, lambda x: F.array_sort(F.array_distinct(F.zip_with(part(x, 1), part(x, 2), named))))
 
 
 def people(text: Column, names: tuple[str, ...]) -> Column:
@@ -84,22 +129,29 @@ def _marked(kind: str):
 
 
 def qualifiers(text: Column) -> Column:
-    """kind:value of years, shares, amounts and durations, sorted."""
-    low = F.lower(known(text))
-    shapes = (("year", r"\b((?:19|20)[0-9]{2})\b"), ("percent", r"([0-9]+(?:\.[0-9]+)?)\s?%"), ("amount", r"([0-9]+(?:\.[0-9]+)?)\s?(?:million|billion|亿|万)"), ("duration", r"([0-9]+)\s?(?:days|weeks|months|years|天|周|个月|年)"))
-    parts = [F.transform(F.regexp_extract_all(low, F.lit(s), F.lit(1)), _marked(k)) for k, s in shapes]
-    return F.array_sort(F.array_distinct(F.concat(*parts)))
+    """kind:value of years, shares, amounts with their scale, and durations, sorted."""
+    found = lambda x: [F.transform(F.regexp_extract_all(x, F.lit(shape), F.lit(1)), _marked(kind)) for kind, shape in QUALIFIERS.items()]
+    return once(folded(text), lambda x: F.array_sort(F.array_distinct(F.concat(*found(x)))))
 
 
-def tokens(text: Column, stop: tuple[str, ...] = ("a", "an", "and", "for", "in", "of", "on", "the", "to", "with")) -> Column:
-    """Words, numbers and ideographs in order, without the commonest words."""
-    found = F.regexp_extract_all(F.lower(known(text)), F.lit("([a-z0-9]+|[一-鿿])"), F.lit(1))
+def tokens(text: Column, stop: tuple[str, ...] = KEY_STOPWORDS) -> Column:
+    """Words and numbers with inner marks, and runs of ideographs, in order, without the commonest words."""
+    found = F.regexp_extract_all(F.lower(known(text)), F.lit("([a-z0-9][a-z0-9.+-]*|[一-鿿]{2,})"), F.lit(1))
     return F.filter(found, lambda t: ~t.isin(*stop))
 
 
-def event_key(text: Column) -> Column:
-    """`event-` and 16 digits of the digest of the tokens."""
-    return F.concat(F.lit("event-"), F.left(F.sha2(F.array_join(tokens(text), " "), 256), F.lit(16)))
+def event_key(title: Column, url: Column, publisher: Column) -> Column:
+    """`event-` and 16 digits of the digest of the title's tokens; without any, of the address, else of the publisher."""
+    from .urls import event_url
+
+    signed = F.array_join(tokens(title), " ")
+    address = event_url(url)
+    return F.concat(F.lit("event-"), F.left(F.sha2(F.when(signed != "", signed).when(address != "", address).otherwise(known(publisher)), 256), F.lit(16)))
+
+
+def text_similarity(a: Column, b: Column) -> Column:
+    """Jaccard share of two arrays of distinct tokens."""
+    return jaccard(a, b)
 
 
 def conflicting(a: Column, b: Column) -> Column:

@@ -24,7 +24,7 @@ def strict_draft(raw: Column, index: Column, key: Column) -> Column:
 
     def read(v):
         listed = at(v, "$.brief", "array<string>")
-        several = F.when(F.size(listed).between(1, MOST_SENTENCES) & ~F.exists(listed, blank), F.array_join(F.transform(listed, F.trim), ""))
+        several = F.when(F.size(listed).between(1, MOST_SENTENCES) & ~F.exists(listed, blank), F.array_join(F.transform(listed, lambda p: F.trim(p)), ""))
         text = F.schema_of_variant(v) == TYPES[0]
         fields = F.struct(
             F.trim(at(v, "$.chinese_title", "string")).alias("title"), F.when(text, F.trim(at(v, "$.brief", "string"))).otherwise(several).alias("brief"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,21 @@ def collapse(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(known(value), " ", " "), r"\s+", " "))
 
 
+#: Full-width forms and the plain characters that they stand for.
+WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+
+
+def normalized(value: Column) -> Column:
+    """Compatible forms in one spelling (full-width characters become plain), white space collapsed."""
+    return collapse(F.translate(known(value), WIDE, PLAIN))
+
+
+def folded(value: Column) -> Column:
+    """`normalized`, without case."""
+    return F.replace(F.lower(normalized(value)), F.lit("ß"), F.lit("ss"))
+
+
 def unescape(value: Column) -> Column:
     """Text with the commonest character references resolved, once."""
     out = known(value)
@@ -122,9 +139,9 @@ def summary_sentences(value: Column) -> Column:
 
 
 def sentences(value: Column) -> Column:
-    """Sentences ended by a mark, or by a full stop after a letter or digit and before white space; lines end them too."""
-    parts = F.split(known(value), r"[。！？!?；;\n]+|(?<=[a-zA-Z0-9])\.(?=\s|$)")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    """Sentences ended by a mark, or by a full stop between a letter or digit and white space; lines end them too."""
+    parts = F.split(known(value), r"[。！？!?；;\n]+|(?<=[a-zA-Z0-9])\.\s+")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda s: s != "")
 
 
 def comparison_text(value: Column) -> Column:
@@ -167,13 +184,15 @@ def substrings_held(text: Column, needles: list[str] | tuple[str, ...]) -> Colum
     return F.array_compact(F.array(*[F.when(text.contains(n), F.lit(n)) for n in sorted(needles)]))
 
 
-def bounded(text: Column, phrase: str) -> Column:
-    """Whether a phrase stands between characters that are neither letters nor digits; ideographs need no bounds."""
-    import re
+def bounded_shape(phrase: str) -> str:
+    """The pattern of a phrase between characters that are neither letters nor digits; ideographs need no bounds."""
+    plain = re.escape(phrase).replace("\\ ", " ")
+    return plain if re.search(IDEOGRAPH, phrase) else f"(?<![a-z0-9]){plain}(?![a-z0-9])"
+
 
-    if re.search(IDEOGRAPH, phrase):
-        return text.contains(phrase)
-    return text.rlike("(?<![a-z0-9])" + re.escape(phrase) + "(?![a-z0-9])")
+def bounded(text: Column, phrase: str) -> Column:
+    """Whether a phrase stands between characters that are neither letters nor digits."""
+    return text.rlike(bounded_shape(phrase))
 
 
 def first_named(text: Column, names: dict[str, tuple[str, ...]], other: str = "") -> Column:
@@ -182,3 +201,9 @@ def first_named(text: Column, names: dict[str, tuple[str, ...]], other: str = ""
     for name, aliases in reversed(list(names.items())):
         out = F.when(contains_any(text, aliases), name).otherwise(out)
     return out
+
+
+def text_tokens(text: Column, stop: tuple[str, ...]) -> Column:
+    """Distinct words and numbers with inner marks and runs of ideographs, without the commonest words."""
+    found = F.regexp_extract_all(folded(text), F.lit("([a-z0-9][a-z0-9.+-]*|[一-鿿]{2,})"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda t: ~t.isin(*stop)))

@@ -65,7 +65,7 @@ def signal(title: Column, url: Column, short: tuple[str, ...], long: tuple[str,
 def community_only(source: Column, kind: Column, cross_sources: Column) -> Column:
     """Posts that only the one forum carries: each part of the source label names it."""
     low = F.lower(known(source))
-    parts = F.filter(F.transform(F.split(low, r"\s+(?:\+|\|)\s+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(low, r"\s+(?:\+|\|)\s+"), lambda p: F.trim(p)), lambda p: p != "")
     all_forum = F.forall(F.when(F.size(parts) > 0, parts).otherwise(F.array(low)), lambda p: p.contains("hacker news") | p.isin("hn", "hnrss"))
     return ((kind == "hn") & (cross_sources == 0)) | (low.contains("hacker news") & all_forum)
 
@@ -125,9 +125,10 @@ def explainable_release(description: Column, notes: Column) -> Column:
     return (F.length(F.trim(known(description))) >= 24) & (F.length(F.trim(known(notes))) >= 40)
 
 
-def community_radar(kind: Column, tier: Column, cross_sources: Column, explained: Column) -> Column:
-    """Rows that only show what a community looks at: they are never selected."""
-    return ((kind == "github") & ~explained) | ((kind == "hn") & (cross_sources == 0)) | (tier == "community")
+def community_radar(kind: Column, tier: Column, cross_sources: Column, event: Column, explained: Column) -> Column:
+    """Rows that only show what a community looks at, which are never selected: code activity but for explained releases,
+    posts of the forum without another source, and else what its tier says."""
+    return F.when(F.lower(kind) == "github", (event != "github_release") | ~explained).when(F.lower(kind) == "hn", cross_sources == 0).otherwise(tier == "community")
 
 
 def model_quality(likes: Column, downloads: Column) -> Column:
@@ -156,30 +157,3 @@ def event_type(text: Column, kind: Column, activity: Column) -> Column:
         .when(contains_any(low, ("conference", "大会", "峰会")), "conference")
         .otherwise("news")
     )
-
-
-def claim_frames(text: Column, marks: dict[str, tuple[str, ...]]) -> Column:
-    """array<struct<action, subjects, details>>, one per sentence: the first action mark splits a sentence into what acts and what is said of it.
-
-    A sentence without a mark has an empty action, no subjects and its tokens as details.
-    """
-    from ..functions.anchors import tokens
-    from ..functions.text import sentences
-
-    def frame(sentence):
-        places = F.array_compact(F.array(*[F.when(F.locate(m, sentence) > 0, F.struct(F.locate(m, sentence).alias("at"), F.lit(n).alias("order"), F.lit(kind).alias("kind"), F.lit(len(m)).alias("size"))) for n, (kind, many) in enumerate(marks.items()) for m in many]))
-        first = F.array_min(places)
-        at = F.coalesce(first["at"], F.lit(0))
-        return F.struct(
-            F.coalesce(first["kind"], F.lit("")).alias("action"),
-            F.array_distinct(tokens(F.when(at > 0, F.substring(sentence, F.lit(1), at - 1)).otherwise(""))).alias("subjects"),
-            F.array_distinct(tokens(F.when(at > 0, F.substring(sentence, at + first["size"], F.length(sentence))).otherwise(sentence))).alias("details"),
-        )
-
-    return F.transform(sentences(F.lower(known(text))), frame)
-
-
-def claim_supported(claim: Column, quote: Column) -> Column:
-    """Whether one frame of the quote holds the claim's: the same action, and its subjects and details. Frames of several sentences never add up."""
-    within = lambda a, b: F.size(F.array_except(a, b)) == 0
-    return F.forall(claim, lambda c: (F.size(c["details"]) > 0) & F.exists(quote, lambda q: (q["action"] == c["action"]) & within(c["subjects"], q["subjects"]) & within(c["details"], q["details"])))

@@ -22,8 +22,8 @@ BRANDS = {"acme": ("nth", "eaux"), "bolt": ("tion",)}
 PLACES = {"acme": ("src0.", "src1."), "bolt": ("src2.",)}
 ACTS = ("the", "la", "der", "el")
 STANCES = {"prediction": ("will", "tion"), "critique": ("eau", "the")}
-MARKS = {"joins": (" and ", " et "), "moves": (" the ", " la ")}
 PEOPLE = ("tion", "eaux")
+SHORT, LONG, WEAK, SIGNAL_PLACES = ("and", "et", "und"), ("tion",), ("th", "la"), ("src0.", "src1.")
 KINDS = {"a": ("the",), "b": ("la", "le"), "c": ("der", "die")}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,12 +182,12 @@ def score_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents), t AS (SELECT *, list_filter(regexp_extract_all(x, '([a-z0-9]+|[一-鿿])', 1), lambda w: w NOT IN ('a', 'an', 'and', 'for', 'in', 'of', 'on', 'the', 'to', 'with')) AS tokens FROM d)
-SELECT doc_id, 'event-' || left(sha256(array_to_string(tokens, ' ')), 16) AS event_key, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(x, '([0-9]+(?:\\.[0-9]+)?)', 1), lambda n: 'number:' || n))), ',') AS numbers,
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS x, coalesce(source, '') AS publisher FROM documents), t AS (SELECT *, list_filter(regexp_extract_all(x, '([a-z0-9][a-z0-9.+-]*|[一-鿿]{2,})', 1), lambda w: w NOT IN ('a', 'an', 'the', 'to', 'for', 'of', 'and', 'with', 'its', 'new', 'begin', 'begins', 'makes', 'make', 'selected')) AS tokens FROM d)
+SELECT doc_id, 'event-' || left(sha256(CASE WHEN len(tokens) > 0 THEN array_to_string(tokens, ' ') ELSE publisher END), 16) AS event_key, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(x, '([0-9]+(?:\\.[0-9]+)?)', 1), lambda n: 'number:' || n))), ',') AS numbers,
     array_to_string(list_sort(list_filter(['tion', 'eaux', 'the ', 'ung'], lambda k: contains(x, k))), ',') AS entities FROM t""")
 def anchors_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", anchors.event_key(x).alias("event_key"), F.array_join(anchors.numbers(x), ",").alias("numbers"), F.array_join(anchors.entities(x, ("tion", "eaux", "the ", "ung")), ",").alias("entities"))
+    return table(spark, sf_dir, "documents").select("doc_id", anchors.event_key(x, F.lit(""), F.col("source")).alias("event_key"), F.array_join(anchors.numbers(x), ",").alias("numbers"), F.array_join(anchors.entities(x, ("tion", "eaux", "the ", "ung")), ",").alias("entities"))
 
 
 @query("""
@@ -221,27 +221,24 @@ def opinion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {CANDIDATES}, f AS (SELECT *, (source_type = 'hn' OR (contains(lower(source), 'hacker news'))) AS forum FROM c)
-SELECT id, CASE WHEN forum THEN 1 ELSE 0 END AS forum_only, CASE WHEN regexp_matches(lower(title), '\\b(th)') THEN 'strong_short' ELSE '' END AS sig,
-    CASE WHEN (source_type = 'github') OR source_type = 'hn' OR source_type = 'huggingface' THEN 1 ELSE 0 END AS radar,
+WITH {CANDIDATES}, f AS (SELECT *, hn_comments % 2 AS crossed, lower(title) AS low FROM c)
+SELECT id, CASE WHEN (source_type = 'hn' AND crossed = 0) THEN 1 ELSE 0 END AS forum_only,
+    CASE WHEN regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}_])(and|et|und)($|[^\\p{{L}}\\p{{N}}_])') THEN 'strong_short' WHEN contains(low, 'tion') THEN 'strong_long' WHEN (contains(low, 'th') OR contains(low, 'la')) AND (contains(url, 'src0.') OR contains(url, 'src1.')) THEN 'weak' ELSE '' END AS sig,
+    CASE WHEN source_type = 'github' THEN CAST(github_stars % 2 = 1 OR length(trim(title)) < 24 OR length(trim(left(summary, 60))) < 40 AS INTEGER) WHEN source_type = 'hn' THEN CAST(crossed = 0 AS INTEGER) WHEN source_type = 'huggingface' THEN 1 ELSE 0 END AS radar,
     CASE WHEN source_type = 'arxiv' THEN 'research' WHEN source_type IN ('hn', 'github', 'huggingface') THEN 'community' ELSE 'media' END AS tier FROM f""")
 def community_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code rows are releases by their stars, with notes by their length; forum rows have another source by their comments."""
     c = candidates(spark, sf_dir)
     tier = predicates.tier_of(F.lit(""), F.col("source_type"))
-    forum = predicates.community_only(F.col("source"), F.col("source_type"), F.lit(0))
-    radar = predicates.community_radar(F.col("source_type"), tier, F.lit(0), F.lit(False))
-    sig = F.when(F.lower("title").rlike(r"\b(th)"), "strong_short").otherwise("")
+    cross = F.col("hn_comments") % 2
+    forum = predicates.community_only(F.col("source"), F.col("source_type"), cross)
+    event = F.when(F.col("github_stars") % 2 == 0, "github_release").otherwise("github_activity")
+    explained = predicates.explainable_release(F.col("title"), F.substring("summary", 1, 60))
+    radar = predicates.community_radar(F.col("source_type"), tier, cross, event, explained)
+    sig = predicates.signal(F.col("title"), F.col("url"), SHORT, LONG, WEAK, SIGNAL_PLACES)
     return c.select("id", forum.cast("int").alias("forum_only"), sig.alias("sig"), radar.cast("int").alias("radar"), tier.alias("tier"))
 
 
-@query()
-def supported_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the frames of a text support those of its title."""
-    d = table(spark, sf_dir, "documents")
-    frames = lambda c: predicates.claim_frames(c, MARKS)
-    return d.select("doc_id", predicates.claim_supported(frames(title_of(F.col("text"))), frames(F.col("text"))).alias("supported"), F.size(frames(F.col("text"))).alias("n_frames"))
-
-
 # Joins
 
 
@@ -567,9 +564,15 @@ def related_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation.related_pairs(relation.documents(rows, PEOPLE, ("ung", "ment"), KINDS), 12.0)
 
 
+def _register() -> None:
+    from . import publishing  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _register()
     return {name: f for name, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return {name: sql for name, (_, sql) in FOUND.items() if sql}
