@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import contains_any
 
 #: The weight of a source by the first name that its label holds; 5 where none does.
 SOURCE_AUTHORITY = {
@@ -100,8 +99,9 @@ def impact_score(importance: Column, evidence: Column) -> Column:
     return clamp(importance * 0.7 + evidence * 0.3)
 
 
-def risk_level(risky: Column, evidence: Column, ready: Column) -> Column:
-    return F.when(risky | ~ready | (evidence < 4), "high").when(evidence < 6, "medium").otherwise("low")
+def risk_level(risky: Column, evidence: Column, ready: Column, unsure: Column) -> Column:
+    """high without a ready content or with a publish risk; medium with little evidence or low confidence."""
+    return F.when(risky | ~ready, "high").when((evidence < 6) | unsure, "medium").otherwise("low")
 
 
 def hash_distance(a: Column, b: Column) -> Column:
@@ -109,11 +109,3 @@ def hash_distance(a: Column, b: Column) -> Column:
     good = a.rlike("^[0-9a-fA-F]{16}$") & b.rlike("^[0-9a-fA-F]{16}$")
     bits = lambda c: F.conv(c, 16, -10).cast("long")
     return F.coalesce(F.when(good, F.bit_count(bits(a).bitwiseXOR(bits(b)))), F.lit(64))
-
-
-def image_score(url: Column) -> Column:
-    """An additive guess from an image's address, 0 to 100: large and cover images gain, icons, logos and trackers lose."""
-    low = F.lower(url)
-    gains = F.when(contains_any(low, ("cover", "hero", "og", "featured")), 20).otherwise(0) + F.when(low.rlike(r"\.(jpg|jpeg|png|webp)(\?|$)"), 10).otherwise(0)
-    losses = F.when(contains_any(low, ("icon", "logo", "avatar", "sprite", "pixel", "1x1")), 60).otherwise(0)
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.lit(50) + gains - losses))

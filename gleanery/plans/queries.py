@@ -171,14 +171,14 @@ def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT doc_id, n_chars % 101 / 10.0 AS s, n_chars % 13 / 1.0 AS e, doc_id % 3 AS t FROM documents WHERE n_chars IS NOT NULL)
+WITH d AS (SELECT doc_id, coalesce(n_chars, 0) % 101 / 10.0 AS s, coalesce(n_chars, 0) % 13 / 1.0 AS e, doc_id % 3 AS t FROM documents)
 SELECT doc_id, CASE WHEN s < 4 THEN 'below_4' WHEN s < 7 THEN '4_to_7' WHEN s < 8.5 THEN '7_to_8_5' ELSE '8_5_and_above' END AS bucket,
-    CASE WHEN t = 0 OR e < 4 THEN 'high' WHEN e < 6 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN s >= 8 THEN 'high' WHEN s >= 5 THEN 'medium' ELSE 'low' END AS importance FROM d""")
+    CASE WHEN t = 0 THEN 'high' WHEN e < 6 OR doc_id % 7 = 0 THEN 'medium' ELSE 'low' END AS risk, round(CAST(s AS DOUBLE) * 0.7 + CAST(e AS DOUBLE) * 0.3, 6) AS plain FROM d""")
 def score_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("n_chars IS NOT NULL")
-    s, e = F.col("n_chars") % 101 / 10.0, F.col("n_chars") % 13 / 1.0
-    importance = F.when(s >= 8, "high").when(s >= 5, "medium").otherwise("low")
-    return d.select("doc_id", scoring.score_bucket(s).alias("bucket"), scoring.risk_level(F.col("doc_id") % 3 == 0, e, F.lit(True)).alias("risk"), importance.alias("importance"))
+    n = F.coalesce("n_chars", F.lit(0))
+    s, e = n % 101 / 10.0, n % 13 / 1.0
+    risk = scoring.risk_level(F.col("doc_id") % 3 == 0, e, F.lit(True), F.col("doc_id") % 7 == 0)
+    return table(spark, sf_dir, "documents").select("doc_id", scoring.score_bucket(s).alias("bucket"), risk.alias("risk"), F.round(s * 0.7 + e * 0.3, 6).alias("plain"))
 
 
 @query("""
@@ -565,7 +565,7 @@ def related_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register() -> None:
-    from . import publishing  # noqa: F401
+    from . import publishing, signals  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
