@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bounded_shape, contains_any, folded, jaccard, known, normalized, once, substrings_held, unescape
+from .text import bounded_shape, contains_any, folded, jaccard, known, normalized, once, one_of, substrings_held, unescape
 
 #: Names of firms and products that count as entities.
 ENTITIES = (
@@ -137,7 +137,7 @@ def qualifiers(text: Column) -> Column:
 def tokens(text: Column, stop: tuple[str, ...] = KEY_STOPWORDS) -> Column:
     """Words and numbers with inner marks, and runs of ideographs, in order, without the commonest words."""
     found = F.regexp_extract_all(F.lower(known(text)), F.lit("([a-z0-9][a-z0-9.+-]*|[一-鿿]{2,})"), F.lit(1))
-    return F.filter(found, lambda t: ~t.isin(*stop))
+    return F.filter(found, lambda t: ~one_of(t, stop))
 
 
 def event_key(title: Column, url: Column, publisher: Column) -> Column:

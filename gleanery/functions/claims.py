@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import IDEOGRAPH, collapse, comparison_text, contains_any, grams, known, once
+from .text import IDEOGRAPH, collapse, comparison_text, contains_any, grams, known, once, one_of, quoted
 
 _WORD = r"([A-Za-z][A-Za-z0-9.+-]*)"
 _NUMBER = r"([0-9]+(?:[.,][0-9]+)?)"
@@ -84,10 +84,10 @@ def related(claim: Column, quote: Column, groups: dict[str, tuple[str, ...]]) ->
 def anchors_held(claim: Column, quote: Column, stop: tuple[str, ...] = (), marks: tuple[str, ...] = ()) -> Column:
     """Whether rules alone can vouch for a claim in another language: it has names, all of them in the quote, and no
     ideographs but those of the known marks."""
-    names = lambda v: F.filter(_bare(_all(v, r"(?<![A-Za-z0-9])" + _WORD)), lambda t: ~t.isin(*stop) if stop else F.lit(True))
+    names = lambda v: F.filter(_bare(_all(v, r"(?<![A-Za-z0-9])" + _WORD)), lambda t: ~one_of(t, stop) if stop else F.lit(True))
     rest = F.regexp_replace(known(claim), "[^一-鿿]", "")
-    for mark in marks:
-        rest = F.replace(rest, F.lit(mark), F.lit(""))
+    if marks:
+        rest = F.regexp_replace(rest, "|".join(map(quoted, marks)), "")
     return once(names(claim), lambda n: (F.size(n) > 0) & (F.size(F.array_except(n, names(quote))) == 0) & (rest == ""))
 
 
@@ -96,4 +96,4 @@ def untranslated_prose(title: Column, words: tuple[str, ...]) -> Column:
     rest = F.regexp_replace(known(title), r"(?i)https?://\S+", " ")
     rest = F.regexp_replace(rest, r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+", " ")
     rest = F.regexp_replace(rest, r'[`"][A-Za-z][^`"]*[`"]', " ")
-    return F.exists(_all(rest, r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z-]*)(?![A-Za-z0-9])"), lambda w: w.isin(*words))
+    return F.exists(_all(rest, r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z-]*)(?![A-Za-z0-9])"), lambda w: one_of(w, words))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import contains_any, known, once, unescape
+from .text import contains_any, known, once, one_of, unescape
 
 #: Parts of addresses of pictures that show nothing, and endings of pictures.
 BAD_HINTS = ("favicon", "icon-", "apple-touch-icon", "logo", "avatar", "profile", "sprite", "placeholder", "transparent", "tracking", "pixel", "badge", "default", "blank", "spacer", "loading", "spinner", "gravatar")
@@ -43,7 +43,7 @@ def picture_anchors(text: Column) -> Column:
     def found(x):
         models = F.transform(F.regexp_extract_all(x, F.lit(MODEL), F.lit(1)), lambda m: F.concat(F.lit("model:"), F.regexp_replace(m, r"\s+", "-")))
         bare = F.transform(F.regexp_extract_all(x, F.lit(TOKEN), F.lit(1)), lambda t: F.btrim(t, F.lit(".-")))
-        kept = F.filter(bare, lambda t: (t != "") & ~t.isin(*GENERIC, *FIRMS))
+        kept = F.filter(bare, lambda t: (t != "") & ~one_of(t, (*GENERIC, *FIRMS)))
         return F.array_sort(F.array_distinct(F.concat(models, F.transform(kept, lambda t: F.concat(F.lit("token:"), t)))))
 
     return once(F.lower(unescape(text)), found)

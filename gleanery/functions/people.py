@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .anchors import ORGANIZATIONS
-from .text import bounded_shape, folded, known, normalized, once
+from .text import bounded_shape, folded, known, normalized, once, one_of
 
 #: Known people, other spellings, and names that are none.
 KNOWN = (
@@ -41,13 +41,13 @@ def people(text: Column) -> Column:
     def named(line):
         def read(shown):
             words = F.split(F.lower(shown), r"[ \t]+")
-            places = F.transform(words, lambda w, i: F.when(w.isin(*TITLE_HEADS), i + 1).otherwise(0))
+            places = F.transform(words, lambda w, i: F.when(one_of(w, TITLE_HEADS), i + 1).otherwise(0))
             return once(F.struct(F.array_max(places).alias("at"), words.alias("words")), lambda p: kept(shown, p))
 
         def kept(shown, p):
             rest = F.slice(p["words"], p["at"] + 1, F.size(p["words"]))
             name = F.array_join(rest, " ")
-            fits = (F.size(rest) >= 2) & ~F.exists(rest, lambda w: w.isin(*DESIGNATORS)) & ~name.isin(*NO_PEOPLE, *organizations)
+            fits = (F.size(rest) >= 2) & ~F.exists(rest, lambda w: one_of(w, DESIGNATORS)) & ~one_of(name, (*NO_PEOPLE, *organizations))
             return F.when(fits & ((p["at"] > 0) | F.regexp_like(line, context_shape(name, shown))), name)
 
         return F.transform(F.regexp_extract_all(line, F.lit(NAME), F.lit(1)), read)
@@ -58,7 +58,7 @@ def people(text: Column) -> Column:
 
     def both(f):
         return F.struct(
-            F.array_sort(F.array_distinct(F.concat(f["spelled"], F.filter(f["found"], lambda n: n.isin(*KNOWN))))).alias("people"),
+            F.array_sort(F.array_distinct(F.concat(f["spelled"], F.filter(f["found"], lambda n: one_of(n, KNOWN))))).alias("people"),
             F.array_sort(F.array_distinct(F.concat(f["spelled"], f["found"]))).alias("candidates"),
         )
 
@@ -70,3 +70,8 @@ def shared(a: Column, text_a: Column, b: Column, text_b: Column) -> Column:
     stands = lambda text, name: F.regexp_like(text, F.concat(F.lit(r"(?<![a-z0-9])"), F.regexp_replace(name, r"([.])", r"\\$1"), F.lit(r"(?![a-z0-9])")))
     within = lambda names, text: once(folded(text), lambda x: F.filter(names, lambda n: stands(x, n)))
     return F.array_sort(F.array_distinct(F.concat(F.array_intersect(a, b), within(a, text_b), within(b, text_a))))
+
+
+def mentioned(text: Column) -> Column:
+    """The known people whose name stands in a text as a phrase, whatever its case, sorted."""
+    return once(folded(text), lambda x: F.array_compact(F.array(*[F.when(x.contains(name) & x.rlike(bounded_shape(name)), F.lit(name)) for name in sorted(KNOWN)])))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .anchors import CLAIM_ORGANIZATIONS, EVENT_ACTIONS, asserted_actions, canonical_names
-from .text import IDEOGRAPH, bounded_shape, folded, known, normalized, once, sentences, unescape
+from .text import IDEOGRAPH, bounded_shape, contains_any, folded, known, lookup, normalized, once, one_of, quoted, sentences, unescape
 
 #: Subjects and details that say nothing.
 GENERIC_SUBJECTS = (
@@ -82,17 +82,15 @@ def _subject(text: Column) -> Column:
     """A subject as it is written, or an empty string if it is generic or a number."""
     bare = F.btrim(normalized(text), F.lit(" ,，:：-—"))
     bare = F.regexp_replace(F.regexp_replace(bare, r"^(?:在|于|截至)\s*", ""), r"(?i)\b(?:has|have|had|is|are|was|were|will)\s*$", "")
-    return once(bare, lambda x: F.when((x == "") | F.lower(x).isin(*GENERIC_SUBJECTS) | x.rlike(r"^\d+(?:[.,]\d+)?$"), "").otherwise(x))
+    return once(bare, lambda x: F.when((x == "") | one_of(F.lower(x), GENERIC_SUBJECTS) | x.rlike(r"^\d+(?:[.,]\d+)?$"), "").otherwise(x))
 
 
 def detail_anchors(text: Column, kinds: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Organisations, models, numbers, and all other words but generic ones and marks of events."""
     marks = [m for many in (kinds or EVENT_ACTIONS).values() for m in many]
-    import re
-
-    bare = F.regexp_replace(folded(text), "|".join(re.escape(m).replace("\\ ", " ") for m in marks), " ")
+    bare = F.regexp_replace(folded(text), "|".join(map(quoted, marks)), " ")
     words = F.transform(F.split(F.regexp_replace(bare, "[^a-z0-9一-鿿.+-]+", " "), r"\s+"), lambda w: F.btrim(w, F.lit(_ENDS)))
-    literal = F.transform(F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*GENERIC_DETAILS)), _prefixed("literal:"))
+    literal = F.transform(F.filter(words, lambda w: (F.length(w) >= 2) & ~one_of(w, GENERIC_DETAILS)), _prefixed("literal:"))
     return F.array_distinct(F.concat(organization_anchors(text), model_anchors(text), numeric_anchors(text), literal))
 
 
@@ -105,7 +103,7 @@ def claim_frame(text: Column, kinds: dict[str, tuple[str, ...]] | None = None) -
     for kind, many in kinds.items():
         for m in many:
             kind_of.setdefault(m, kind)
-    table = F.create_map(*[F.lit(v) for pair in kind_of.items() for v in pair])
+    table = lookup(kind_of)
 
     def split(x):
         low = F.lower(x)
@@ -145,16 +143,9 @@ def claim_supported(claim: Column, quote: Column, publisher: Column | None = Non
     return once(claim_frame(claim, kinds), lambda c: F.coalesce(F.exists(frames, lambda q: F.coalesce(frame_supported(c, q, own), F.lit(False))), F.lit(False)))
 
 
-def _any(text: Column, words: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for w in words:
-        found = found | text.contains(w)
-    return found
-
-
 def activity_only(evidence: Column) -> Column:
     """Evidence that tells of code activity and of no publication."""
-    return once(F.lower(known(evidence)), lambda e: _any(e, ACTIVITY_WORDS) & ~_any(e, PUBLICATION_WORDS))
+    return once(F.lower(known(evidence)), lambda e: contains_any(e, ACTIVITY_WORDS) & ~contains_any(e, PUBLICATION_WORDS))
 
 
 def source_reason(title: Column, evidence: Column, channel: Column, found_at: Column, kinds: dict[str, tuple[str, ...]] | None = None) -> Column:
@@ -194,7 +185,7 @@ def anchored_title(title: Column) -> Column:
     """A minimal Chinese title of who, what and of what, made of an English title's own anchors alone; null where one of them lacks."""
     verb_of = {m: verb for verb, many in TRANSLATIONS.items() for m in many}
     shape = marks_shape(list(verb_of))
-    verbs = F.create_map(*[F.lit(v) for pair in verb_of.items() for v in pair])
+    verbs = lookup(verb_of)
     names = "|".join(bounded_shape(a).replace("[a-z0-9]", "[a-zA-Z0-9]") if not _ideographs(a) else f"(?<![a-zA-Z0-9]){a}(?![a-zA-Z0-9])" for a in sorted(CLAIM_ORGANIZATIONS, key=lambda a: (-len(a), a)))
     surface = rf"(?i)({names}|{CLAIM_MODEL.removeprefix('(?iU)')})"
     word = r"(?i)((?<![a-z0-9])[a-z][a-z0-9.+-]*(?![a-z0-9]))"
@@ -208,7 +199,7 @@ def anchored_title(title: Column) -> Column:
         first = F.regexp_extract(p["before"], surface, 1)
         subject = F.when(first != "", first).otherwise(_subject(p["before"]))
         anchors = F.filter(F.regexp_extract_all(p["after"], F.lit(surface), F.lit(1)), lambda a: F.lower(a) != F.lower(subject))
-        words = F.filter(F.regexp_extract_all(p["after"], F.lit(word), F.lit(1)), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*DETAIL_STOPWORDS))
+        words = F.filter(F.regexp_extract_all(p["after"], F.lit(word), F.lit(1)), lambda w: (F.length(w) >= 3) & ~one_of(F.lower(w), DETAIL_STOPWORDS))
         detail = F.coalesce(F.get(anchors, F.lit(0)), F.get(words, F.lit(0)))
         return F.when((p["mark"] != "") & (subject != "") & detail.isNotNull(), F.concat_ws(" ", subject, F.element_at(verbs, p["mark"]), detail))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -135,7 +136,7 @@ def title_similarity(a: Column, b: Column) -> Column:
 def summary_sentences(value: Column) -> Column:
     """Sentences of a summary without their final marks."""
     parts = F.split(known(value), r"(?<=[。！？!?])\s*")
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(F.trim(s), r"[。！？!?]+$", "")), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.rtrim(F.regexp_replace(s, r"^\s+|\s+$", ""), F.lit("。！？!? "))), lambda s: s != "")
 
 
 def sentences(value: Column) -> Column:
@@ -144,9 +145,18 @@ def sentences(value: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda s: s != "")
 
 
+#: Characters without weight where claims are compared.
+COMPARED_MARKS = "[\\s，,。.!！?？:：;；、\"'“”‘’（）()【】\\[\\]]+"
+
+
+def plain_text(value: Column) -> Column:
+    """Text with references resolved, a tag as a space, and white space collapsed."""
+    return collapse(F.regexp_replace(unescape(value), r"<[^>]+>", " "))
+
+
 def comparison_text(value: Column) -> Column:
-    """Text for comparing claims: no tags, lower case, nothing but letters, digits and ideographs."""
-    return F.regexp_replace(F.lower(F.regexp_replace(known(value), r"<[^>]+>", "")), "[^0-9a-z一-鿿]+", "")
+    """Text for comparing claims: plain, lower case, without white space and punctuation."""
+    return F.regexp_replace(F.lower(plain_text(value)), COMPARED_MARKS, "")
 
 
 def latin_tokens(value: Column, stop: tuple[str, ...] = ("a", "an", "the")) -> Column:
@@ -171,14 +181,31 @@ def first_component(value: Column) -> Column:
     return F.coalesce(F.trim(F.get(parts, F.lit(0))), F.lit(""))
 
 
+def quoted(phrase: str) -> str:
+    """A phrase as a pattern that means itself."""
+    return re.escape(phrase).replace("\\ ", " ")
+
+
 def contains_any(text: Column, needles: list[str] | tuple[str, ...]) -> Column:
-    """Whether any of the needles is a substring."""
+    """Whether any of the needles is a substring. Many of them are one pattern, which keeps the expression small."""
+    if len(needles) > 3:
+        return text.rlike("|".join(map(quoted, needles)))
     found = F.lit(False)
     for needle in needles:
         found = found | text.contains(needle)
     return found
 
 
+def one_of(text: Column, values: list[str] | tuple[str, ...]) -> Column:
+    """Whether a text is one of the values."""
+    return text.rlike("^(?:" + "|".join(map(quoted, values)) + r")\z")
+
+
+def lookup(table: dict[str, str]) -> Column:
+    """A map of fixed values; one literal after constant folding."""
+    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "map<string,string>")
+
+
 def substrings_held(text: Column, needles: list[str] | tuple[str, ...]) -> Column:
     """The needles that are substrings, sorted."""
     return F.array_compact(F.array(*[F.when(text.contains(n), F.lit(n)) for n in sorted(needles)]))
@@ -186,7 +213,7 @@ def substrings_held(text: Column, needles: list[str] | tuple[str, ...]) -> Colum
 
 def bounded_shape(phrase: str) -> str:
     """The pattern of a phrase between characters that are neither letters nor digits; ideographs need no bounds."""
-    plain = re.escape(phrase).replace("\\ ", " ")
+    plain = quoted(phrase)
     return plain if re.search(IDEOGRAPH, phrase) else f"(?<![a-z0-9]){plain}(?![a-z0-9])"
 
 
@@ -206,4 +233,4 @@ def first_named(text: Column, names: dict[str, tuple[str, ...]], other: str = ""
 def text_tokens(text: Column, stop: tuple[str, ...]) -> Column:
     """Distinct words and numbers with inner marks and runs of ideographs, without the commonest words."""
     found = F.regexp_extract_all(folded(text), F.lit("([a-z0-9][a-z0-9.+-]*|[一-鿿]{2,})"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda t: ~t.isin(*stop)))
+    return F.array_distinct(F.filter(found, lambda t: ~one_of(t, stop)))

@@ -8,28 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import anchors
-from ..functions.text import canonical_title
+from ..functions.people import mentioned, people
+from ..functions.text import folded
 from ..functions.times import seconds
 from ..functions.urls import relation_url, status_id
+from .lineage import settled
 
-FEATURES = ("url", "status", "thread", "item", "at", "title", "actions", "asserted", "people", "candidates", "models", "organizations", "qualifiers")
+FEATURES = ("url", "status", "thread", "item", "at", "title", "actions", "asserted", "people", "candidates", "mentioned", "models", "organizations", "qualifiers")
 
 
-def documents(rows: DataFrame, known_people: tuple[str, ...] = (), organizations: tuple[str, ...] = anchors.ENTITIES, kinds: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """id and the features of each row: what its title and evidence name, and what its title asserts."""
+def documents(rows: DataFrame) -> DataFrame:
+    """id and the features of each row: what its title and whole evidence name, and what its title asserts."""
     text = F.concat_ws("\n", "title", "evidence")
-    return rows.select(
-        "id", relation_url(F.col("url")).alias("url"), status_id(F.col("url")).alias("status"), F.coalesce("thread_id", F.lit("")).alias("thread"),
-        F.coalesce("item_id", F.lit("")).alias("item"), seconds(F.col("published_at")).alias("at"), canonical_title(F.col("title")).alias("title"),
-        anchors.actions(text, kinds).alias("actions"), anchors.asserted_actions(F.col("title"), kinds).alias("asserted"),
-        anchors.people(text, known_people).alias("people"), F.coalesce("person_candidates", F.array().cast("array<string>")).alias("candidates"),
-        anchors.models(text).alias("models"), anchors.entities(text, organizations).alias("organizations"), anchors.qualifiers(text).alias("qualifiers"),
+    made = rows.select(
+        "id", relation_url(F.col("url")).alias("url"), status_id(F.col("url")).alias("status"), F.coalesce("thread_id", F.lit("")).alias("thread"), F.coalesce("item_id", F.lit("")).alias("item"), seconds(F.col("published_at")).alias("at"),
+        folded(F.col("title")).alias("title"), anchors.actions(text).alias("actions"), anchors.asserted_actions(F.col("title")).alias("asserted"), people(text).alias("_p"), mentioned(text).alias("mentioned"),
+        anchors.models(text).alias("models"), anchors.organizations(text).alias("organizations"), anchors.qualifiers(text).alias("qualifiers"),
     )
+    return settled(made).select("*", F.col("_p.people").alias("people"), F.col("_p.candidates").alias("candidates")).drop("_p")
 
 
 def relationship(a: dict[str, Column], b: dict[str, Column], window_hours: float = 48.0) -> Column:
-    """same_event, review or distinct, by the first rule that holds. An array of null items counts as empty."""
-    shares = lambda f: F.arrays_overlap(a[f], b[f])
+    """same_event, review or distinct, by the first rule that holds. A person is shared too if one names it and the other's text mentions it."""
+
+    def shares(f):
+        both = F.arrays_overlap(a[f], b[f])
+        return both | F.arrays_overlap(a[f], b["mentioned"]) | F.arrays_overlap(b[f], a["mentioned"]) if f in ("people", "candidates") else both
+
     apart = lambda f: (F.size(a[f]) > 0) & (F.size(b[f]) > 0) & ~shares(f)
     strong = shares("people") | shares("models")
     return (
@@ -50,14 +55,19 @@ def relationship(a: dict[str, Column], b: dict[str, Column], window_hours: float
 def related_pairs(docs: DataFrame, window_hours: float = 48.0) -> DataFrame:
     """a < b and relation of all pairs of `documents` that are not distinct.
 
-    A rule that gives anything but distinct needs an equal url, status id, thread or title, or a shared action along with a
-    shared person, model, candidate or organization, and the last two kinds only within the window. Those are the keys of
-    the equi join; the window goes in as a bucket of time and its neighbours.
+    A rule that gives anything but distinct needs an equal url or status id, or, within the window, a shared action along
+    with a shared person, model, candidate or organization, an equal title with a shared asserted action, or an equal
+    thread with a shared person or model. Those are the keys of the equi join; a person whom one names and the other
+    mentions counts as its own; the window goes in as a bucket of time and its neighbours.
     """
     bucket = F.floor(F.col("at") / (window_hours * 3600))
-    subjects = F.array_distinct(F.concat("people", "candidates", "models", "organizations"))
+    strong = F.array_distinct(F.concat("people", "candidates", "mentioned", "models"))
+    subjects = F.array_distinct(F.concat(strong, F.col("organizations")))
     acts = F.flatten(F.transform("actions", lambda x: F.transform(subjects, lambda s: F.concat(F.lit("a:"), x, F.lit("|"), s))))
-    timed = F.concat(acts, F.when(F.col("title") != "", F.array(F.concat(F.lit("h:"), "title"))).otherwise(F.array().cast("array<string>")), F.when(F.col("thread") != "", F.array(F.concat(F.lit("t:"), "thread"))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    titled = F.when(F.col("title") != "", F.transform("asserted", lambda x: F.concat(F.lit("h:"), x, F.lit("|"), F.col("title")))).otherwise(none)
+    threaded = F.when(F.col("thread") != "", F.transform(strong, lambda s: F.concat(F.lit("t:"), F.col("thread"), F.lit("|"), s))).otherwise(none)
+    timed = F.concat(acts, titled, threaded)
     fixed = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), c)) for c in ("url", "status")]))
     home = docs.select("id", F.explode(timed).alias("key"), bucket.alias("bucket"))
     near = home.select(F.col("id").alias("other"), "key", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
@@ -70,6 +80,14 @@ def related_pairs(docs: DataFrame, window_hours: float = 48.0) -> DataFrame:
     return both.select("a", "b", relationship(of("a"), of("b"), window_hours).alias("relation")).where("relation != 'distinct'")
 
 
+def related_counts(docs: DataFrame, window_hours: float = 48.0) -> DataFrame:
+    """A row per document: id, same_events and reviews, the numbers of its pairs of either kind."""
+    pairs = related_pairs(docs, window_hours)
+    both = pairs.select(F.col("a").alias("id"), "relation").unionByName(pairs.select(F.col("b").alias("id"), "relation"))
+    counts = both.groupBy("id").agg(F.count_if(F.col("relation") == "same_event").alias("same_events"), F.count_if(F.col("relation") == "review").alias("reviews"))
+    return docs.select("id").join(counts, "id", "left").select("id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("same_events", "reviews")])
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """All candidates of several sources; columns that a source lacks are null."""
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import anchors, drafts, forum, scoring, text, times, urls
-from ..operators import clustering, dedup, editing, joins, predicates, relation, selection
+from ..operators import clustering, dedup, editing, joins, predicates, selection
 from ..streaming import state
 from . import analytics
 from .candidates import candidate_order, collect_candidates, retain, score
@@ -22,9 +22,7 @@ BRANDS = {"acme": ("nth", "eaux"), "bolt": ("tion",)}
 PLACES = {"acme": ("src0.", "src1."), "bolt": ("src2.",)}
 ACTS = ("the", "la", "der", "el")
 STANCES = {"prediction": ("will", "tion"), "critique": ("eau", "the")}
-PEOPLE = ("tion", "eaux")
 SHORT, LONG, WEAK, SIGNAL_PLACES = ("and", "et", "und"), ("tion",), ("th", "la"), ("src0.", "src1.")
-KINDS = {"a": ("the",), "b": ("la", "le"), "c": ("der", "die")}
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -134,7 +132,7 @@ def title_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
 SELECT doc_id, len(list_filter(string_split_regex(x, '[。！？!?]'), lambda s: trim(regexp_replace(s, '[。！？!?]+', '')) <> '')) AS n_sentences,
-    regexp_replace(lower(regexp_replace(x, '<[^>]+>', '', 'g')), '[^0-9a-z一-鿿]+', '', 'g') AS compared,
+    regexp_replace(lower(trim(regexp_replace(replace(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '<[^>]+>', ' ', 'g'), chr(160), ' '), '\\s+', ' ', 'g'))), '[\\s，,。.!！?？:：;；、"' || chr(39) || '“”‘’（）()【】\\[\\]]+', '', 'g') AS compared,
     len(list_filter(list_distinct(regexp_extract_all(lower(x), '([a-z]+|[0-9]+(?:\\.[0-9]+)?)', 1)), lambda w: w NOT IN ('a', 'an', 'the'))) AS n_tokens,
     'topic:' || left(CASE WHEN s = '' THEN 'unknown' ELSE s END, 80) AS topic
 FROM (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(x, '^@+', '')), '[^a-z0-9一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM d)""")
@@ -557,15 +555,8 @@ def edited_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editing.edit(pools, pool_pairs(pools), ["run"])
 
 
-@query()
-def related_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir).where("published_at IS NOT NULL")
-    rows = c.select("id", "title", F.col("summary").alias("evidence"), "url", F.col("source").alias("thread_id"), F.col("id").cast("string").alias("item_id"), "published_at", F.lit(None).cast("array<string>").alias("person_candidates"))
-    return relation.related_pairs(relation.documents(rows, PEOPLE, ("ung", "ment"), KINDS), 12.0)
-
-
 def _register() -> None:
-    from . import publishing, signals  # noqa: F401
+    from . import checked, publishing, signals  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

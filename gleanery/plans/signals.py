@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import editorial, fingerprints, media, people
+from ..operators import relation
 from ..sources import records
 from .publishing import HEADLINES, _list, _pick, headlines
 from .queries import query
@@ -171,6 +172,24 @@ def picture_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", media.picture_relevance(F.col("title"), F.col("said")).alias("r")).select("doc_id", "r.accepted", "r.reason", F.array_join("r.anchors", "|").alias("anchors"))
 
 
+RELATED_HOURS = 6.0
+
+
+def related_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines as reports of a week: a thread is a hundred ids, each channel x row a post of it."""
+    n = F.col("doc_id")
+    said = F.concat(_pick(PHRASES, n % len(PHRASES)), F.lit("\n"), "evidence")
+    return headlines(spark, sf_dir).select(
+        n.alias("id"), "title", said.alias("evidence"), F.when(n % 3 == 0, F.concat("url", F.lit("#"), n.cast("string"))).otherwise(F.concat(F.lit("https://x.com/u/status/"), n.cast("string"))).alias("url"),
+        F.when(F.col("channel") == "x", F.floor(n / 100).cast("string")).alias("thread_id"), n.cast("string").alias("item_id"), (now() - F.make_dt_interval(hours=(n * 13 % 168).cast("int"))).alias("published_at"),
+    )
+
+
+@query()
+def related_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation.related_counts(relation.documents(related_sources(spark, sf_dir)), RELATED_HOURS)
+
+
 # Records of services. The driver's tables stand for what was landed.
 
 
