@@ -91,12 +91,14 @@ def asserted_actions(text: Column, kinds: dict[str, tuple[str, ...]] | None = No
     return once(folded(unescape(text)), lambda x: F.when(x.rlike(negation), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*found(x)))))
 
 
-def canonical_names(text: Column, spellings: dict[str, str]) -> Column:
-    """The canonical names of which a spelling stands in the text as whole words, sorted."""
+def canonical_names(text: Column, spellings: dict[str, str], short: bool = False) -> Column:
+    """The canonical names of which a spelling stands in the text as whole words, sorted. `short` texts are not searched for substrings first."""
     by_name: dict[str, list[str]] = {}
     for spelling, name in spellings.items():
-        by_name.setdefault(name, []).append(bounded_shape(spelling))
-    return once(folded(text), lambda x: F.array_compact(F.array(*[F.when(x.rlike("|".join(shapes)), F.lit(name)) for name, shapes in sorted(by_name.items())])))
+        by_name.setdefault(name, []).append(spelling)
+    # Most names do not even stand as substrings, which is found out faster than that they stand as words.
+    stands = lambda x, many: (F.lit(True) if short else contains_any(x, many)) & x.rlike("|".join(map(bounded_shape, many)))
+    return once(folded(text), lambda x: F.array_compact(F.array(*[F.when(stands(x, many), F.lit(name)) for name, many in sorted(by_name.items())])))
 
 
 def organizations(text: Column, spellings: dict[str, str] | None = None) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import IDEOGRAPH, collapse, comparison_text, contains_any, grams, known, once, one_of, quoted
+from .text import IDEOGRAPH, collapse, comparison_text, holds_any, grams, known, once, one_of, quoted
 
 _WORD = r"([A-Za-z][A-Za-z0-9.+-]*)"
 _NUMBER = r"([0-9]+(?:[.,][0-9]+)?)"
@@ -31,7 +31,7 @@ def unsupported_action(shown: Column, evidence: Column, groups: dict[str, tuple[
     s, e = F.lower(known(shown)), F.lower(known(evidence))
     found = F.lit(False)
     for marks in groups.values():
-        found = found | (contains_any(s, marks) & ~contains_any(e, marks))
+        found = found | (holds_any(s, marks) & ~holds_any(e, marks))
     return found
 
 
@@ -40,7 +40,7 @@ def action_matches(claim: Column, quote: Column, groups: dict[str, tuple[str, ..
     c, q = F.lower(known(claim)), F.lower(known(quote))
     out = F.lit(True)
     for marks in reversed(list(groups.values())):
-        out = F.when(contains_any(c, marks), contains_any(q, marks)).otherwise(out)
+        out = F.when(holds_any(c, marks), holds_any(q, marks)).otherwise(out)
     return out
 
 

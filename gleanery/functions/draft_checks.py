@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import claims
 from .anchors import EVENT_ACTIONS, asserted_actions
 from .publishability import activity_only, anchored_title, claim_supported, display_reason, publisher_subjects, source_reason
-from .text import IDEOGRAPH, collapse, comparison_text, contains_any, known, once, one_of, plain_text, summary_sentences, unescape
+from .text import IDEOGRAPH, collapse, comparison_text, holds_any, known, once, one_of, plain_text, summary_sentences, unescape
 from .times import age_hours
 from .urls import is_http
 
@@ -86,7 +86,7 @@ def _across(claim: Column, quotes: Column) -> Column:
     names = lambda v: F.filter(claims._bare(claims._all(v, r"(?<![A-Za-z0-9])" + WORD)), lambda t: ~one_of(t, ANCHOR_STOPWORDS))
     numbers = F.arrays_overlap(claims._all(claim, NUMBER), claims._all(quotes, NUMBER))
     words = F.arrays_overlap(F.transform(claims._all(claim, WORD), lambda t: F.lower(t)), claims.meaningful_tokens(quotes))
-    acts = claims.action_matches(claim, quotes, EVENT_ACTIONS) & contains_any(F.lower(claim), _marks())
+    acts = claims.action_matches(claim, quotes, EVENT_ACTIONS) & holds_any(F.lower(claim), _marks())
     return (F.size(F.array_except(names(claim), names(quotes))) == 0) & (numbers | words | acts)
 
 
@@ -126,9 +126,9 @@ def display_contract(draft: Column, source: Column) -> Column:
         return (
             F.when((F.trim(title) == "") | ~title.rlike(IDEOGRAPH) | (F.size(sentences) > MOST_SENTENCES) | F.exists(sentences, lambda s: ~s.rlike(IDEOGRAPH)) | (F.size(bindings) == 0), "invalid_builder_response")
             .when((draft["origin"] == "llm") & claims.untranslated_prose(title, UNTRANSLATED), "translation_failed")
-            .when(contains_any(display, COMMENTARY), "unsupported_commentary")
+            .when(holds_any(display, COMMENTARY), "unsupported_commentary")
             .when((source["channel"] == "github") & activity_only(source["evidence"]), "github_activity_only")
-            .when((source["channel"] == "x") & ~source["official"] & contains_any(F.lower(display), _marks()) & ~contains_any(display, ATTRIBUTION), "community_claim_overstated")
+            .when((source["channel"] == "x") & ~source["official"] & holds_any(F.lower(display), _marks()) & ~holds_any(display, ATTRIBUTION), "community_claim_overstated")
             .when(~f["covered"], "missing_target_binding")
             .when(~f["expected"], "unexpected_target_binding")
             .when(f["fault"] != "", f["fault"])

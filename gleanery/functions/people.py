@@ -35,10 +35,17 @@ def context_shape(name: Column, shown: Column) -> Column:
 
 
 def people(text: Column) -> Column:
-    """struct<people, candidates>, both sorted: whom the text names as a person, and those of them that are known."""
+    """struct<people, candidates>, both sorted: whom the text names as a person, and those of them that are known.
+
+    A context never goes beyond a full stop, so only the parts of a line between full stops that hold the name are searched.
+    """
     organizations = sorted({*ORGANIZATIONS, *ORGANIZATIONS.values()})
 
     def named(line):
+        parts = F.transform(F.split(line, r"\."), lambda part: F.struct(part.alias("text"), F.lower(part).alias("low")))
+        return once(parts, lambda within: in_line(line, within))
+
+    def in_line(line, within):
         def read(shown):
             words = F.split(F.lower(shown), r"[ \t]+")
             places = F.transform(words, lambda w, i: F.when(one_of(w, TITLE_HEADS), i + 1).otherwise(0))
@@ -48,7 +55,8 @@ def people(text: Column) -> Column:
             rest = F.slice(p["words"], p["at"] + 1, F.size(p["words"]))
             name = F.array_join(rest, " ")
             fits = (F.size(rest) >= 2) & ~F.exists(rest, lambda w: one_of(w, DESIGNATORS)) & ~one_of(name, (*NO_PEOPLE, *organizations))
-            return F.when(fits & ((p["at"] > 0) | F.regexp_like(line, context_shape(name, shown))), name)
+            said = lambda part: part["low"].contains(name) & F.regexp_like(part["text"], context_shape(name, shown))
+            return F.when(fits & ((p["at"] > 0) | F.exists(within, said)), name)
 
         return F.transform(F.regexp_extract_all(line, F.lit(NAME), F.lit(1)), read)
 

@@ -65,7 +65,7 @@ def _prefixed(prefix: str):
 
 
 def organization_anchors(text: Column) -> Column:
-    return F.transform(canonical_names(text, CLAIM_ORGANIZATIONS), _prefixed("org:"))
+    return F.transform(canonical_names(text, CLAIM_ORGANIZATIONS, short=True), _prefixed("org:"))
 
 
 def model_anchors(text: Column) -> Column:

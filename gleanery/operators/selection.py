@@ -104,38 +104,55 @@ def select_edition(pools: DataFrame, keys: list[str], target: int, per_source: i
     return _fold(pools, keys, step, "turn int")
 
 
-def balance(pools: DataFrame, keys: list[str], target: int, caps: dict[str, int], floors: dict[str, tuple[str, int]] | None = None, hard: tuple[str, ...] = ()) -> DataFrame:
-    """Chooses up to `target` rows of each pool in rank order under a cap per value of each column in `caps` (a null value
-    is free); what is still free is then filled in rank order under the caps in `hard` alone. `floors`: column to a value
-    and a number of its rows that come first. Adds `kept`."""
+def balance(pools: DataFrame, keys: list[str], target: int, caps: dict[str, int], value_caps: dict[str, dict[str, int]] | None = None, floor: tuple[str, str, int] | None = None, soft: tuple[str, ...] = (), firm: tuple[str, str] | None = None) -> DataFrame:
+    """Balances each pool in rank order and adds `turn`, from 1 (0: a reserve), and `relaxed`, the pass that took a row.
 
-    def step(f: pd.DataFrame) -> pd.DataFrame:
-        counts = {c: Counter() for c in caps}
-        kept: list[int] = []
-
-        def fits(r, which) -> bool:
-            return all(pd.isna(getattr(r, c)) or counts[c][getattr(r, c)] < caps[c] for c in which)
+    caps: column to the most rows of any one of its values; value_caps: column to the most rows of single values. A
+    column may hold an array, of which every value counts; null and empty values are free. All rows that fit are taken,
+    also beyond `target`. Reserves follow as long as rows are owed: rows of the value that `floor` (column, value,
+    number) names, under all caps; any rows under all caps; under all caps but those of the columns in `soft`; and at last
+    any but those whose value in `firm` (column, value) has reached its cap.
+    """
 
-        def take(r) -> None:
-            kept.append(r.Index)
-            for c in caps:
-                counts[c][getattr(r, c)] += 1
+    def values_of(value) -> list:
+        return [v for v in (value if isinstance(value, (list, tuple)) or hasattr(value, "tolist") else [value]) if v is not None and v == v and v != ""]
 
-        rows = list(f.itertuples())
-        for column, (value, least) in (floors or {}).items():
-            for r in rows:
-                if sum(f.at[i, column] == value for i in kept) >= least or len(kept) >= target:
-                    break
-                if getattr(r, column) == value and r.Index not in kept and fits(r, caps):
-                    take(r)
-        for which in (tuple(caps), hard):
-            for r in rows:
-                if len(kept) < target and r.Index not in kept and fits(r, which):
-                    take(r)
-        chosen = set(kept)
-        return f.assign(kept=[i in chosen for i in f.index])
-
-    return _fold(pools, keys, step, "kept boolean")
+    def step(f: pd.DataFrame) -> pd.DataFrame:
+        columns = sorted({*caps, *(value_caps or {})})
+        rows = {i: {c: values_of(f.at[i, c]) for c in columns} for i in f.index}
+        counts = {c: Counter() for c in columns}
+        turn, relaxed = {}, {}
+
+        def most(c, value):
+            return min((value_caps or {}).get(c, {}).get(value, len(f) + 1), caps.get(c, len(f) + 1))
+
+        def fits(i, free=()) -> bool:
+            return all(counts[c][v] < most(c, v) for c in columns if c not in free for v in rows[i][c])
+
+        def take(i, why) -> None:
+            turn[i], relaxed[i] = len(turn) + 1, why
+            for c in columns:
+                counts[c].update(rows[i][c])
+
+        for i in f.index:
+            if fits(i):
+                take(i, "")
+        if floor:
+            column, value, least = floor
+            for i in f.index:
+                if i not in turn and value in rows[i][column] and counts[column][value] < least and fits(i):
+                    take(i, "")
+        for free, why in (((), ""), (soft, "soft")):
+            for i in f.index:
+                if i not in turn and len(turn) < target and fits(i, free):
+                    take(i, why)
+        for i in f.index:
+            held = firm and firm[1] in rows[i][firm[0]] and counts[firm[0]][firm[1]] >= most(*firm)
+            if i not in turn and len(turn) < target and not held:
+                take(i, "all")
+        return f.assign(turn=[turn.get(i, 0) for i in f.index], relaxed=[relaxed.get(i, "") for i in f.index])
+
+    return _fold(pools, keys, step, "turn int, relaxed string")
 
 
 def diversify(pools: DataFrame, keys: list[str], target: int, most: int = 2) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.scoring import SCORE_BUCKETS, ratio, score_bucket
 LABELS = ("good_topic", "bad_topic", "duplicate", "not_interesting")
 NEGATIVE = LABELS[1:]
 ACTIONS = ("write", "reserve", "reject")
+RISKS = ("low", "medium", "high")
 
 
 def zero_filled(rows: DataFrame, key: str, values: tuple[str, ...]) -> DataFrame:
@@ -51,6 +52,35 @@ def calibration(judged: DataFrame) -> DataFrame:
     return filled_by_label(judged.withColumn("bucket", score_bucket(F.col("score"))), "bucket", SCORE_BUCKETS)
 
 
+def risk_calibration(judged: DataFrame) -> DataFrame:
+    """Counts by label for each level of risk, empty ones too; other levels are not counted. judged: risk, label."""
+    return filled_by_label(judged, "risk", RISKS)
+
+
+def feedback_totals(judged: DataFrame, least: int = 20) -> DataFrame:
+    """One row: the counts by label, the reviewed rows, and whether they are too few to tell."""
+    return judged.agg(*label_counts(F.col("label")), F.count("label").alias("reviewed")).withColumn("few", (F.col("reviewed") < least).cast("int"))
+
+
+def noted(judged: DataFrame, size: int = 10) -> DataFrame:
+    """The report of reviewed rows that carry a note: the latest first."""
+    return judged.where(F.coalesce("note", F.lit("")) != "").orderBy(F.desc("recorded_at"), F.desc("id")).limit(size)
+
+
+def run_report(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per run: candidates, decisions by action, levels of score and of risk, and how often each reason rejected.
+
+    rows: keys, action, score, risk, reason. Reasons are counted first, so a run's map has one entry per reason.
+    """
+    bucket = score_bucket(F.col("score"))
+    counted = rows.groupBy(*keys).agg(
+        F.count("*").alias("candidates"), *[F.count_if(F.coalesce(F.col("action") == a, F.lit(False))).alias(f"{a}_count") for a in ACTIONS],
+        *[F.count_if(bucket == b).alias(b) for b in SCORE_BUCKETS], *[F.count_if(F.coalesce(F.col("risk") == r, F.lit(False))).alias(f"risk_{r}") for r in RISKS],
+    )
+    reasons = rows.where(F.col("action") == "reject").groupBy(*keys, "reason").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("reject_reasons"))
+    return counted.join(reasons, keys, "left").withColumn("reject_reasons", F.coalesce("reject_reasons", F.create_map().cast("map<string,bigint>")))
+
+
 def misjudged(judged: DataFrame, high: float = 8.5, size: int = 10) -> DataFrame:
     """The report of rows of a high score with a negative label: highest score first, then the earliest."""
     return judged.where((F.col("score") >= high) & F.col("label").isin(*NEGATIVE)).orderBy(F.desc("score"), "recorded_at", "id").limit(size)

@@ -335,6 +335,43 @@ def analyst_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.calibration(judged(spark, sf_dir).where("label IS NOT NULL"))
 
 
+_RISKS = "CASE WHEN doc_id % 3 = 0 THEN 'high' WHEN doc_id % 3 = 1 THEN 'medium' ELSE 'low' END"
+
+
+@query(f"""WITH {JUDGED}, b AS (SELECT unnest(['low', 'medium', 'high']) AS risk), k AS (SELECT label, {_RISKS} AS risk FROM j WHERE label IS NOT NULL) SELECT b.risk, {LABEL_COUNTS} FROM b LEFT JOIN k USING (risk) GROUP BY b.risk""")
+def risk_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    rows = judged(spark, sf_dir).where("label IS NOT NULL").withColumn("risk", F.when(n % 3 == 0, "high").when(n % 3 == 1, "medium").otherwise("low"))
+    return analytics.risk_calibration(rows)
+
+
+@query(f"""WITH {JUDGED} SELECT {LABEL_COUNTS}, count(label) AS reviewed, CAST(count(label) < 20 AS INTEGER) AS few FROM j""")
+def feedback_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.feedback_totals(judged(spark, sf_dir))
+
+
+@query(f"""WITH {JUDGED} SELECT doc_id AS id, label, 'n' || doc_id AS note FROM j WHERE label IS NOT NULL AND doc_id % 3 = 0 ORDER BY doc_id DESC LIMIT 10""")
+def feedback_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    rows = judged(spark, sf_dir).where("label IS NOT NULL").select(n.alias("id"), "label", F.when(n % 3 == 0, F.concat(F.lit("n"), n.cast("string"))).otherwise("").alias("note"), n.alias("recorded_at"))
+    return analytics.noted(rows).select("id", "label", "note")
+
+
+@query(f"""
+WITH {JUDGED}, r AS (SELECT doc_id // 100 AS run, doc_id, action, source, score, {_RISKS} AS risk FROM j WHERE doc_id IS NOT NULL)
+SELECT run, count(*) AS candidates, count(*) FILTER (action = 'write') AS write_count, count(*) FILTER (action = 'reserve') AS reserve_count, count(*) FILTER (action = 'reject') AS reject_count,
+    count(*) FILTER (score < 4) AS below_4, count(*) FILTER (score >= 4 AND score < 7) AS "4_to_7", count(*) FILTER (score >= 7 AND score < 8.5) AS "7_to_8_5", count(*) FILTER (score >= 8.5) AS "8_5_and_above",
+    count(*) FILTER (risk = 'low') AS risk_low, count(*) FILTER (risk = 'medium') AS risk_medium, count(*) FILTER (risk = 'high') AS risk_high,
+    (SELECT string_agg(source || '=' || n, '|' ORDER BY source) FROM (SELECT q.source, count(*) AS n FROM r q WHERE q.run = r.run AND q.action = 'reject' GROUP BY 1)) AS reject_reasons FROM r GROUP BY run""")
+def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report per run of a hundred ids."""
+    n = F.col("doc_id")
+    rows = judged(spark, sf_dir).where("doc_id IS NOT NULL").withColumn("risk", F.when(n % 3 == 0, "high").when(n % 3 == 1, "medium").otherwise("low"))
+    reports = analytics.run_report(rows.withColumn("run", F.floor(n / 100)).withColumn("reason", F.col("source")), ["run"])
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("reject_reasons")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|")
+    return reports.withColumn("reject_reasons", F.when(F.size("reject_reasons") > 0, listed))
+
+
 @query(f"""WITH {JUDGED}, b AS (SELECT unnest(['write', 'reserve', 'reject']) AS action) SELECT b.action, {LABEL_COUNTS} FROM b LEFT JOIN j USING (action) GROUP BY b.action""")
 def editorial_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.outcomes(judged(spark, sf_dir))
@@ -500,7 +537,10 @@ def selected_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def balanced_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.balance(edition_pools(spark, sf_dir), ["run"], 15, {"source": 3, "topic": 6}, {"topic": ("rss", 4)}, ("topic",)).select("run", "id", "rank", "kept")
+    """Kinds of source, publishers and the entities of a title in balance, feeds making up two fifths."""
+    pools = edition_pools(spark, sf_dir).withColumn("entity", anchors.entities(F.col("title"), ("tion", "eaux", "ung")))
+    kinds = {"topic": {"arxiv": 2, "huggingface": 2, "hn": 7}}
+    return selection.balance(pools, ["run"], 15, {"source": 4, "entity": 2}, kinds, ("topic", "rss", 6), ("source",), ("topic", "hn")).select("run", "id", "rank", "turn", "relaxed")
 
 
 @query()

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.functions import claims, drafts, forum, text
+from gleanery.functions import anchors, claims, draft_checks, drafts, forum, publishability, text
 from gleanery.operators import clustering, editing, relation, selection
 from gleanery.plans import queries as Q
 
@@ -199,3 +199,106 @@ def test_claims(spark):
     ]
     row = spark.range(1).select(*[c.alias(str(i)) for i, (c, _) in enumerate(cases)]).first()
     assert [row[str(i)] for i in range(len(cases))] == [expected for _, expected in cases]
+
+
+def test_balance(spark):
+    """Publishers capped at two, entities at one, papers at one; a feed is promoted; then soft caps give way, at last all but the firm one."""
+    rows = [(1, i, i, s, k, e) for i, (s, k, e) in enumerate([("a", "hn", ["x"]), ("a", "hn", []), ("a", "rss", []), ("b", "arxiv", ["x", "y"]), ("b", "arxiv", []), ("c", "arxiv", []), ("d", "hn", None), ("a", "hn", ["y"]), ("e", "rss", ["x"])], 1)]
+    pools = spark.createDataFrame(rows, "run int, id long, rank int, source string, topic string, entity array<string>")
+
+    def balanced(target):
+        made = selection.balance(pools, ["run"], target, {"source": 2, "entity": 1}, {"topic": {"arxiv": 1, "hn": 3}}, ("topic", "rss", 1), ("source",), ("topic", "hn"))
+        return {r["id"]: (r["turn"], r["relaxed"]) for r in made.collect()}
+
+    assert balanced(3) == {1: (1, ""), 2: (2, ""), 5: (3, ""), 7: (4, ""), 3: (0, ""), 4: (0, ""), 6: (0, ""), 8: (0, ""), 9: (0, "")}
+    assert balanced(5) | {3: (5, "soft")} == balanced(5)
+    assert balanced(9) == {1: (1, ""), 2: (2, ""), 5: (3, ""), 7: (4, ""), 3: (5, "soft"), 4: (6, "all"), 6: (7, "all"), 9: (8, "all"), 8: (0, "")}
+
+
+def test_diversify(spark):
+    rows = [(1, 1, 1, "a"), (1, 2, 2, "a"), (1, 3, 3, "a"), (1, 4, 4, "b"), (1, 5, 5, "a"), (1, 6, 6, "c"), (1, 7, 7, None)]
+    pools = spark.createDataFrame(rows, "run int, id long, rank int, entity string")
+    kept = {r["id"] for r in selection.diversify(pools, ["run"], 5).collect() if r["kept"]}
+    assert kept == {1, 2, 6, 4, 7}
+
+
+def claims_of(spark, rows):
+    """(claim, quote): whether the quote supports the claim."""
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, claim string, quote string")
+    return [r["s"] for r in frame.select("i", publishability.claim_supported(F.col("claim"), F.col("quote")).alias("s")).orderBy("i").collect()]
+
+
+def test_claims_are_one_frame_of_one_sentence(spark):
+    assert claims_of(spark, [
+        ("OpenAI 发布 GPT-5", "OpenAI released GPT-5."), ("OpenAI 发布 GPT-5", "Anthropic released GPT-5."), ("OpenAI 发布 GPT-5", "OpenAI released. Anthropic says GPT-5."),
+        ("", "OpenAI released GPT-5."), ("GPT-5 is here", "GPT-5 is here"), ("发布 GPT-5", "OpenAI 发布 GPT-5"), ("谷歌收购 Mistral AI", "Google acquires Mistral"), ("OpenAI 更新 GPT-5", "OpenAI released GPT-5."),
+    ]) == [True, False, False, False, False, False, False, False]
+
+
+def test_features_of_reports(spark):
+    frame = spark.createDataFrame([("GPT-4o-mini beats Claude 4.5 Sonnet and Model\u20112 (pro) for $30 million, up 3.5% in 2 years since 2024",)], "x string")
+    r = frame.select(anchors.models(F.col("x")).alias("m"), anchors.qualifiers(F.col("x")).alias("q"), anchors.conflicting(anchors.qualifiers(F.col("x")), F.array(F.lit("amount:$30 billion"))).alias("c")).first()
+    assert r["m"] == ["claude-4.5-sonnet", "gpt-4o-mini", "model-2-pro"]
+    assert r["q"] == ["amount:$30 million", "duration:2 years", "percent:3.5%", "year:2024"] and r["c"]
+
+
+SOURCE = "title string, evidence string, url string, channel string, found_at string, published_at timestamp, official boolean, publisher string, identity string, opinion boolean, author string, allowed boolean, original boolean, whole boolean"
+DRAFT = "title string, brief string, origin string, bindings array<struct<claim string, quote string, url string>>, opinion boolean, author string"
+
+
+def checked(spark, attempt=1, **more):
+    """The verdict on a good draft in which the fields named in `more` differ."""
+    from datetime import datetime
+
+    text = "OpenAI 发布 GPT-5 模型。新模型支持 API 调用。"
+    source = {"title": "OpenAI 发布 GPT-5 模型", "evidence": text, "url": "https://a.example/1", "channel": "rss", "found_at": "", "published_at": datetime(2024, 1, 30, 20), "official": False, "publisher": "P", "identity": "", "opinion": False, "author": "", "allowed": False, "original": False, "whole": False}
+    bind = lambda claim, quote, url="https://a.example/1": (claim, quote, url)
+    draft = {"title": "OpenAI 发布 GPT-5 模型", "brief": "新模型支持 API 调用。", "origin": "llm", "bindings": [bind("OpenAI 发布 GPT-5 模型", "OpenAI 发布 GPT-5 模型"), bind("新模型支持 API 调用", "新模型支持 API 调用")], "opinion": False, "author": ""}
+    source |= {k: v for k, v in more.items() if k in source and k not in ("title",)}
+    draft |= {k.removeprefix("draft_"): v for k, v in more.items() if k.startswith("draft_")}
+    if "title" in more:
+        source["title"] = more["title"]
+    frame = spark.createDataFrame([(tuple(source.values()), tuple(draft.values()))], f"s struct<{SOURCE.replace(' ', ':').replace(',:', ',')}>, d struct<{DRAFT.split(', bindings')[0].replace(' ', ':').replace(',:', ',')},bindings:array<struct<claim:string,quote:string,url:string>>,opinion:boolean,author:string>")
+    return tuple(frame.select(draft_checks.validated(F.col("d"), F.col("s"), F.lit(attempt), F.lit("2024-01-31 00:00:00").cast("timestamp")).alias("v")).first()["v"])
+
+
+def test_checks_of_a_draft(spark):
+    good = ("accept", "", "新模型支持 API 调用。", "expanded")
+    assert checked(spark) == good
+    assert checked(spark, url="") == ("reject", "missing_source_url", "", "")
+    assert checked(spark, published_at=None)[:2] == ("reject", "stale_item")
+    assert checked(spark, title="使用指南")[:2] == ("reject", "non_news_content")
+    assert checked(spark, draft_brief="这意味着新模型支持 API 调用。")[:2] == ("rebuild", "unsupported_commentary")
+    assert checked(spark, attempt=2, draft_brief="这意味着新模型支持 API 调用。")[:2] == ("reject", "unsupported_commentary")
+    assert checked(spark, draft_title="OpenAI will 发布 GPT-5")[:2] == ("rebuild", "translation_failed")
+    assert checked(spark, draft_brief="")[:2] == ("rebuild", "unexpected_target_binding")
+    assert checked(spark, draft_brief="新模型支持 API 调用。它很快。")[:2] == ("rebuild", "missing_target_binding")
+    only = [("OpenAI 发布 GPT-5 模型", "OpenAI 发布 GPT-5 模型", "https://b.example/")]
+    assert checked(spark, draft_brief="", draft_bindings=only)[:2] == ("rebuild", "source_url_mismatch")
+    assert checked(spark, draft_brief="", draft_bindings=[(*only[0][:1], "OpenAI 推出", "https://a.example/1")])[:2] == ("rebuild", "quote_not_found")
+    # A sentence that only the source's title holds goes, and the draft is its title alone.
+    again = [("OpenAI 发布 GPT-5 模型", "OpenAI 发布 GPT-5 模型", "https://a.example/1"), ("GPT-5 模型", "GPT-5 模型", "https://a.example/1")]
+    assert checked(spark, draft_brief="GPT-5 模型。", draft_bindings=again) == ("accept", "", "", "title_only")
+    assert checked(spark, opinion=True)[:2] == ("rebuild", "opinion_author_not_allowed")
+
+
+def test_people_need_context(spark):
+    from gleanery.functions.people import people, shared
+
+    texts = ["CEO Sam Altman spoke", "Sam Altman spoke", "Jane Roe, the Chief Scientist, left", "Jane Roe said she left", "Acme Research Group hired a director", "Ann Lee works as an engineer", "the rundown", "Samuel Altman"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", people(F.col("x")).alias("p")).orderBy("i").collect()
+    assert [(r["p"]["people"], r["p"]["candidates"]) for r in rows] == [(["sam altman"], ["sam altman"]), ([], []), ([], ["jane roe"]), ([], ["jane roe"]), ([], []), ([], ["ann lee"]), ([], []), (["sam altman"], ["sam altman"])]
+    none = F.array().cast("array<string>")
+    both = spark.range(1).select(shared(F.array(F.lit("jane roe")), F.lit("CEO Jane Roe"), none, F.lit("JANE ROE left")).alias("s")).first()
+    assert both["s"] == ["jane roe"]
+
+
+def test_relation_of_reports(spark):
+    from datetime import datetime
+
+    at = datetime(2024, 1, 1)
+    rows = [(1, "OpenAI releases GPT-5", "text", "https://a/1"), (2, "OpenAI launches GPT-5", "other", "https://a/2"), (3, "OpenAI releases GPT-4", "x", "https://a/3"), (4, "OpenAI raises $30 million", "x", "https://a/4"), (5, "OpenAI raises $30 billion", "x", "https://a/5"), (6, "OpenAI raises money", "x", "https://a/6"), (7, "nothing", "y", "https://a/1/")]
+    frame = spark.createDataFrame([(*r, None, str(r[0]), at) for r in rows], "id long, title string, evidence string, url string, thread_id string, item_id string, published_at timestamp")
+    docs = relation.documents(frame)
+    assert {(r["a"], r["b"], r["relation"]) for r in relation.related_pairs(docs).collect()} == {(1, 2, "same_event"), (1, 7, "same_event"), (4, 6, "review"), (5, 6, "review")}
+    assert {r["id"]: (r["same_events"], r["reviews"]) for r in relation.related_counts(docs).collect()} == {1: (2, 0), 2: (1, 0), 3: (0, 0), 4: (0, 1), 5: (0, 1), 6: (0, 2), 7: (1, 0)}
