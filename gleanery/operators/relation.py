@@ -56,8 +56,8 @@ def related_pairs(docs: DataFrame, window_hours: float = 48.0) -> DataFrame:
     """a < b and relation of all pairs of `documents` that are not distinct.
 
     A rule that gives anything but distinct needs an equal url or status id, or, within the window, a shared action along
-    with a shared person, model, candidate or organization, an equal title with a shared asserted action, or an equal
-    thread with a shared person or model. Those are the keys of the equi join; a person whom one names and the other
+    with a shared person, model, candidate or organization, a shared asserted action along with a shared person or model or
+    an equal title, or an equal thread with a shared person or model. Those are the keys of the equi join; a person whom one names and the other
     mentions counts as its own; the window goes in as a bucket of time and its neighbours.
     """
     bucket = F.floor(F.col("at") / (window_hours * 3600))
@@ -67,7 +67,8 @@ def related_pairs(docs: DataFrame, window_hours: float = 48.0) -> DataFrame:
     none = F.array().cast("array<string>")
     titled = F.when(F.col("title") != "", F.transform("asserted", lambda x: F.concat(F.lit("h:"), x, F.lit("|"), F.col("title")))).otherwise(none)
     threaded = F.when(F.col("thread") != "", F.transform(strong, lambda s: F.concat(F.lit("t:"), F.col("thread"), F.lit("|"), s))).otherwise(none)
-    timed = F.concat(acts, titled, threaded)
+    said = F.flatten(F.transform("asserted", lambda x: F.transform(F.array_distinct(F.concat("people", "mentioned", "models")), lambda s: F.concat(F.lit("s:"), x, F.lit("|"), s))))
+    timed = F.concat(acts, said, titled, threaded)
     fixed = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), c)) for c in ("url", "status")]))
     home = docs.select("id", F.explode(timed).alias("key"), bucket.alias("bucket"))
     near = home.select(F.col("id").alias("other"), "key", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))

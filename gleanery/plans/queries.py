@@ -222,7 +222,7 @@ def opinion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {CANDIDATES}, f AS (SELECT *, hn_comments % 2 AS crossed, lower(title) AS low FROM c)
 SELECT id, CASE WHEN (source_type = 'hn' AND crossed = 0) THEN 1 ELSE 0 END AS forum_only,
     CASE WHEN regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}_])(and|et|und)($|[^\\p{{L}}\\p{{N}}_])') THEN 'strong_short' WHEN contains(low, 'tion') THEN 'strong_long' WHEN (contains(low, 'th') OR contains(low, 'la')) AND (contains(url, 'src0.') OR contains(url, 'src1.')) THEN 'weak' ELSE '' END AS sig,
-    CASE WHEN source_type = 'github' THEN CAST(github_stars % 2 = 1 OR length(trim(title)) < 24 OR length(trim(left(summary, 60))) < 40 AS INTEGER) WHEN source_type = 'hn' THEN CAST(crossed = 0 AS INTEGER) WHEN source_type = 'huggingface' THEN 1 ELSE 0 END AS radar,
+    CASE WHEN source_type = 'github' THEN CAST(github_stars % 2 = 1 OR length(trim(title)) < 24 OR length(trim(summary)) < 40 AS INTEGER) WHEN source_type = 'hn' THEN CAST(crossed = 0 AS INTEGER) WHEN source_type = 'huggingface' THEN 1 ELSE 0 END AS radar,
     CASE WHEN source_type = 'arxiv' THEN 'research' WHEN source_type IN ('hn', 'github', 'huggingface') THEN 'community' ELSE 'media' END AS tier FROM f""")
 def community_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code rows are releases by their stars, with notes by their length; forum rows have another source by their comments."""
@@ -231,7 +231,7 @@ def community_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cross = F.col("hn_comments") % 2
     forum = predicates.community_only(F.col("source"), F.col("source_type"), cross)
     event = F.when(F.col("github_stars") % 2 == 0, "github_release").otherwise("github_activity")
-    explained = predicates.explainable_release(F.col("title"), F.substring("summary", 1, 60))
+    explained = predicates.explainable_release(F.col("title"), F.col("summary"))
     radar = predicates.community_radar(F.col("source_type"), tier, cross, event, explained)
     sig = predicates.signal(F.col("title"), F.col("url"), SHORT, LONG, WEAK, SIGNAL_PLACES)
     return c.select("id", forum.cast("int").alias("forum_only"), sig.alias("sig"), radar.cast("int").alias("radar"), tier.alias("tier"))
@@ -259,9 +259,11 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'unmapped' WHEN l.n > 1 THEN 'duplicate' ELSE 'matched' END AS state, coalesce(d.doc_id, l.doc_id) AS doc_id
-FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 > 0) d FULL JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id""")
+FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT page_id * 7 FROM pages) GROUP BY 1) l ON d.doc_id = l.doc_id""")
 def reassociated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.reassociate(table(spark, sf_dir, "documents").where("doc_id % 3 > 0"), table(spark, sf_dir, "labels"), "doc_id")
+    """Documents as what was asked; the labels, and every seventh id from the pages, as the answers."""
+    answers = table(spark, sf_dir, "labels").select("doc_id").unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") * 7).alias("doc_id")))
+    return joins.reassociate(table(spark, sf_dir, "documents").select("doc_id"), answers, "doc_id")
 
 
 @query("""

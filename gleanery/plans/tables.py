@@ -29,7 +29,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.coalesce("n_chars", F.lit(0))
     hours = (F.col("doc_id") % 60).cast("int")
     return d.select(
-        F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), title_of(F.col("text")).alias("title"), F.substring(F.coalesce("text", F.lit("")), 1, 120).alias("summary"),
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), title_of(F.col("text")).alias("title"), F.coalesce("text", F.lit("")).alias("summary"),
         F.concat(F.lit("https://"), F.coalesce("source", F.lit("none")), F.lit(".example.com/item/"), (F.col("doc_id") % 400).cast("string"), F.lit("?p="), F.col("doc_id").cast("string")).alias("url"),
         F.coalesce("source", F.lit("")).alias("source"), F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 5 + 1).cast("int")).alias("source_type"),
         F.when(F.col("doc_id") % 17 != 0, now() - F.make_dt_interval(hours=hours)).alias("published_at"), F.lit("published").alias("published_source"),
@@ -40,7 +40,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The view `c` of `candidates` in SQL.
 CANDIDATES = f"""c AS (
-    SELECT doc_id AS id, doc_id AS pos, regexp_extract(coalesce(text, ''), '^[^\\n.]*') AS title, substr(coalesce(text, ''), 1, 120) AS summary,
+    SELECT doc_id AS id, doc_id AS pos, regexp_extract(coalesce(text, ''), '^[^\\n.]*') AS title, coalesce(text, '') AS summary,
         'https://' || coalesce(source, 'none') || '.example.com/item/' || (doc_id % 400) || '?p=' || doc_id AS url, coalesce(source, '') AS source,
         ['rss', 'hn', 'github', 'huggingface', 'arxiv'][doc_id % 5 + 1] AS source_type,
         CASE WHEN doc_id % 17 <> 0 THEN TIMESTAMP '{NOW}' - to_hours(CAST(doc_id % 60 AS INTEGER)) END AS published_at, 'published' AS published_source,
