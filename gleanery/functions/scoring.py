@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
 
 #: The weight of a source by the first name that its label holds; 5 where none does.
 SOURCE_AUTHORITY = {
@@ -23,9 +24,26 @@ TIER_SCORE = {"primary": 2.5, "research": 2.2, "media": 1.8, "community": 1.0}
 SCORE_BUCKETS = ("below_4", "4_to_7", "7_to_8_5", "8_5_and_above")
 
 
+def tenths(value: Column) -> Column:
+    """A double to one decimal by its exact value: 4.65, which is stored a little above that, becomes 4.7; true halves go to even.
+
+    Ten times the value is the sum of eight times and twice it, both exact, so what that sum loses is known.
+    """
+
+    def rounded(s):
+        whole, rest = F.floor(s["sum"]), s["sum"] - F.floor(s["sum"])
+        back = s["sum"] - s["eight"]
+        lost = (s["eight"] - (s["sum"] - back)) + (s["two"] - back)
+        up = (rest > 0.5) | ((rest == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 != 0))))
+        return (whole + up.cast("int")) / 10.0
+
+    x = value.cast("double")
+    return once(F.struct((x * 8 + x * 2).alias("sum"), (x * 8).alias("eight"), (x * 2).alias("two")), rounded)
+
+
 def clamp(value: Column) -> Column:
-    """Between 0 and 10, one decimal, half to even."""
-    return F.bround(F.greatest(F.lit(0.0), F.least(value, F.lit(10.0))), 1)
+    """Between 0 and 10, one decimal."""
+    return tenths(F.greatest(F.lit(0.0), F.least(value, F.lit(10.0))))
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -78,7 +96,7 @@ def editorial_score(evidence: Column, fresh: Column, tier: Column, event_type: C
         of_tier = F.when(tier == name, value).otherwise(of_tier)
     event = F.when(event_type.isin("news", "lawsuit", "funding", "waic", "conference"), 2.0).otherwise(1.2)
     total = F.when(evidence, 3.0).otherwise(0.8) + fresh + of_tier + event
-    return F.bround(F.least(total, score_cap(event_type)), 1)
+    return tenths(F.least(total, score_cap(event_type)))
 
 
 def score_cap(event_type: Column) -> Column:
@@ -87,7 +105,7 @@ def score_cap(event_type: Column) -> Column:
 
 def reviewed_score(own: Column, review: Column, event_type: Column) -> Column:
     """70 parts of the own score and 30 of a review, capped."""
-    return F.bround(F.least(own * 0.7 + review * 0.3, score_cap(event_type)), 1)
+    return tenths(F.least(own * 0.7 + review * 0.3, score_cap(event_type)))
 
 
 def evidence_score(ready: Column, judged: Column, tier: Column, cross_sources: Column) -> Column:

@@ -128,7 +128,9 @@ def editorial_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {HEADLINES}, {_SIGNALS}, a AS (SELECT doc_id, doc_id % 4 AS crossed, {_list(QUALITIES)}[doc_id % 4 + 1] AS quality, doc_id % 19 = 0 AS risky, doc_id % 23 = 0 AS unsure, CAST(round_even(greatest(0.0, least(score, 10.0)), 1) AS DOUBLE) AS importance,
     greatest(0.0, least(CASE WHEN complete THEN 8.0 ELSE 4.0 END + CASE WHEN tier IN ('primary', 'research') THEN 0.5 ELSE 0.0 END + least((doc_id % 4) * 0.5, 1.0), 10.0)) AS raw FROM s3),
 b AS (SELECT *, CAST(CASE WHEN quality = 'ready' THEN round_even(raw, 1) ELSE least(round_even(raw, 1), 2.0) END AS DOUBLE) AS evidence FROM a),
-c AS (SELECT *, CAST(round_even(CAST(greatest(0.0, least(importance * 0.7 + evidence * 0.3, 10.0)) AS DECIMAL(30, 15)), 1) AS DOUBLE) AS impact, CASE WHEN quality <> 'ready' OR risky THEN 'high' WHEN evidence < 6 OR unsure THEN 'medium' ELSE 'low' END AS risk FROM b)
+b1 AS (SELECT *, greatest(CAST(0 AS DOUBLE), least(importance * CAST(0.7 AS DOUBLE) + evidence * CAST(0.3 AS DOUBLE), CAST(10 AS DOUBLE))) AS v FROM b), b2 AS (SELECT *, v * 8 + v * 2 AS s, (v * 8 + v * 2) - v * 8 AS back FROM b1),
+b3 AS (SELECT *, (v * 8 - (s - back)) + (v * 2 - back) AS lost, floor(s) AS whole FROM b2),
+c AS (SELECT *, (whole + CASE WHEN s - whole > 0.5 OR (s - whole = 0.5 AND (lost > 0 OR (lost = 0 AND whole % 2 <> 0))) THEN 1 ELSE 0 END) / CAST(10 AS DOUBLE) AS impact, CASE WHEN quality <> 'ready' OR risky THEN 'high' WHEN evidence < 6 OR unsure THEN 'medium' ELSE 'low' END AS risk FROM b3)
 SELECT doc_id, importance, evidence, impact, risk, CASE WHEN importance >= 8 THEN '{editorial.IMPORTANCE[0]}' WHEN importance >= 5 THEN '{editorial.IMPORTANCE[1]}' ELSE '{editorial.IMPORTANCE[2]}' END AS importance_reason,
     CASE WHEN quality <> 'ready' THEN '{editorial.QUALITY}' || quality || ': {editorial.UNAVAILABLE}' WHEN evidence >= 8 THEN '{editorial.VERIFIABLE[0]}' || crossed || '{editorial.VERIFIABLE[1]}' ELSE '{editorial.UNVERIFIABLE}' END AS verifiability_reason,
     CASE WHEN risk = 'high' THEN '{editorial.IMPACT[0]}' WHEN impact >= 8 THEN '{editorial.IMPACT[1]}' ELSE '{editorial.IMPACT[2]}' END AS impact_analysis FROM c""")

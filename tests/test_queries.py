@@ -301,3 +301,11 @@ def test_relation_of_reports(spark):
     docs = relation.documents(frame)
     assert {(r["a"], r["b"], r["relation"]) for r in relation.related_pairs(docs).collect()} == {(1, 2, "same_event"), (1, 7, "same_event"), (4, 6, "review"), (5, 6, "review")}
     assert {r["id"]: (r["same_events"], r["reviews"]) for r in relation.related_counts(docs).collect()} == {1: (2, 0), 2: (1, 0), 3: (0, 0), 4: (0, 1), 5: (0, 1), 6: (0, 2), 7: (1, 0)}
+
+
+def test_tenths_round_as_python_does(spark):
+    from gleanery.functions.scoring import tenths
+
+    values = [4.65, 4.15, 0.25, 0.75, 9.95, 4.5 * 0.7 + 5.0 * 0.3, 7.5 * 0.7 + 9.0 * 0.3, 0.0, 10.0, *(i * 0.7 / 10 + j * 0.3 / 10 for i in range(0, 101, 3) for j in range(0, 101, 7))]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    assert all(r["t"] == round(r["x"], 1) for r in frame.select("x", tenths(F.col("x")).alias("t")).collect())
