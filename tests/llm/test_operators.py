@@ -360,6 +360,61 @@ def test_url_templates_reject_by_purity(spark):
     assert got["/spam/0"] == "block" and got["/news/ak"] == "allow" and got["/p/3"] == "allow"
 
 
+def brute_tree(rows, prior=4.0, branches=20, least_rows=5, apart=0.2):
+    """The template tree in plain Python: (host, shape) to (labels, share). rows: (host, shape, blocked or None)."""
+    smoothed = lambda bad, known, to, by: (bad + by * to) / (known + by)
+    stats = {}
+    for host, shape, blocked in rows:
+        n, known, bad = stats.get((host, shape), (0, 0, 0))
+        stats[host, shape] = (n + 1, known + (blocked is not None), bad + (blocked or 0))
+    total = lambda keys: [sum(stats[k][c] for k in keys) for c in range(3)]
+    out = {}
+
+    def walk(keys, depth, labels, share, is_open):
+        if not is_open:
+            out.update({k: (labels, share) for k in keys})
+            return
+        parts = lambda k: k[1].split("/")
+        children = defaultdict(list)
+        for k in keys:
+            children[parts(k)[depth] if len(parts(k)) > depth else ""].append(k)
+        many = len(children) > branches or total(keys)[0] < least_rows * len(children)
+        groups = defaultdict(list)
+        for s, mine in children.items():
+            _, known, bad = total(mine)
+            alike = abs(smoothed(bad, known, share, 2) - share) <= apart + 2 * math.sqrt(share * (1 - share) / (known + 1))
+            groups["*" if many and len(children) > 1 and alike else s].append(s)
+        for names in groups.values():
+            below = [k for s in names for k in children[s]]
+            _, known, bad = total(below)
+            own = share if len(names) == len(children) else smoothed(bad, known, share, prior)
+            walk(below, depth + 1, known, own, len(below) > 1 and max(len(parts(k)) for k in below) > depth + 1)
+
+    for host in {h for h, _ in stats}:
+        keys = [k for k in stats if k[0] == host]
+        _, known, bad = total(keys)
+        walk(keys, 0, known, smoothed(bad, known, 0.5, prior), len(keys) > 1)
+    return out
+
+
+def test_url_tree_equals_brute_force(spark):
+    from gleanery.llm.url_filter import templates
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(1500):
+        host, first = f"h{rng.integers(0, 5)}", str(rng.choice(["en", "fr", "p", "q"]))
+        shape = "/".join([first, *(str(rng.choice(["a", "b", "*", f"x{rng.integers(0, 40)}"])) for _ in range(rng.integers(0, 4)))])
+        likely = 0.95 if first == "fr" or host == "h1" else 0.05
+        rows.append((host, shape, int(rng.random() < likely) if rng.random() < 0.4 else None))
+    found = {(r["host"], r["shape"]): (r["labels"], r["share"]) for r in templates(spark.createDataFrame(rows, "host string, shape string, blocked int")).collect()}
+    expected = brute_tree(rows)
+    assert found.keys() == expected.keys()
+    for key, (labels, share) in expected.items():
+        assert found[key][0] == labels and found[key][1] == pytest.approx(share), key
+    assert any(share > 0.8 and labels >= 5 for labels, share in expected.values()) and any(share < 0.2 for _, share in expected.values())
+
+
 def test_url_labels_reach_a_larger_unlabelled_part(spark):
     """One row in ten is labelled; the verdicts are those of the labels, also at ten times the rows and deep in a path."""
     from gleanery.llm.url_filter import judge
