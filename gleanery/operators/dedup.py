@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,19 +44,37 @@ def merge_by_url(rows: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFra
     )
 
 
+#: A key that more classes than this hold is met in blocks of so many, in as many tasks.
+BLOCK = 4096
+
+
 def _prefix_keys(classes: DataFrame, values: str, threshold: float, mark: str) -> DataFrame:
-    """Of each class's values the rarest ones, so many that two classes above the threshold share one: the prefix filter."""
+    """Of each class's values the rarest ones, so many that two classes above the threshold share one: the prefix filter.
+
+    class, key, df (how many classes hold it), size (of the class's values) and at (the key's place among them, rarest first).
+    """
     each = classes.select("class", F.explode(values).alias("value"), F.size(values).alias("size"))
     common = each.groupBy("value").agg(F.count("*").alias("df"))
     gathered = each.join(common, "value").groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("ranked"))
     need = (F.col("size") - F.ceil(F.col("size") * threshold) + 1).cast("int")
-    return gathered.select("class", F.explode(F.slice("ranked", F.lit(1), need)).alias("r")).select("class", F.concat(F.lit(mark), F.col("r.value")).alias("key"))
+    kept = gathered.select("class", "size", F.posexplode(F.slice("ranked", F.lit(1), need)).alias("at", "r"))
+    return kept.select("class", F.concat(F.lit(mark), F.col("r.value")).alias("key"), F.col("r.df").alias("df"), "size", "at")
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of rows of different classes with an equal key; columns of right get `_o`. The rows that hold a frequent key are dealt in blocks: one side each in one, the other in all."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)).cast("int")
+    one = left.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+    all_of = right.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("df")
+    renamed = all_of.withColumnsRenamed({c: f"{c}_o" for c in all_of.columns if c not in ("key", "block")})
+    return one.join(renamed, ["key", "block"]).where("class != class_o")
 
 
 def title_classes(rows: DataFrame, title: Column, id_column: str) -> DataFrame:
-    """Rows with equal titles as one class: class (least id), n, parts. A row without a title is in none."""
-    made = rows.select(F.col(id_column).alias("_id"), title_parts(title).alias("parts")).where(F.length("parts.clean") > 0)
-    return made.groupBy(F.col("parts.clean").alias("clean")).agg(F.min("_id").alias("class"), F.count("*").alias("n"), F.first("parts").alias("parts")).drop("clean")
+    """Rows with equal titles as one class: class (least id), n, parts; written, as many branches read it. A row without a title is in none."""
+    made = rows.select(F.col(id_column).alias("_id"), clean_title(title).alias("clean")).where(F.length("clean") > 0)
+    distinct = made.groupBy("clean").agg(F.min("_id").alias("class"), F.count("*").alias("n"))
+    return settled(distinct.select("class", "n", title_parts(F.col("clean")).alias("parts")))
 
 
 #: Titles of at least this length are looked for inside others by runs of so many characters, shorter ones by pairs.
@@ -67,28 +86,43 @@ def similar_titles(classes: DataFrame, threshold: float, inclusive: bool = False
 
     Candidates share a canonical title; or one of the rarest words (of character pairs, where one has ideographs) that the
     prefix filter keeps; or, for titles that hold each other, the rarest run of characters of the shorter one, which must
-    stand in the longer. No pair above the threshold is missed.
+    stand in the longer. Candidates that by their sizes, or by the place of the first value that they share, cannot reach
+    the threshold go before anything but numbers is shuffled for them. No pair above the threshold is missed.
     """
-    classes = settled(classes)
     flat = classes.select("class", "parts.words", "parts.pairs", "parts.canon", "parts.cjk", "parts.clean")
-    small = F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")
+    enough = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold - 1e-6
+
+    def pairs(met: DataFrame) -> DataFrame:
+        return met.select(F.least("class", "class_o").alias("a"), F.greatest("class", "class_o").alias("b"))
 
-    def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right.withColumnRenamed("class", "other"), "key").where("class != other").select(*small)
+    def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
+        # At the first value that two classes share, at most it and those after it are shared; at later ones the pair may go.
+        most = F.least(F.col("size") - F.col("at"), F.col("size_o") - F.col("at_o"))
+        least = (F.col("size") + F.col("size_o")) * (threshold / (1 + threshold)) - 1e-6
+        return pairs(_met(left, right).where(enough(F.col("size"), F.col("size_o")) & (most >= least)))
 
     word_keys, pair_keys = _prefix_keys(flat, "words", threshold, "w:"), _prefix_keys(flat, "pairs", threshold, "p:")
-    canon_keys = flat.where(F.length("canon") > 0).select("class", F.concat(F.lit("c:"), F.col("canon")).alias("key"))
-    alike = met(word_keys, word_keys).unionByName(met(pair_keys.join(flat.where("cjk").select("class"), "class"), pair_keys)).unionByName(met(canon_keys, canon_keys))
+    alike = overlapping(word_keys, word_keys).unionByName(overlapping(pair_keys.join(flat.where("cjk").select("class"), "class"), pair_keys))
+    named = flat.where(F.length("canon") > 0).select("class", F.col("canon").alias("key"))
+    # Equal canonical titles: all their words may differ, so each pair is a link of its own.
+    canon_keys = named.join(named.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
+    alike = alike.unionByName(pairs(_met(canon_keys, canon_keys)))
 
     def containing(text: str, size: int, whose: Column) -> DataFrame:
-        each = flat.select("class", F.explode(grams(F.col(text), size)).alias("key"), whose.alias("asks"))
+        held = flat if size > 1 else flat.where(enough(F.lit(1), F.length(text)))
+        each = held.select("class", F.explode(grams(F.col(text), size)).alias("key"), whose.alias("asks"), F.length(text).alias("size"))
         df = each.groupBy("key").agg(F.count("*").alias("df"))
-        rarest = each.where("asks").join(df, "key").groupBy("class").agg(F.min_by("key", F.struct("df", "key")).alias("key"))
-        return met(rarest, each.select("class", "key"))
+        rarest = each.where("asks").join(df, "key").groupBy("class", "size").agg(F.min_by(F.struct("key", "df"), F.struct("df", "key")).alias("r")).select("class", "size", "r.key", "r.df")
+        asked = rarest.groupBy("key").agg(F.first("df").alias("df"))
+        others = each.select("class", "key", "size").join(asked, "key")
+        return pairs(_met(rarest, others).where((F.col("size") <= F.col("size_o")) & enough(F.col("size"), F.col("size_o"))))
 
-    held = [containing(t, n, F.length(t) >= LONG if n == LONG else F.length(t) < LONG) for t in ("clean", "canon") for n in (2, LONG)]
+    asks = {1: lambda n: n == 1, 2: lambda n: (n > 1) & (n < LONG), LONG: lambda n: n >= LONG}
+    held = [containing(t, n, which(F.length(t))) for t in ("clean", "canon") for n, which in asks.items()]
     candidates = reduce(DataFrame.unionByName, held, alike).distinct()
-    of = lambda side: classes.select(F.col("class").alias(side), F.col("parts").alias(f"_{side}"), F.col("n").alias(f"n_{side}"))
+    # Character pairs travel with ideographs only; the few others that meet those make them anew.
+    parts = F.col("parts").withField("pairs", F.when(F.col("parts.cjk"), F.col("parts.pairs")))
+    of = lambda side: classes.select(F.col("class").alias(side), parts.alias(f"_{side}"), F.col("n").alias(f"n_{side}"))
     judged = candidates.join(of("a"), "a").join(of("b"), "b").withColumn("sim", title_similarity(F.col("_a"), F.col("_b")))
     return judged.where(F.col("sim") >= threshold if inclusive else F.col("sim") > threshold).select("a", "b", "n_a", "n_b", "sim")
 
@@ -104,22 +138,37 @@ def cross_references(rows: DataFrame, title: Column, id_column: str, threshold:
     return joined.select(id_column, F.coalesce("cross_refs", F.lit(0)).cast("long").alias("cross_refs"))
 
 
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+BAND_PAIRS = tuple(combinations(range(len(BANDS)), 2))
 
 
 def near_hashes(rows: DataFrame, hash_column: str, id_column: str, most: int = 4) -> DataFrame:
     """Pairs a < b of distinct 64-bit hashes at `most` or fewer differing bits, each by its least id, with the distance.
 
-    Of five bands two such hashes share one; a pair is kept in the first band that it shares only, so none comes twice.
+    Of six bands two such hashes share two, so the equi join goes by pairs of bands, 20 bits and more; a pair is kept at
+    the first two bands that it shares only, so none comes twice. Rows without a hash are in no pair.
     """
-    if most >= len(BANDS):
-        raise ValueError("five bands find pairs of up to 4 differing bits")
-    distinct = rows.groupBy(F.col(hash_column).alias("h")).agg(F.min(id_column).alias("id"))
-    bands = [F.shiftrightunsigned("h", at).bitwiseAND(F.lit((1 << size) - 1)) for at, size in BANDS]
-    keyed = distinct.select("h", "id", F.posexplode(F.array(*bands)).alias("band", "value"))
-    other = keyed.select(F.col("h").alias("g"), F.col("id").alias("other"), "band", "value")
-    met = keyed.join(other, ["band", "value"]).where("id < other")
-    shared = [F.shiftrightunsigned(F.col("h").bitwiseXOR(F.col("g")), at).bitwiseAND(F.lit((1 << size) - 1)) == 0 for at, size in BANDS]
-    first = F.array_position(F.array(*shared), F.lit(True)) - 1
-    distance = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
-    return met.where((first == F.col("band")) & (distance <= most)).select(F.col("id").alias("a"), F.col("other").alias("b"), distance.cast("int").alias("distance"))
+    if most > len(BANDS) - 2:
+        raise ValueError("six bands find pairs of up to 4 differing bits")
+    distinct = rows.where(F.col(hash_column).isNotNull()).groupBy(F.col(hash_column).alias("h")).agg(F.min(id_column).alias("class"))
+    of = lambda h, i: F.shiftrightunsigned(h, BANDS[i][0]).bitwiseAND(F.lit((1 << BANDS[i][1]) - 1).cast("long"))
+    # The key names its two bands; the other bands up to the second one must differ.
+    keys = [F.struct((F.lit(k << 22).cast("long") + F.shiftleft(of(F.col("h"), i), 11) + of(F.col("h"), j)).alias("key"), F.lit(sum(1 << x for x in range(j) if x != i)).alias("before")) for k, (i, j) in enumerate(BAND_PAIRS)]
+    keyed = settled(distinct.select("h", "class", F.inline(F.array(*keys))))
+    keyed = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
+    differing = F.col("h").bitwiseXOR(F.col("h_o"))
+    shared = sum((F.when(of(differing, i) == 0, 1 << i).otherwise(0) for i in range(len(BANDS))), F.lit(0))
+    met = _met(keyed, keyed.drop("before")).where((F.col("class") < F.col("class_o")) & (F.bit_count(differing) <= most) & (shared.bitwiseAND(F.col("before")) == 0))
+    return met.select(F.col("class").alias("a"), F.col("class_o").alias("b"), F.bit_count(differing).cast("int").alias("distance"))
+
+
+def hash_links(rows: DataFrame, hash_column: str, id_column: str, most: int = 4) -> DataFrame:
+    """A row per row: id, class_id (the least id of its hash) and links, the number of other rows at `most` or fewer differing bits; a row without a hash has its own id and no links."""
+    h = F.col(hash_column)
+    classes = rows.where(h.isNotNull()).groupBy(h.alias("_h")).agg(F.min(id_column).alias("class"), F.count("*").alias("n"))
+    pairs = near_hashes(rows, hash_column, id_column, most)
+    both = pairs.select(F.col("a").alias("class"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("o")))
+    met = both.join(classes.select(F.col("class").alias("o"), "n"), "o").groupBy("class").agg(F.sum("n").alias("m"))
+    told = classes.join(met, "class", "left").select("_h", F.col("class").alias("class_id"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+    joined = rows.select(id_column, h.alias("_h")).join(told, "_h", "left")
+    return joined.select(id_column, F.coalesce("class_id", F.col(id_column)).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

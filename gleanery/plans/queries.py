@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -298,15 +299,34 @@ def close_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.close_in_time(e, e, ["user_id"], "ts", 2.0).where("event_id < event_id_other").select(F.col("event_id").alias("a"), F.col("event_id_other").alias("b"), "user_id")
 
 
-@query("""
-WITH h AS (SELECT min(vec_id) AS id, h FROM (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CASE WHEN i = 64 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << (i - 1) END ELSE CAST(0 AS HUGEINT) END)) AS h FROM embeddings) GROUP BY h)
-SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(CAST(a.h AS BIGINT), CAST(b.h AS BIGINT))) AS INTEGER) AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(CAST(a.h AS BIGINT), CAST(b.h AS BIGINT))) <= 4""")
-def near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The signs of an embedding stand for a picture's hash."""
+#: Bits in which the second picture of a vector differs from the first: (factor of the id, modulus).
+FLIPS = ((1, 61), (7, 59), (3, 53), (1, 5), (11, 47))
+PICTURES = f"""v AS (SELECT vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CASE WHEN i = 64 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << (i - 1) END ELSE CAST(0 AS HUGEINT) END)) AS BIGINT) AS h FROM embeddings),
+p AS (SELECT 2 * vec_id AS id, h FROM v UNION ALL SELECT 2 * vec_id + 1, {reduce(lambda h, f: f"xor({h}, CAST(1 AS BIGINT) << CAST(vec_id * {f[0]} % {f[1]} AS INTEGER))", FLIPS, "h")} FROM v)"""
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and h: the signs of an embedding stand for a picture's hash; a second picture of each differs in a few bits."""
     bit = lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))
     signs = F.transform("embedding", lambda x, i: F.expr("0L") + bit(x, i))
     h = F.aggregate(F.reverse(signs), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
-    return dedup.near_hashes(table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h")), "h", "vec_id")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h"))
+    other = reduce(lambda x, f: x.bitwiseXOR(F.expr(f"shiftleft(1L, CAST(vec_id * {f[0]} % {f[1]} AS INT))")), FLIPS, F.col("h"))
+    return v.select(F.inline(F.array(F.struct((2 * F.col("vec_id")).alias("id"), "h"), F.struct((2 * F.col("vec_id") + 1).alias("id"), other.alias("h")))))
+
+
+@query(f"""
+WITH {PICTURES}, h AS (SELECT min(id) AS id, h FROM p WHERE h IS NOT NULL GROUP BY h)
+SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 4""")
+def near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_hashes(pictures(spark, sf_dir), "h", "id")
+
+
+@query(f"""
+WITH {PICTURES}, c AS (SELECT h, min(id) AS class_id FROM p GROUP BY h), l AS (SELECT a.id, count(*) AS links FROM p a JOIN p b ON a.id <> b.id WHERE bit_count(xor(a.h, b.h)) <= 4 GROUP BY a.id)
+SELECT p.id, coalesce(c.class_id, p.id) AS class_id, coalesce(l.links, 0) AS links FROM p LEFT JOIN c ON c.h = p.h LEFT JOIN l ON l.id = p.id""")
+def hash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.hash_links(pictures(spark, sf_dir), "h", "id")
 
 
 # Aggregations

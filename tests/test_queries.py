@@ -6,12 +6,13 @@ import os
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import anchors, claims, draft_checks, drafts, forum, publishability, text
-from gleanery.operators import clustering, editing, relation, selection
+from gleanery.operators import clustering, dedup, editing, relation, selection
 from gleanery.plans import queries as Q
 from gleanery.plans import signals
 
@@ -309,3 +310,32 @@ def test_tenths_round_as_python_does(spark):
     values = [4.65, 4.15, 0.25, 0.75, 9.95, 4.5 * 0.7 + 5.0 * 0.3, 7.5 * 0.7 + 9.0 * 0.3, 0.0, 10.0, *(i * 0.7 / 10 + j * 0.3 / 10 for i in range(0, 101, 3) for j in range(0, 101, 7))]
     frame = spark.createDataFrame([(v,) for v in values], "x double")
     assert all(r["t"] == round(r["x"], 1) for r in frame.select("x", tenths(F.col("x")).alias("t")).collect())
+
+
+TITLES = ("a", "ab", "abc", "x a", "a b c d", "b c d e", "c d e f g", "a-b c", "ab c", "ABC", "新", "新模", "新模型", "新模型甲 ab", "ab 新方法", "新方法", "方法新", "one two three four", "two three four five", "one two three four five six seven", "twothree", "three fourty", "the whole title is held", "whole title is held", "whole title", "", "   ", "!?", "alpha!", "al pha", "al-pha beta")
+
+
+@pytest.mark.parametrize("threshold, inclusive", [(0.25, False), (0.25, True), (0.5, True), (0.7, False)])
+def test_similar_titles_equal_all_pairs(spark, monkeypatch, threshold, inclusive):
+    monkeypatch.setattr(dedup, "BLOCK", 3)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TITLES)] + [(90, "A B C D"), (91, None)], "id long, title string")
+    classes = dedup.title_classes(rows, F.col("title"), "id")
+    sim = text.title_similarity(F.col("p"), F.col("q"))
+    every = classes.select(F.col("class").alias("a"), F.col("parts").alias("p")).join(classes.select(F.col("class").alias("b"), F.col("parts").alias("q")), F.col("a") < F.col("b")).select("a", "b", sim.alias("sim"))
+    expected = {(r.a, r.b, round(r.sim, 9)) for r in every.where(F.col("sim") >= threshold if inclusive else F.col("sim") > threshold).collect()}
+    found = [(r.a, r.b, round(r.sim, 9)) for r in dedup.similar_titles(classes, threshold, inclusive).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected and expected
+
+
+def test_hash_links_count_near_rows(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 6)] + [0, -1]
+    near = [b ^ sum({1 << int(p) for p in rng.integers(0, 63, k)}) for b in base for k in (1, 2, 3, 4, 5) for _ in range(4)]
+    hashes = [*base, *near, base[0], base[0], None, None]
+    rows = spark.createDataFrame(list(enumerate(hashes)), "id long, h long")
+    apart = lambda x, y: ((x ^ y) & ((1 << 64) - 1)).bit_count()
+    expected = {i: (i, i, 0) if h is None else (i, hashes.index(h), sum(g is not None and j != i and apart(g, h) <= 4 for j, g in enumerate(hashes))) for i, h in enumerate(hashes)}
+    found = dedup.hash_links(rows, "h", "id").collect()
+    assert {r.id: tuple(r) for r in found} == expected and len(found) == len(hashes)
+    assert dedup.hash_links(rows.where("id < 0"), "h", "id").count() == 0
