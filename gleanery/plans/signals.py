@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import editorial, fingerprints, media, people
+from ..functions import editorial, fingerprints, media, people, replies
 from ..operators import relation
-from ..sources import records
+from ..sources import feeds, records
 from .publishing import HEADLINES, _list, _pick, headlines
 from .queries import query
 from .tables import NOW, now, table
@@ -283,3 +283,41 @@ def post_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("conv_id") % 11 != 0, "media").alias("source_tier"), now().alias("created_at"), (F.col("turn") % 5 == 3).alias("is_repost"),
     )
     return records.posts(landed).select("id", "title", "url", "summary")
+
+
+@query("""
+WITH e AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') || '<IMG alt="x" src="' || coalesce(url, '') || '/i.png"><img src="data:x">' AS h FROM pages),
+c AS (SELECT page_id, unnest([{'place': 0, 'url': u || '/a.png', 'source': 'rss:media_content'}, {'place': 2, 'url': u || '/l.png', 'source': 'rss:link'}, {'place': 3, 'url': u || '/e.bin', 'source': 'rss:link'}, {'place': 4, 'url': u || '/q?a=1&b=2', 'source': 'rss:enclosure'}]
+    || list_transform(regexp_extract_all(h, '(?i)<img[^>]+src=["'']([^"'']+)["'']', 1), lambda x, i: {'place': 10 + i, 'url': trim(replace(x, '&amp;', '&')), 'source': 'rss:html_img'}), recursive := true) FROM e),
+f AS (SELECT page_id, url, min(place) AS place, arg_min(source, place) AS source FROM c WHERE url <> '' AND NOT starts_with(url, 'data:') GROUP BY page_id, url)
+SELECT page_id, string_agg(source || ' ' || url, '|' ORDER BY place) AS images FROM f GROUP BY page_id""")
+def feed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as entries of feeds: media, links of several kinds, enclosures and the whole markup."""
+    none = F.lit(None).cast("string")
+    linked = lambda url=none, href=none, kind=none, rel=none: F.struct(url.alias("url"), href.alias("href"), kind.alias("type"), rel.alias("rel"))
+    at = lambda end: F.concat(F.coalesce("url", F.lit("")), F.lit(end))
+    markup = F.concat(F.coalesce("html", F.lit("")), F.lit('<IMG alt="x" src="'), at("/i.png"), F.lit('"><img src="data:x">'))
+    links = F.array(linked(href=at("/l.png"), kind=F.lit("image/png")), linked(href=at("/n.html"), kind=F.lit("text/html"), rel=F.lit("alternate")), linked(url=at("/e.bin"), rel=F.lit("ENCLOSURE")))
+    enclosures = F.array(linked(href=at("/l.png"), kind=F.lit("image/png")), linked(url=at("/q?a=1&amp;amp;b=2 "), kind=F.lit("IMAGE/JPEG")), linked(url=at("/s.mp3"), kind=F.lit("audio/mpeg")))
+    images = feeds.entry_images(F.array(linked(url=at("/a.png"))), F.array(linked(href=at("/a.png")), linked(url=F.lit("data:x"))), links, enclosures, F.array(markup))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(images, lambda x: F.concat(x["source"], F.lit(" "), x["url"])), "|").alias("images"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id % 6 AS way, trim(coalesce(text, '')) AS t, coalesce(source, '-') AS s FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, CASE WHEN way IN (0, 1, 2) THEN 2 WHEN way = 3 THEN 1 END AS items, CASE WHEN way < 4 THEN doc_id END AS number, CASE WHEN way < 4 AND t <> '' THEN t || s END AS brief, way IN (0, 1, 2, 4) AS holds_object FROM d""")
+def repaired_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as replies about them: bare, fenced, amid prose, a list alone, an object too deep for the lenient reading, and none."""
+    n, words = F.col("doc_id"), F.trim(F.coalesce("text", F.lit("")))
+    item = lambda number: F.to_json(F.struct(number.alias("index"), F.array(words, F.coalesce("source", F.lit("-"))).alias("brief")))
+    flat = F.to_json(F.struct(n.alias("index"), F.lit(" x ").alias("brief")))
+    listed = F.concat(F.lit('{"items": ['), item(F.concat(F.lit(" "), n.cast("string"))), F.lit(", "), flat, F.lit("]}"))
+    ways = [
+        F.concat(F.lit(" \n"), listed), F.concat(F.lit("Here it is:\n```json\n"), listed, F.lit("\n```\nand so on {")), F.concat(F.lit("Sure. "), listed, F.lit(" Anything else?")),
+        F.concat(F.lit("["), item(n), F.lit("]")), F.concat(F.lit('{ no: {"a": {"b": {"c": "'), n.cast("string"), F.lit('"}}} tail')), F.concat(F.lit("Sorry, "), n.cast("string"), F.lit(" cannot be told.")),
+    ]
+    reply = F.element_at(F.array(*ways), (n % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", replies.extracted(reply).alias("value"), replies.first_object(reply).alias("object"))
+    read = rows.select("doc_id", "object", replies.items(F.col("value")).alias("items"))
+    first = F.get("items", F.lit(0))
+    return read.select("doc_id", F.nullif(F.size("items"), F.lit(-1)).alias("items"), replies.index_of(first).alias("number"), replies.brief_of(first).alias("brief"), F.col("object").isNotNull().alias("holds_object"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, known, strip_tags
+from ..functions.replies import bare
+from ..functions.text import collapse, known, once, strip_tags, unescape
 from ..functions.times import aware, published
 from ..functions.urls import is_http
+from .pages import image_urls
 
 CANDIDATE = (
     "id string, title string, url string, source string, source_type string, published_at timestamp, published_source string, summary string, author string, tags array<string>, "
@@ -45,6 +49,36 @@ def rss_items(spark: SparkSession, path: str, source: str, row_tag: str = "item"
     return out.where("title != ''").select(stable_id("rss", F.col("url"), F.col("title")).alias("id"), "title", "url", F.lit(source).alias("source"), F.lit("rss").alias("source_type"), "w.ts", "w.label", "summary", "author").withColumnsRenamed({"ts": "published_at", "label": "published_source"})
 
 
+#: What an entry of a feed links to, as landed.
+LINKED = "array<struct<url:string,href:string,type:string,rel:string>>"
+
+
+def entry_images(media_content: Column, media_thumbnail: Column, links: Column, enclosures: Column, markup: Column) -> Column:
+    """array<struct<url, source>>: the pictures of an entry, in the order of its parts; each address once, by its first place, no inline data.
+
+    The first four are of the type LINKED, markup is an array of the entry's texts; any may be null. Links count if they are pictures, enclosures or thumbnails.
+    """
+    lower = lambda x, f: F.lower(known(x[f]))
+    pictured = lambda x: lower(x, "type").contains("image")
+
+    def named(values, source, first, second, kept):
+        rows = F.filter(F.coalesce(values, F.array().cast(LINKED)), lambda x: x.isNotNull() & kept(x))
+        return F.transform(rows, lambda x: F.struct(F.coalesce(F.nullif(x[first], F.lit("")), x[second]).alias("url"), F.lit(source).alias("source")))
+
+    shown = F.flatten(F.transform(F.coalesce(markup, F.array().cast("array<string>")), image_urls))
+    found = F.concat(
+        named(media_content, "rss:media_content", "url", "href", lambda x: F.lit(True)), named(media_thumbnail, "rss:media_thumbnail", "url", "href", lambda x: F.lit(True)),
+        named(links, "rss:link", "url", "href", lambda x: pictured(x) | lower(x, "rel").isin("enclosure", "thumbnail")), named(enclosures, "rss:enclosure", "href", "url", pictured),
+        F.transform(shown, lambda u: F.struct(u.alias("url"), F.lit("rss:html_img").alias("source"))),
+    )
+    cleaned = lambda u: bare(reduce(lambda x, _: unescape(x), range(3), u))
+    placed = F.array_sort(F.transform(found, lambda x, i: F.struct(cleaned(x["url"]).alias("url"), i.alias("at"), x["source"].alias("source"))))
+    # Sorted by address and place, a row is the first of its address if the one before has another.
+    first = once(placed, lambda p: F.filter(p, lambda x, i: (x["url"] != "") & ~x["url"].startswith("data:") & ((i == 0) | (F.get(p, i - 1)["url"] != x["url"]))))
+    ordered = F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["url"].alias("url"), x["source"].alias("source"))))
+    return F.transform(ordered, lambda x: F.struct(x["url"].alias("url"), x["source"].alias("source")))
+
+
 def stable_id(kind: str, url, title):
     """An id from the address, or from the title without one; equal on every run."""
     return F.concat(F.lit(f"{kind}-"), F.sha2(F.when(url != "", url).otherwise(title), 256))

@@ -11,10 +11,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.functions import anchors, claims, draft_checks, drafts, forum, publishability, text
+from gleanery.functions import anchors, claims, draft_checks, drafts, forum, publishability, replies, text
 from gleanery.operators import clustering, dedup, editing, relation, selection
 from gleanery.plans import queries as Q
 from gleanery.plans import signals
+from gleanery.sources import feeds
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -339,3 +340,34 @@ def test_hash_links_count_near_rows(spark, monkeypatch):
     found = dedup.hash_links(rows, "h", "id").collect()
     assert {r.id: tuple(r) for r in found} == expected and len(found) == len(hashes)
     assert dedup.hash_links(rows.where("id < 0"), "h", "id").count() == 0
+
+
+@pytest.mark.parametrize("reply, value, first", [
+    (' {"a":1} ', '{"a":1}', '{"a":1}'), ('Sure:\n```json\n[{"index":1}]\n```', '[{"index":1}]', '{"index":1}'), ('x {"a":{"b":1}} y {"c":2}', '{"a":{"b":1}}', '{"a":{"b":1}}'),
+    ('{bad} {"a":1} t', None, '{"a":1}'), ('{"a":1} {"b":2}', '{"a":1}', '{"a":1}'), ('[{"a":1}]', '[{"a":1}]', None), ("1],[2", None, None), ("12 apples", None, None), ("", None, None), (None, None, None),
+    ('{"a":{"b":{"c":1}}} z', '{"b":{"c":1}}', '{"a":{"b":{"c":1}}}'), ('```\n{bad}\n``` {"k":"v"}', None, '{"k":"v"}'), ("{" * 50, None, None), ('"text"', '"text"', None),
+])
+def test_replies(spark, reply, value, first):
+    row = spark.createDataFrame([(reply,)], "s string").select(replies.extracted(F.col("s")).alias("v"), replies.first_object(F.col("s")).alias("o")).first()
+    assert (row.v, row.o) == (value, first)
+
+
+def test_items_of_a_reply(spark):
+    value = '{"items":[{"index":" 2 ","brief":["a "," b"]},{"index":3,"brief":" x "},{"index":3.5,"brief":["a",""]},{"index":"-1","brief":["a",null]},{"brief":["a","b","c"]},7]}'
+    rows = spark.createDataFrame([(value,)], "s string").select(F.posexplode(replies.items(F.col("s"))).alias("at", "i"))
+    found = rows.orderBy("at").select(replies.index_of(F.col("i")), replies.brief_of(F.col("i"))).collect()
+    assert [tuple(r) for r in found] == [(2, "ab"), (3, "x"), (None, None), (None, None), (None, None), (None, None)]
+    assert spark.range(1).select(replies.items(F.lit('{"other":1}'))).first()[0] is None
+
+
+def test_images_of_an_entry(spark):
+    kind = "m {0}, t {0}, l {0}, e {0}, h array<string>".format(feeds.LINKED)
+    link = lambda url=None, href=None, type=None, rel=None: (url, href, type, rel)
+    rows = [
+        ([link("m", "no"), link("")], [link(None, "t"), link("m")], [link("a.html", rel="alternate"), link("i", type="Image/png"), link("h", rel="Thumbnail"), None], [link("u", "e", "image/gif"), link("s", None, "audio/x")],
+         ["<p><img class='x' src='w'><IMG src=\"data:1\"></p>", None, '<img src="a&amp;amp;b"> <img src="t">']),
+        (None, None, None, None, None),
+    ]
+    found = spark.createDataFrame(rows, kind).select(feeds.entry_images(*map(F.col, "mtleh")).alias("x")).collect()
+    assert [tuple(p) for p in found[0].x] == [("m", "rss:media_content"), ("t", "rss:media_thumbnail"), ("i", "rss:link"), ("h", "rss:link"), ("e", "rss:enclosure"), ("w", "rss:html_img"), ("a&b", "rss:html_img")]
+    assert found[1].x == []
