@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from .common import gather, schema_with, text_slices, with_columns
 
 CACHE_PIECES = 300_000
+IDS_AT_ONCE = 1 << 16
 #: Longest piece, in bytes, that shares an array of trees with others.
 TOGETHER = 128
 NONE = np.int64(1) << 40
@@ -36,7 +37,6 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.tokens = {b: a for a, b in self.ranks.items()}
         # White space is what Unicode calls so, without the four separators that Python adds.
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
@@ -187,17 +187,20 @@ def vocabulary(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+def _encoded(bpe: ByteBpe, cache: dict[str, bytes], column: pa.Array) -> list[bytes]:
+    out: list[bytes] = []
+    for start, stop in text_slices(column):
+        out += _encode_slice(bpe, cache, column.slice(start, stop - start))
+    return out
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs without text, with ids: binary, the token ids as little-endian unsigned 32-bit integers."""
 
     def run(batches):
         bpe, cache = vocabulary(path, pattern), {}
         for batch in batches:
-            column = batch.column("text")
-            out: list[bytes] = []
-            for start, stop in text_slices(column):
-                out += _encode_slice(bpe, cache, column.slice(start, stop - start))
-            yield with_columns(batch, ("text",), {"ids": pa.array(out, pa.binary())})
+            yield with_columns(batch, ("text",), {"ids": pa.array(_encoded(bpe, cache, batch.column("text")), pa.binary())})
 
     return docs.mapInArrow(run, schema_with(docs, ("text",), "ids binary"))
 
@@ -222,14 +225,40 @@ def _encode_slice(bpe: ByteBpe, cache: dict[str, bytes], texts: pa.Array) -> lis
     return [joined[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encoded without ids, with decoded: binary, the bytes that the ids stand for. An id outside the vocabulary fails the task."""
+@functools.lru_cache(maxsize=2)
+def token_table(path: str) -> list[bytes | None]:
+    """The bytes of each id."""
+    with open(path, "rb") as lines:
+        tokens = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    return [tokens.get(i) for i in range(max(tokens) + 1)]
+
+
+def decoded_bytes(table: list[bytes | None], ids: bytes) -> bytes:
+    """What ids stand for, IDS_AT_ONCE at a time, so that a very long text is never a list of numbers."""
+    flat = np.frombuffer(ids, "<u4")
+    return b"".join(b"".join(map(table.__getitem__, flat[at : at + IDS_AT_ONCE].tolist())) for at in range(0, len(flat), IDS_AT_ONCE))
+
+
+def decode(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
+    """encoded without ids, with decoded: binary, the bytes that the ids stand for. An id outside the vocabulary fails the task. No pattern is needed; callers may name the same as for `encode`."""
 
     def run(batches):
-        tokens = vocabulary(path, pattern).tokens
-        table = [tokens.get(i) for i in range(max(tokens) + 1)]
+        table = token_table(path)
         for batch in batches:
-            out = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column("ids").to_pylist()]
+            out = [decoded_bytes(table, x.as_py() or b"") for x in batch.column("ids")]
             yield with_columns(batch, ("ids",), {"decoded": pa.array(out, pa.binary())})
 
     return encoded.mapInArrow(run, schema_with(encoded, ("ids",), "decoded binary"))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs without text, with ids, and decoded from the ids alone: `encode` and `decode` in one pass, as two would have two Python workers for each task."""
+
+    def run(batches):
+        bpe, cache, table = vocabulary(path, pattern), {}, token_table(path)
+        for batch in batches:
+            ids = _encoded(bpe, cache, batch.column("text"))
+            decoded = pa.array((decoded_bytes(table, x) for x in ids), pa.binary())
+            yield with_columns(batch, ("text",), {"ids": pa.array(ids, pa.binary()), "decoded": decoded})
+
+    return docs.mapInArrow(run, schema_with(docs, ("text",), "ids binary, decoded binary"))

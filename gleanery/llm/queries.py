@@ -22,10 +22,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    how = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), *how)
-    digests = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return byte_bpe.decode(digests, *how).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = byte_bpe.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

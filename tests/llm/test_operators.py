@@ -162,6 +162,22 @@ def test_bpe_equals_tiktoken(which, request):
         assert back[i] == (text or "").encode()
 
 
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_bpe_round_trip(which, request, monkeypatch):
+    from gleanery.llm.byte_bpe import decoded_bytes, encode, round_trip, token_table
+
+    frame = request.getfixturevalue(which).select("doc_id", "text")
+    how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    made = Counter((r["doc_id"], bytes(r["ids"])) for r in encode(frame, *how).collect())
+    both = round_trip(frame, *how).collect()
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in both) == made
+    assert Counter((r["doc_id"], bytes(r["decoded"])) for r in both) == Counter((i, (text or "").encode()) for i, text in texts_of(frame))
+    monkeypatch.setattr("gleanery.llm.byte_bpe.IDS_AT_ONCE", 3)
+    assert all(decoded_bytes(token_table(how[0]), bytes(r["ids"])) == bytes(r["decoded"]) for r in both)
+    with pytest.raises(IndexError):
+        decoded_bytes(token_table(how[0]), b"\xff\xff\xff\x7f")
+
+
 def test_bpe_any_text():
     from hypothesis import given, settings
     from hypothesis import strategies as st
