@@ -750,3 +750,210 @@ def test_estimates_are_unbiased():
         sign = np.where(x > 0, 1, -1) / 8
         found.append(sign @ y / (sign @ x))
     assert abs(np.mean(found) - a @ b) < 0.01
+
+
+# 11
+
+
+def phrases_by_hand(rows, least, top=2000):
+    found, words_of = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or ""))
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", lowered):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            words_of[lang] += len(words)
+            for i in range(len(words)):
+                for d in range(1, min(4, len(words) - i) + 1):
+                    found[lang][tuple(words[i : i + d])] += 1
+    out = []
+    for lang, f in found.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        best = []
+        for p, a in candidates.items():
+            if any(100 * b >= 80 * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in candidates.items() if len(q) > len(p)):
+                continue
+            score, k = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            best.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, i, x[2].decode(), -x[1], x[3], x[4], words_of[lang], -x[0]) for i, x in enumerate(sorted(best)[:top], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least", [2, 30])
+def test_phrases(spark, odd, docs, least):
+    from gleanery.llm.collocations import mine
+
+    rows = docs.select("text", "lang").unionByName(odd.select("text", "lang")) if least == 30 else odd
+    assert sorted(tuple(r) for r in mine(rows, least).collect()) == phrases_by_hand([(r["lang"], r["text"]) for r in rows.collect()], least)
+
+
+def test_phrases_ties_ranks_and_empty(spark):
+    from gleanery.llm.collocations import mine
+
+    texts = ["b a. b a", "a\x01 b\ta\x01 b", "É é É é", "x y z x y z x y z", "A B; a b"]
+    rows = [(lang, t) for lang in (None, "und", "e n") for t in texts for _ in range(3)]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    got = sorted(tuple(r) for r in mine(frame, 2, most_ranks=4).collect())
+    assert got == phrases_by_hand(rows, 2, 4) and {r[0] for r in got} == {"und", "e n"}
+    assert mine(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("chunk", "merge"), [(1, 1), (3, 20), (4096, 400_000)])
+def test_tries_merge_over_chunks_and_shards(monkeypatch, chunk, merge):
+    import pyarrow as pa
+
+    from gleanery.llm import collocations as C
+
+    monkeypatch.setattr(C, "MERGE", merge)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "b", "a\x01", "ab", "é.", "c"], 60)) for _ in range(12)]
+    rows = []
+    for i in range(0, 12, 3):
+        trie = C.shard_trie("\n".join(texts[i : i + 3]).encode())
+        again = C.unpacked(C.packed(trie, 0, len(trie.paths)))
+        assert [again.key(j) for j in range(len(again.paths))] == [trie.key(j) for j in range(len(trie.paths))] and (again.counts == trie.counts).all()
+        assert [trie.key(j) for j in range(len(trie.paths))] == sorted(trie.key(j) for j in range(len(trie.paths)))
+        rows += [{"range": 0, "lang": "x", "first": trie.key(at), "blob": C.packed(trie, at, min(at + chunk, len(trie.paths)))} for at in range(0, len(trie.paths), chunk)]
+    rows.sort(key=lambda r: r["first"])
+    sums = Counter()
+    for batch in C.merge_ranges(pa.Table.from_pylist(rows).to_batches(max_chunksize=7), 2):
+        for r in batch.to_pylist():
+            sums[r["phrase"]] += r["f"]
+    want = Counter()
+    for piece in re.split(r"[.\n]", "\n".join(texts)):
+        words = piece.split(" ")
+        words = [w for w in words if w]
+        want[""] += len(words)
+        want.update(" ".join(words[i : i + d]) for i in range(len(words)) for d in range(1, min(4, len(words) - i) + 1))
+    assert {p: n for p, n in sums.items() if n >= 2} == {p: n for p, n in want.items() if n >= 2}
+
+
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    from gleanery.llm import collocations as C
+
+    monkeypatch.setattr(C, "SHARD", 10)
+    for text in (b"aa bb. cc dd ee ff gg hh ii jj. kk ll, mm", b"x" * 35, b"", b"....", b"a b c d e f g h"):
+        runs = list(C._runs(text))
+        assert b"".join(runs) == text and all(r[-1:] in b".," for r in runs[:-1])
+
+
+# 12
+
+
+def manifest_by_hand(rows):
+    """rows: (doc_id, source, lang, n_chars, text)."""
+
+    def h(*values):
+        return hashlib.sha256("".join(values).encode()).hexdigest()
+
+    def leaf(*values):
+        return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+    def tree(level):
+        if not level:
+            return None, []
+        paths, at = [[] for _ in level], list(range(len(level)))
+        while len(level) > 1:
+            runs = [level[i : i + 16] for i in range(0, len(level), 16)]
+            for path, i in zip(paths, at, strict=True):
+                path.append((i % 16, runs[i // 16]))
+            at = [i // 16 for i in at]
+            level = [h(*r) for r in runs]
+        return level[0], paths
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1]].append((r[0] is not None, r[0] or 0, leaf(*r), r))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = [tree([x[2] for x in sorted(groups[s], key=lambda x: x[:3])]) for s in order]
+    root, tops = tree([t[0] for t in trees])
+    out = []
+    for s, (subroot, paths), top in zip(order, trees, tops, strict=True):
+        for (_, _, own, r), path in zip(sorted(groups[s], key=lambda x: x[:3]), paths, strict=True):
+            text = r[4]
+            if r[0] is not None and text is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0:
+                text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+            folded = leaf(*r[:4], text)
+            for slot, run in path + top:
+                folded = h(*run[:slot], folded, *run[slot + 1 :])
+            proof = h(*[d for slot, run in path + top for i, d in enumerate(run) if i != slot])
+            out.append((r[0], own, subroot, root, proof, folded, folded == root))
+    return sorted(out, key=str)
+
+
+def manifest_of(frame):
+    from gleanery.llm.merkle import manifest
+
+    return sorted((tuple(r) for r in manifest(frame).collect()), key=str)
+
+
+def test_manifest(spark, odd):
+    frame = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [tuple(r) for r in frame.select("doc_id", "source", "lang", "n_chars", "text").collect()]
+    got = manifest_of(frame)
+    assert got == manifest_by_hand(rows) and len(got) == len(rows)
+    assert {r[-1] for r in got} == {True, False}
+    assert manifest_of(odd) == manifest_by_hand([tuple(r) for r in odd.select("doc_id", "source", "lang", "n_chars", "text").collect()])
+
+
+@pytest.mark.parametrize("shape", [{}, {"a": 1}, {"a": 16}, {"a": 17}, {None: 1, "b": 1}, {None: 300, "": 2, "é": 40, "z": 1}, {f"s{i}": 1 + i % 3 for i in range(40)}])
+def test_manifest_shapes(spark, shape):
+    """Null and repeated ids and equal rows among them; sources of one row, whole runs, and a last run of one."""
+    ids = lambda i: None if i % 7 == 0 else i // 2
+    rows = [(ids(i), s, None if i % 3 else "en", i % 5, None if i % 11 == 0 else f"Text {i // 4}") for s, n in shape.items() for i in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(5)
+    assert manifest_of(frame) == manifest_by_hand(rows)
+
+
+# 13
+
+
+def test_toxicity_held_out(spark):
+    from gleanery.llm.toxicity import rate
+
+    at = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    found = rate(documents, labels)
+    rows = found.join(labels, "doc_id").where("held_out").select("toxic", "predicted", "score").collect()
+    toxic, clean = [[r for r in rows if r["toxic"] == y] for y in (1, 0)]
+    # About a seventh of the toxic labels of this table stand on texts without any word that tells.
+    assert len(toxic) > 50 and np.mean([r["predicted"] for r in toxic]) > 0.75 and np.mean([r["predicted"] for r in clean]) < 0.03
+    assert found.count() == documents.count()
+    assert all((r["score"] >= 0.5) == (r["predicted"] == 1) for r in rows)
+
+
+def test_toxicity_of_misspellings():
+    import pyarrow as pa
+
+    from gleanery.llm import toxicity as X
+
+    rng = np.random.default_rng(3)
+    plain = [f"{a}{b}" for a in ("mor", "ta", "lin", "ves", "ko", "dra") for b in ("ne", "sto", "vi", "ra", "lum")]
+    bad = ["blockhead", "nincompoop", "dimwit"]
+    texts = [" ".join([*rng.choice(plain, rng.integers(3, 80)), *(rng.choice(bad, 1) if i % 2 else [])]) for i in range(600)]
+    model = X.train(texts, [i % 2 for i in range(600)])
+    odds = model.odds()
+    long_one = " ".join(rng.choice(plain, 3000))
+    told = X.scores(pa.array(["morne blockheads vesra", "a nincompooop taste", long_one, long_one + " dimwitt", "kora lumvi", None, "", "!!"]), *odds)
+    assert (told >= 0.5).tolist() == [True, True, False, True, False, False, False, False]
+
+
+def test_toxicity_odd(spark, odd):
+    from gleanery.llm.toxicity import rate
+
+    labels = spark.createDataFrame([(5, 0), (5, 0), (7, 1), (8, 1), (9, None), (99, 1), (None, 1), (13, 0)], "doc_id long, toxic int")
+    rows = rate(odd, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in rows)
+    same = {r["doc_id"]: r["score"] for r in rows}
+    assert same[7] == same[8] == same[12] == same[None] and same[1] == same[2] == same[3]
+    assert {r["score"] for r in rate(odd, labels.limit(0)).collect()} == {0.0}
+    assert rate(odd.limit(0), labels).collect() == []
+
+
+def test_subwords_see_ends_and_whole_words():
+    from gleanery.llm.toxicity import subwords
+
+    buckets, sizes = subwords(["ab", "abab", "b"])
+    assert sizes.tolist() == [2 + 1 + 1, 4 + 3 + 2 + 1 + 1, 1 + 1]
+    again, _ = subwords(["b", "ab"])
+    assert again.tolist() == [*buckets[15:], *buckets[:4]]
