@@ -15,22 +15,22 @@ from .lineage import settled
 METRICS = ("hn_score", "hn_comments", "github_stars", "hf_likes", "hf_downloads", "cross_source_count")
 
 
-def merge_by_url(rows: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """One row per address without query, the first by `pos` surviving: greatest metrics, earliest time and its origin.
+def merge_by_url(rows: DataFrame, metrics: tuple[str, ...] = METRICS, scope: tuple[str, ...] = ()) -> DataFrame:
+    """One row per address without query (and scope), the first by `pos` surviving: greatest metrics, earliest time and its origin.
 
     cross_source_count grows by one for each row of another kind than the survivor. The labels of those rows' sources are
     appended once each, in order of appearance; counting and labels are folded by (address, kind, source) first, so that
     a hot address never gathers its rows in one place.
     """
     keyed = rows.withColumn("url_key", merge_key(F.col("url"), F.col("id")))
-    rest = [c for c in rows.columns if c not in (*metrics, "published_at", "published_source", "source_type", "source", "pos")]
-    part = keyed.groupBy("url_key", "source_type", "source").agg(
+    rest = [c for c in rows.columns if c not in (*metrics, *scope, "published_at", "published_source", "source_type", "source", "pos")]
+    part = keyed.groupBy(*scope, "url_key", "source_type", "source").agg(
         F.count("*").alias("n"), F.min("pos").alias("pos"),
         F.min_by(F.struct(*rest), F.col("pos")).alias("survivor"),
         F.min(F.when(F.col("published_at").isNotNull(), F.struct("published_at", "pos", "published_source"))).alias("time"),
         *[F.max(m).alias(m) for m in metrics],
     )
-    whole = part.groupBy("url_key").agg(
+    whole = part.groupBy(*scope, "url_key").agg(
         F.min_by(F.struct("survivor", "source_type", "source"), F.col("pos")).alias("first"), F.min("pos").alias("pos"), F.min("time").alias("time"),
         F.array_sort(F.collect_list(F.struct("pos", "source_type", "source", "n"))).alias("parts"), *[F.max(m).alias(m) for m in metrics],
     )
@@ -38,7 +38,7 @@ def merge_by_url(rows: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFra
     crossed = F.aggregate(other, F.lit(0).cast("long"), lambda a, p: a + p["n"])
     label = F.array_join(F.concat(F.array("first.source"), F.transform(other, lambda p: p["source"])), " + ")
     return whole.select(
-        *[F.col(f"first.survivor.{c}").alias(c) for c in rest], F.col("first.source_type").alias("source_type"), label.alias("source"), "pos", "url_key",
+        *scope, *[F.col(f"first.survivor.{c}").alias(c) for c in rest], F.col("first.source_type").alias("source_type"), label.alias("source"), "pos", "url_key",
         F.col("time.published_at").alias("published_at"), F.col("time.published_source").alias("published_source"),
         *[(F.col(m) + crossed).alias(m) if m == "cross_source_count" else F.col(m) for m in metrics],
     )
@@ -70,11 +70,15 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.join(renamed, ["key", "block"]).where("class != class_o")
 
 
-def title_classes(rows: DataFrame, title: Column, id_column: str) -> DataFrame:
-    """Rows with equal titles as one class: class (least id), n, parts; written, as many branches read it. A row without a title is in none."""
-    made = rows.select(F.col(id_column).alias("_id"), clean_title(title).alias("clean")).where(F.length("clean") > 0)
-    distinct = made.groupBy("clean").agg(F.min("_id").alias("class"), F.count("*").alias("n"))
-    return settled(distinct.select("class", "n", title_parts(F.col("clean")).alias("parts")))
+def _scope(scope: str | None) -> Column:
+    return F.concat(F.col(scope).cast("string"), F.lit("\x1f")) if scope else F.lit("")
+
+
+def title_classes(rows: DataFrame, title: Column, id_column: str, scope: str | None = None) -> DataFrame:
+    """Rows with equal titles as one class: class (least id), n, parts, and mark, the value of `scope` (rows of different scopes never meet; an id lies in one scope only); written, as many branches read it. A row without a title is in none."""
+    made = rows.select(F.col(id_column).alias("_id"), clean_title(title).alias("clean"), _scope(scope).alias("mark")).where(F.length("clean") > 0)
+    distinct = made.groupBy("mark", "clean").agg(F.min("_id").alias("class"), F.count("*").alias("n"))
+    return settled(distinct.select("class", "n", title_parts(F.col("clean")).alias("parts"), "mark"))
 
 
 #: Titles of at least this length are looked for inside others by runs of so many characters, shorter ones by pairs.
@@ -89,7 +93,8 @@ def similar_titles(classes: DataFrame, threshold: float, inclusive: bool = False
     stand in the longer. Candidates that by their sizes, or by the place of the first value that they share, cannot reach
     the threshold go before anything but numbers is shuffled for them. No pair above the threshold is missed.
     """
-    flat = classes.select("class", "parts.words", "parts.pairs", "parts.canon", "parts.cjk", "parts.clean")
+    marked = lambda c: F.transform(f"parts.{c}", lambda x: F.concat("mark", x)).alias(c)
+    flat = classes.select("class", marked("words"), marked("pairs"), "parts.canon", "parts.cjk", "parts.clean", "mark")
     enough = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold - 1e-6
 
     def pairs(met: DataFrame) -> DataFrame:
@@ -103,14 +108,14 @@ def similar_titles(classes: DataFrame, threshold: float, inclusive: bool = False
 
     word_keys, pair_keys = _prefix_keys(flat, "words", threshold, "w:"), _prefix_keys(flat, "pairs", threshold, "p:")
     alike = overlapping(word_keys, word_keys).unionByName(overlapping(pair_keys.join(flat.where("cjk").select("class"), "class"), pair_keys))
-    named = flat.where(F.length("canon") > 0).select("class", F.col("canon").alias("key"))
+    named = flat.where(F.length("canon") > 0).select("class", F.concat("mark", "canon").alias("key"))
     # Equal canonical titles: all their words may differ, so each pair is a link of its own.
     canon_keys = named.join(named.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
     alike = alike.unionByName(pairs(_met(canon_keys, canon_keys)))
 
     def containing(text: str, size: int, whose: Column) -> DataFrame:
         held = flat if size > 1 else flat.where(enough(F.lit(1), F.length(text)))
-        each = held.select("class", F.explode(grams(F.col(text), size)).alias("key"), whose.alias("asks"), F.length(text).alias("size"))
+        each = held.select("class", F.explode(grams(F.col(text), size)).alias("key"), whose.alias("asks"), F.length(text).alias("size"), "mark").withColumn("key", F.concat("mark", "key")).drop("mark")
         df = each.groupBy("key").agg(F.count("*").alias("df"))
         rarest = each.where("asks").join(df, "key").groupBy("class", "size").agg(F.min_by(F.struct("key", "df"), F.struct("df", "key")).alias("r")).select("class", "size", "r.key", "r.df")
         asked = rarest.groupBy("key").agg(F.first("df").alias("df"))
@@ -127,14 +132,25 @@ def similar_titles(classes: DataFrame, threshold: float, inclusive: bool = False
     return judged.where(F.col("sim") >= threshold if inclusive else F.col("sim") > threshold).select("a", "b", "n_a", "n_b", "sim")
 
 
-def cross_references(rows: DataFrame, title: Column, id_column: str, threshold: float = 0.25) -> DataFrame:
-    """id and cross_refs: how many other rows have a title more similar than the threshold. Equal titles are counted, not paired."""
-    classes = title_classes(rows, title, id_column)
+def expanded(classes: DataFrame, pairs_of, rows: DataFrame, title: Column, id_column: str, scope: str) -> DataFrame:
+    """scope, a < b, sim of all pairs of rows whose title classes `pairs_of` pairs, or whose titles are equal. For scopes of bounded size: each pair of rows is a result."""
+    members = rows.select(F.col(scope), F.col(id_column).alias("id"), clean_title(title).alias("clean"), _scope(scope).alias("mark")).where(F.length("clean") > 0)
+    members = settled(members.join(classes.select("mark", F.col("parts.clean").alias("clean"), "class"), ["mark", "clean"]).select(scope, "id", "class"))
+    other = members.select(F.col("id").alias("o"), "class")
+    same = members.join(other, "class").where("id < o").select(scope, F.col("id").alias("a"), F.col("o").alias("b"), F.lit(1.0).alias("sim"))
+    pairs = pairs_of(classes).select(F.col("a").alias("class"), F.col("b").alias("other_class"), "sim")
+    apart = members.join(pairs, "class").join(other.withColumnRenamed("class", "other_class"), "other_class").select(scope, F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"), "sim")
+    return same.unionByName(apart)
+
+
+def cross_references(rows: DataFrame, title: Column, id_column: str, threshold: float = 0.25, scope: str | None = None) -> DataFrame:
+    """id and cross_refs: how many other rows (of its scope) have a title more similar than the threshold. Equal titles are counted, not paired."""
+    classes = title_classes(rows, title, id_column, scope)
     pairs = similar_titles(classes, threshold)
     both = pairs.select(F.col("a").alias("class"), F.col("n_b").alias("m")).unionByName(pairs.select(F.col("b").alias("class"), F.col("n_a").alias("m")))
     counts = classes.join(both.groupBy("class").agg(F.sum("m").alias("m")), "class", "left")
-    told = counts.select(F.col("parts.clean").alias("_clean"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("cross_refs"))
-    joined = rows.select(F.col(id_column), clean_title(title).alias("_clean")).join(told, "_clean", "left")
+    told = counts.select("mark", F.col("parts.clean").alias("_clean"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("cross_refs"))
+    joined = rows.select(F.col(id_column), clean_title(title).alias("_clean"), _scope(scope).alias("mark")).join(told, ["mark", "_clean"], "left")
     return joined.select(id_column, F.coalesce("cross_refs", F.lit(0)).cast("long").alias("cross_refs"))
 
 
@@ -142,24 +158,27 @@ BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 BAND_PAIRS = tuple(combinations(range(len(BANDS)), 2))
 
 
-def near_hashes(rows: DataFrame, hash_column: str, id_column: str, most: int = 4) -> DataFrame:
-    """Pairs a < b of distinct 64-bit hashes at `most` or fewer differing bits, each by its least id, with the distance.
+def near_hashes(rows: DataFrame, hash_column: str, id_column: str, most: int = 4, scope: str | None = None) -> DataFrame:
+    """Pairs a < b of distinct 64-bit hashes (of one scope) at `most` or fewer differing bits, each by its least id, with the distance.
 
     Of six bands two such hashes share two, so the equi join goes by pairs of bands, 20 bits and more; a pair is kept at
     the first two bands that it shares only, so none comes twice. Rows without a hash are in no pair.
     """
     if most > len(BANDS) - 2:
         raise ValueError("six bands find pairs of up to 4 differing bits")
-    distinct = rows.where(F.col(hash_column).isNotNull()).groupBy(F.col(hash_column).alias("h")).agg(F.min(id_column).alias("class"))
+    scoped = [scope] if scope else []
+    distinct = rows.where(F.col(hash_column).isNotNull()).groupBy(*scoped, F.col(hash_column).alias("h")).agg(F.min(id_column).alias("class"))
     of = lambda h, i: F.shiftrightunsigned(h, BANDS[i][0]).bitwiseAND(F.lit((1 << BANDS[i][1]) - 1).cast("long"))
     # The key names its two bands; the other bands up to the second one must differ.
     keys = [F.struct((F.lit(k << 22).cast("long") + F.shiftleft(of(F.col("h"), i), 11) + of(F.col("h"), j)).alias("key"), F.lit(sum(1 << x for x in range(j) if x != i)).alias("before")) for k, (i, j) in enumerate(BAND_PAIRS)]
-    keyed = settled(distinct.select("h", "class", F.inline(F.array(*keys))))
+    keyed = settled(distinct.select(*scoped, "h", "class", F.inline(F.array(*keys))))
+    if scope:
+        keyed = keyed.withColumn("key", F.struct("key", scope))
     keyed = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
     differing = F.col("h").bitwiseXOR(F.col("h_o"))
     shared = sum((F.when(of(differing, i) == 0, 1 << i).otherwise(0) for i in range(len(BANDS))), F.lit(0))
-    met = _met(keyed, keyed.drop("before")).where((F.col("class") < F.col("class_o")) & (F.bit_count(differing) <= most) & (shared.bitwiseAND(F.col("before")) == 0))
-    return met.select(F.col("class").alias("a"), F.col("class_o").alias("b"), F.bit_count(differing).cast("int").alias("distance"))
+    met = _met(keyed, keyed.drop("before", *scoped)).where((F.col("class") < F.col("class_o")) & (F.bit_count(differing) <= most) & (shared.bitwiseAND(F.col("before")) == 0))
+    return met.select(*scoped, F.col("class").alias("a"), F.col("class_o").alias("b"), F.bit_count(differing).cast("int").alias("distance"))
 
 
 def hash_links(rows: DataFrame, hash_column: str, id_column: str, most: int = 4) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.times import freshness
 from ..functions.urls import is_official
-from ..operators.dedup import METRICS, cross_references
+from ..operators.dedup import METRICS, cross_references, merge_by_url
 from ..operators.predicates import brand_claim, community_only, first_reason, publish_risk, relevant, retention_reason
 
 
@@ -18,14 +18,14 @@ def retain(rows: DataFrame, now: Column, high: tuple[str, ...], low: tuple[str,
     return rows.withColumn("drop_reason", retention_reason(F.col("published_at"), now, hours, F.col("source_type") == "rss", on_topic))
 
 
-def score(rows: DataFrame, now: Column, hot: tuple[str, ...] = scoring.HOT_WORDS, weights: dict[str, int] | None = None, brands: dict | None = None, places: dict | None = None, acts: tuple[str, ...] = (), with_risk: bool = False) -> DataFrame:
-    """rows with cross_refs, score and confidence. The one join is that of the title similarity."""
+def score(rows: DataFrame, now: Column, hot: tuple[str, ...] = scoring.HOT_WORDS, weights: dict[str, int] | None = None, brands: dict | None = None, places: dict | None = None, acts: tuple[str, ...] = (), with_risk: bool = False, scope: str | None = None) -> DataFrame:
+    """rows with cross_refs, score and confidence. The one join is that of the title similarity, within each scope."""
     m = {k: F.coalesce(k, F.lit(0)) for k in (*METRICS, "arxiv_signal")}
     official = is_official(F.col("url"))
     claim = brand_claim(F.col("title"), F.col("url"), brands or {}, places or {}, acts, F.coalesce("x_official", F.lit(False)), m["cross_source_count"])
     forum = community_only(F.col("source"), F.col("source_type"), m["cross_source_count"])
     risk = publish_risk(F.col("title"), F.col("source_type"), m["cross_source_count"], forum, official)
-    refs = rows.join(cross_references(rows, F.col("title"), "id"), "id", "left")
+    refs = rows.join(cross_references(rows, F.col("title"), "id", scope=scope), "id", "left")
     total = scoring.composite(
         freshness(F.col("published_at"), now), scoring.freshness_weight(F.col("source_type"), official, m), scoring.authority(F.col("source"), weights),
         F.coalesce("cross_refs", F.lit(0)), scoring.hotness(F.col("title"), hot), F.coalesce("summary", F.lit("")), scoring.community(m), m["arxiv_signal"], claim["confidence"] == "low",
@@ -46,6 +46,48 @@ def collect_candidates(rows: DataFrame, now: Column, high: tuple[str, ...], low:
     return scored.withColumn("bucket", bucket).orderBy(*candidate_order(F.col("bucket"))).limit(limit)
 
 
+#: Rows of a run that may be balanced; far more than a run's filter leaves.
+BALANCED = 200
+
+
+def collect_news(rows: DataFrame, now: Column, high: tuple[str, ...], low: tuple[str, ...], scope: str, names: tuple[str, ...], prints: Column, target: int = 20, hours: float = 36.0, most_posts: int = 3, **how) -> tuple[DataFrame, DataFrame]:
+    """The whole query of a run, for all runs (values of `scope`) at once: the news, and a row of counts per run.
+
+    Rows of one address merge; rows in the time window and on the topic get a score; topics are led by their best row;
+    kinds, publishers, entities and risks are balanced; of the first `target` those that tell of one event (by title or
+    `prints`, their fingerprints) become one; reserves fill the places. For targets above 10, and the best BALANCED rows
+    of a run. News: scope, place, id, title, url, source, score, from_reserve, merged_count.
+    """
+    from ..functions.anchors import entities
+    from ..functions.fingerprints import keeper_key
+    from ..functions.text import first_component
+    from ..operators import repeats, selection
+    from ..operators.lineage import settled
+    from ..operators.topics import topic_clusters
+
+    merged = merge_by_url(rows, scope=(scope,))
+    kept = settled(retain(merged, now, high, low, hours).where("drop_reason = ''").drop("drop_reason"))
+    scored = score(kept, now, with_risk=True, scope=scope, **how)
+    first = F.struct((-F.col("score")).alias("s"), (-F.coalesce(F.col("published_at").cast("double"), F.lit(-1e18))).alias("t"), F.col("pos").alias("p"), F.col("id").alias("i"))
+    led = settled(topic_clusters(scored, scope, first, names))
+    pools = selection.pool(led, [scope], [F.desc("score"), F.desc_nulls_last("published_at"), F.col("pos"), F.col("id")], BALANCED)
+    pools = pools.select(scope, "id", "rank", "title", "summary", "url", "source", "source_type", "score", "confidence", "cross_source_count", entities(F.col("title"), names).alias("entity"), first_component(F.col("source")).alias("bucket"), "risk")
+    caps = {"source_type": {"arxiv": 2, "huggingface": 2, "hn": max(target // 2, 4), "x": most_posts}, "risk": {"single_source_financial_claim": max(1, int(target * 0.2)), "community_model_comparison": max(1, int(target * 0.1))}}
+    balanced = settled(selection.balance(pools, [scope], target, {"bucket": max(2, int(target * 0.3)), "entity": 2}, caps, ("source_type", "rss", max(int(target * 0.4), 3)), ("bucket", "risk"), ("source_type", "x")).where("turn > 0"))
+    chosen = balanced.where(F.col("turn") <= target).withColumn("print", prints)
+    keeper = keeper_key(F.col("source_type"), F.col("cross_source_count"), F.col("confidence"), F.lit(False), F.col("score"))
+    deduped = settled(repeats.final_dedup(chosen.select(scope, "id", F.col("turn").alias("rank"), keeper.alias("keeper")), repeats.event_pairs(chosen.select(scope, "id", "title", "print"), scope), scope))
+    stayed = deduped.where("kept").join(chosen.select(scope, "id", "url"), [scope, "id"])
+    placed = repeats.refilled(stayed.select(scope, "id", "slot", "url"), balanced.where(F.col("turn") > target).select(scope, "id", "turn", "url"), scope, target)
+    news = placed.drop("url").join(balanced.select(scope, "id", "title", "url", "source", "score"), [scope, "id"]).join(deduped.where("kept").select(scope, "id", "merged_count"), [scope, "id"], "left")
+    news = settled(news.select(scope, "place", "id", "title", "url", "source", "score", "from_reserve", F.coalesce("merged_count", F.lit(0)).alias("merged_count")))
+    per = lambda frame, name, what=None: frame.groupBy(scope).agg((what if what is not None else F.count("*")).cast("long").alias(name))
+    counts = per(rows, "fetched_total").join(per(merged, "_merged"), scope, "left").join(per(kept, "filtered_total"), scope, "left").join(per(led, "topic_cluster_removed", F.sum("absorbed")), scope, "left")
+    counts = counts.join(per(deduped, "final_editorial_dedup_removed", F.count_if(F.col("reason") != "")), scope, "left").join(per(news, "returned_candidate_count"), scope, "left")
+    counts = counts.withColumn("source_merge_removed", F.col("fetched_total") - F.coalesce("_merged", F.lit(0))).drop("_merged").fillna(0)
+    return news, counts
+
+
 def source_contract(rows: DataFrame, now: Column, hours: float = 36.0) -> DataFrame:
     """rows with the first reason against their source: no address, no evidence, a time too far ahead or too old."""
     from ..functions.times import age_hours

@@ -301,8 +301,8 @@ def close_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bits in which the second picture of a vector differs from the first: (factor of the id, modulus).
 FLIPS = ((1, 61), (7, 59), (3, 53), (1, 5), (11, 47))
-PICTURES = f"""v AS (SELECT vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CASE WHEN i = 64 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << (i - 1) END ELSE CAST(0 AS HUGEINT) END)) AS BIGINT) AS h FROM embeddings),
-p AS (SELECT 2 * vec_id AS id, h FROM v UNION ALL SELECT 2 * vec_id + 1, {reduce(lambda h, f: f"xor({h}, CAST(1 AS BIGINT) << CAST(vec_id * {f[0]} % {f[1]} AS INTEGER))", FLIPS, "h")} FROM v)"""
+PICTURES = f"""v AS (SELECT vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CASE WHEN i = 64 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << (i - 1) END ELSE CAST(0 AS HUGEINT) END)) AS BIGINT) AS h, label FROM embeddings),
+p AS (SELECT 2 * vec_id AS id, h, label FROM v UNION ALL SELECT 2 * vec_id + 1, {reduce(lambda h, f: f"xor({h}, CAST(1 AS BIGINT) << CAST(vec_id * {f[0]} % {f[1]} AS INTEGER))", FLIPS, "h")}, label FROM v)"""
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,9 +310,9 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     bit = lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))
     signs = F.transform("embedding", lambda x, i: F.expr("0L") + bit(x, i))
     h = F.aggregate(F.reverse(signs), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
-    v = table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h"), "label")
     other = reduce(lambda x, f: x.bitwiseXOR(F.expr(f"shiftleft(1L, CAST(vec_id * {f[0]} % {f[1]} AS INT))")), FLIPS, F.col("h"))
-    return v.select(F.inline(F.array(F.struct((2 * F.col("vec_id")).alias("id"), "h"), F.struct((2 * F.col("vec_id") + 1).alias("id"), other.alias("h")))))
+    return v.select(F.inline(F.array(F.struct((2 * F.col("vec_id")).alias("id"), "h", "label"), F.struct((2 * F.col("vec_id") + 1).alias("id"), other.alias("h"), "label"))))
 
 
 @query(f"""
@@ -618,7 +618,7 @@ def edited_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register() -> None:
-    from . import checked, publishing, signals  # noqa: F401
+    from . import checked, editions, publishing, signals  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
