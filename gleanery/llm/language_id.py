@@ -28,7 +28,7 @@ from .common import gather, release, remove, schema_with, text_slices, with_colu
 
 UNKNOWN = "und"
 GRAMS = (5, 4, 3, 2, 1)
-#: Labelled rows per language that are fitted, and their characters, in expectation: a deterministic choice by hash of the id.
+#: Labelled rows per language that are fitted, and their characters, in expectation: a choice by hash of id, text and row.
 FIT_ROWS = 2000
 FIT_CHARS = 1_000_000
 #: Numbers that a worker's cache of word scores holds.
@@ -157,16 +157,16 @@ class Fitted:
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Fitted:
     """Learns from rows with text and lang that are not held out, about `fit_rows` of each language and `fit_chars` characters.
 
-    Which rows are taken depends on xxhash64 of doc_id alone, and on the rows and characters of each language over all
-    rows. The frequency of an item in a language is (count + 1/2) / (total + 1).
+    Which rows are taken depends on xxhash64 of id, text and row number, so that null and repeated ids neither flood the
+    sample nor empty it, and on the rows and characters of each language over all rows. The frequency of an item in a language is (count + 1/2) / (total + 1).
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.select("doc_id", "text", "lang", F.monotonically_increasing_id().alias("_row")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes, sizes_path = written(rows.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")), "languages")
     share = sizes.select("lang", F.least(F.lit(float(fit_rows)) / F.col("rows"), F.lit(float(fit_chars)) / F.greatest("chars", F.lit(1))).alias("share"))
     if sizes.count() <= MOST_BROADCAST:
         share = F.broadcast(share)
-    drawn = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    drawn = F.pmod(F.xxhash64("doc_id", "text", "_row"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     taken = rows.join(share, "lang").where(drawn).select("lang", "text")
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     counts, counts_path = written(taken.select("lang", words.alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n")), "words")
