@@ -184,8 +184,9 @@ def write_tokens(docs: DataFrame, to: str, path: str, end_id: int, shard_tokens:
         if held:
             yield flush()
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), "text")
-    rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, RECORD).write.option("compression", "zstd").parquet(to)
+    # Rows of one id may lie in any order, so that many of them are dealt by their number.
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), "text", F.monotonically_increasing_id().alias("row"))
+    rows.repartitionByRange("id", "row").sortWithinPartitions("id", "row").mapInArrow(run, RECORD).write.option("compression", "zstd").parquet(to)
 
 
 def read_tokens(spark: SparkSession, at: str, id_column: str = "doc_id") -> DataFrame:

@@ -957,3 +957,47 @@ def test_subwords_see_ends_and_whole_words():
     assert sizes.tolist() == [2 + 1 + 1, 4 + 3 + 2 + 1 + 1, 1 + 1]
     again, _ = subwords(["b", "ab"])
     assert again.tolist() == [*buckets[15:], *buckets[:4]]
+
+
+# Bounds, odd ids and long urls
+
+
+def test_language_sample_of_one_hot_or_null_id(spark):
+    """Neither floods nor empties the fitted rows."""
+    from gleanery.llm.language_id import fit
+
+    for hot in (None, 8):
+        rows = spark.range(50_000).select(F.lit(hot).cast("long").alias("doc_id"), F.concat(F.lit("wort"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("de").alias("lang"))
+        fitted = fit(rows, fit_rows=40)
+        words = next(n for lang, size, n in fitted.totals if size == 0)
+        assert 10 <= words <= 120
+
+
+def test_url_tree_of_long_urls(spark):
+    """Urls of 500 segments, alike up to the last ones, take no more steps than short ones; the tree is that of brute force."""
+    import time
+
+    from gleanery.llm.url_filter import templates
+
+    tails = [f"x{i}/end" for i in range(30)] + ["a", "a/b", "a/", "", "b/c/d"]
+    rows = [("h", "/".join(["s"] * 500) + "/" + t, i % 2 if i % 3 else None) for i, t in enumerate(tails)]
+    started = time.time()
+    found = {(r["host"], r["shape"]): (r["labels"], r["share"]) for r in templates(spark.createDataFrame(rows, "host string, shape string, blocked int")).collect()}
+    assert time.time() - started < 40
+    assert found == {k: (n, pytest.approx(s)) for k, (n, s) in brute_tree(rows).items()}
+
+
+def test_token_files_spread_rows_of_one_id(spark, tmp_path):
+    from gleanery.llm.wavelet import read_tokens, write_tokens
+    from gleanery.llm.queries import WORD_VOCABULARY
+
+    rows = spark.range(100_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small tables would be put together
+    try:
+        write_tokens(rows, f"{tmp_path}/tokens", public_tokenizers.path(WORD_VOCABULARY), 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = spark.read.parquet(f"{tmp_path}/tokens").select("part", F.size("doc_ids").alias("n")).groupBy("part").agg(F.sum("n").alias("n")).collect()
+    assert len(sizes) > 1 and max(r["n"] for r in sizes) < 60_000
+    assert read_tokens(spark, f"{tmp_path}/tokens").count() == 100_000

@@ -59,3 +59,17 @@ def test_null_and_repeated_ids_keep_one_row_of_each_group(spark):
     assert sorted(groups[texts.index(x)] for x in left) == sorted(set(groups.values()))
     packed = stages["packing"](spark, near, SMALL).collect()
     assert sum(r["length"] for r in packed) == sum(len(reference_ids(x)) + 1 for x in left)
+
+
+def test_stages_leave_columns_of_the_user_alone(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    own = ["score", "lang_pred", "_row", "_id", "_text", "row", "keep_id", "component_id", "kept"]
+    clashing = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in own])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, SMALL)
+        assert out.columns == clashing.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in own)
+    assert corpus_pipeline.STAGES[-1][1](spark, clashing, SMALL).count() > 0
