@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The
 dedup stages number their rows and decide by that number: of each group exactly one row stays, also where ids are null
-or repeated. A null id counts as less than any other; of rows with one id any may be the one that stays.
+or repeated. A null id counts as less than any other; of rows with one id any may be the one that stays. Columns of the
+user's own, whatever their names, come out of each stage as they went in.
 """
 
 from __future__ import annotations
@@ -22,18 +23,22 @@ LEAST_LANGUAGE_SCORE = 0.35
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a learned language; documents without a letter, or of none of the languages, go."""
     model = language_id.fit(docs)
-    judged = language_id.predict(docs.withColumn("_text", F.col("text")), model)
+    judged = language_id.predict(docs.select("text", F.struct("*").alias("row")), model)
     sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return judged.where(sure).select(*[F.col("_text").alias("text") if c == "text" else c for c in docs.columns])
+    return judged.where(sure).select("row.*")
 
 
 def _one_of_each(docs: DataFrame, name: str, groups_of, group: str, best) -> DataFrame:
     """Of the rows that `groups_of` puts in one group, the one that is `best` by (id, row number)."""
-    rows, _ = written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    rows, _ = written(docs.withColumn(row, F.monotonically_increasing_id()), name)
     release(docs.sparkSession)
-    told = groups_of(rows, "_row").select("_row", group).join(rows.select("_row", number_or_least(F.col("doc_id")).alias("_id")), "_row")
-    kept = told.groupBy(group).agg(best(F.struct("_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    ids = rows.select(F.col(row).alias("_row"), number_or_least(F.col("doc_id")).alias("_id"))
+    told = groups_of(rows.select(F.col(row).alias("_row"), "text"), "_row").select("_row", group).join(ids, "_row")
+    kept = told.groupBy(group).agg(best(F.struct("_id", "_row")).alias("best")).select(F.col("best._row").alias(row))
+    return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
