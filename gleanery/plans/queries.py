@@ -618,7 +618,7 @@ def edited_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register() -> None:
-    from . import checked, editions, publishing, signals  # noqa: F401
+    from . import checked, editions, landed, publishing, signals  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -100,6 +100,20 @@ def close_in_time(left: DataFrame, right: DataFrame, keys: list[str], ts: str, h
     return a.join(b, [*keys, "_bucket"]).where(F.abs(at - other) <= span).drop("_bucket")
 
 
+def close_stream(left: DataFrame, right: DataFrame, keys: list[str], ts: str, hours: float, late: str = "6 hours") -> DataFrame:
+    """The same pairs of two streams: an interval join. Either side waits for rows of the other that are up to so many hours apart, and its state goes when the watermark, `late` behind the latest row seen, has passed them.
+
+    Rows later than the watermark may be dropped. Columns of right get `_other`, keys stand once. Null keys and times meet nothing.
+    """
+    a = left.withWatermark(ts, late).alias("a")
+    b = right.withColumnsRenamed({c: f"{c}_other" for c in right.columns}).withWatermark(f"{ts}_other", late).alias("b")
+    span = F.make_dt_interval(secs=F.lit(hours * 3600.0))
+    met = F.col(f"{ts}_other").between(F.col(ts) - span, F.col(ts) + span)
+    for k in keys:
+        met = met & (F.col(k) == F.col(f"{k}_other"))
+    return a.join(b, met).drop(*[f"{k}_other" for k in keys])
+
+
 def record_feedback(spark: SparkSession, events: DataFrame, decisions: DataFrame, to: str, labels: tuple[str, ...]) -> DataFrame:
     """Appends the valid events to the log and returns the others with a reason: a label outside the domain, a note that
     is too long, or a candidate that the run decided nothing about."""
