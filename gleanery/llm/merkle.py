@@ -25,7 +25,7 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_dir
+from .common import ascii_lower, remove, shared_dir, written
 
 FAN = 16
 #: The tree of the trees' roots; the trees of sources are numbered from 0 on.
@@ -111,25 +111,32 @@ def finished(vertex) -> bool:
     return len(children) == min(FAN, n - place * FAN)
 
 
+def narrowed(parts: int, step: int) -> int:
+    """Partitions of a superstep: each has a FANth of the vertices of the one before."""
+    return max(1, parts // FAN ** (step - 1))
+
+
 def build(leaves: RDD, trees: int, parts: int) -> tuple[list[RDD], tuple]:
     """The finished vertices of each superstep, and the root: (vertex, digest); leaves are (tree, place, n, doc_id, leaf, other)."""
     messages = leaves.map(lambda r: message(r[0], 0, r[1], r[2], trees, (r[4], (r[3], r[5]), 0, 0)))
-    waiting, steps = None, []
+    steps = []
     while True:
         step = len(steps) + 1
-        pool = kept((messages if waiting is None else waiting.union(messages)).reduceByKey(merge, parts))
-        done, waiting = pool.filter(finished), pool.filter(lambda v: not finished(v))
-        hashed = done.mapValues(lambda v: (v[0], sorted(v[1]))).map(lambda v: (*v, joined([c[1] for c in v[1][1]])))
-        steps.append(hashed.map(lambda v: v[:2]))
+        pool = kept(messages.reduceByKey(merge, parts).coalesce(narrowed(parts, step)))
+        steps.append(pool.filter(finished).mapValues(lambda v: (v[0], sorted(v[1]))))
 
         def sent(v, step=step):
-            (tree, level, place), (n, _), found = v
-            return message(tree, level, place, -(-n // FAN), trees, (found, None, step, level))
-
-        root = hashed.filter(lambda v: sent(v) is None).map(lambda v: (v[0], v[2])).collect()
+            """A vertex that waits, as it is; or the message of a finished one, and None with the root."""
+            if not finished(v):
+                return v
+            (tree, level, place), (n, children) = v
+            found = joined([c[1] for c in sorted(children)])
+            return message(tree, level, place, -(-n // FAN), trees, (found, None, step, level)) or (None, (v[0], found))
+
+        messages = pool.map(sent)
+        root = messages.filter(lambda m: m[0] is None).values().collect()
         if root:
             return steps, root[0]
-        messages = hashed.map(sent)
 
 
 def fold(leaf: str, path: list[tuple[int, list[str]]]) -> str:
@@ -163,7 +170,7 @@ def prove(steps: list[RDD], top: tuple, parts: int) -> RDD:
     out = []
     for number in range(len(steps), 0, -1):
         incoming = context.union([s.filter(lambda m, number=number: m[0] == number).values() for s in sent])
-        made = steps[number - 1].join(incoming, parts).flatMap(told)
+        made = steps[number - 1].join(incoming, parts).coalesce(narrowed(parts, number)).flatMap(told)
         if number > 1:
             made = kept(made)
             sent.append(made)
@@ -178,10 +185,12 @@ def manifest(docs: DataFrame) -> DataFrame:
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
     tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0) & F.col("text").rlike("[A-Z]")
     rows = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), digest(*fields, F.col("text")).alias("leaf"), F.when(tampered, digest(*fields, ascii_lower(F.col("text")))).alias("other"))
+    rows, path = written(rows, "leaves")
     # Equal rows may change places, so any number of them can be dealt by their row.
     order = [F.asc_nulls_first("source"), F.asc_nulls_first("doc_id"), "leaf", "_row"]
     dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     leaves, trees = numbered(kept(dealt.drop("_row").rdd.map(tuple)))
+    remove(spark, path)
     if not trees:
         return spark.createDataFrame([], SCHEMA)
     if trees == 1 and len(alone := leaves.take(2)) == 1:
