@@ -29,12 +29,13 @@ def registry_join(rows: DataFrame, registry: DataFrame, key: str, overrides: lis
     return joined.select(*[F.coalesce(names[c], F.col(c)).alias(c) if c in names else F.col(c) for c in rows.columns])
 
 
-def domain_join(rows: DataFrame, registry: DataFrame, url: str, id_column: str) -> DataFrame:
-    """The registry row of the longest registered domain that is a url's host or a parent of it: an equi join on host suffixes."""
-    suffixes = rows.select(id_column, F.posexplode(host_suffixes(F.col(url))).alias("_depth", "domain"))
-    found = suffixes.join(registry, "domain")
-    nearest = keep_first(found, [id_column], [F.col("_depth")]).drop("_depth")
-    return rows.join(nearest, id_column, "left")
+def domain_join(rows: DataFrame, registry: DataFrame, url: str) -> DataFrame:
+    """rows with the registry row of the longest registered domain that is its url's host or a parent of it: an equi join on the suffixes of each distinct host, whatever ids the rows have."""
+    host = F.get(host_suffixes(F.col(url)), F.lit(0))
+    hosts = rows.select(host.alias("_host"), host_suffixes(F.col(url)).alias("_all")).where("_host IS NOT NULL").dropDuplicates(["_host"])
+    found = hosts.select("_host", F.posexplode("_all").alias("_depth", "domain")).join(registry, "domain")
+    nearest = keep_first(found, ["_host"], [F.col("_depth")]).drop("_depth")
+    return rows.withColumn("_host", host).join(nearest, "_host", "left").drop("_host")
 
 
 def latest(events: DataFrame, keys: list[str], ts: str, position: str, null_as_oldest: bool = False) -> DataFrame:

@@ -1,0 +1,94 @@
+"""Queries of what became of candidates: choices, audits, and a second selection beside the first."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import summary_sentences
+from ..operators import choices, clustering, editing, selection
+from .publishing import _pick
+from .queries import draft_pools, edition_pools, pool_pairs, query
+from .tables import CANDIDATES, candidates, now
+
+#: Rows of a run of two selections, and the length of each.
+RUN, TARGET = 100, 10
+RISKS = ("low", "medium", "high", "low", "medium")
+
+
+def choice_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates of runs and their analyses, which every seventh lacks."""
+    c = candidates(spark, sf_dir).where("id IS NOT NULL")
+    n = F.col("id")
+    rows = c.select(
+        F.floor(n / RUN).alias("run"), "id", "pos", "title", "source", "source_type", (n % 4 == 0).alias("primary"), (n % 9 == 0).alias("radar"), F.when(n % 3 == 0, F.concat(F.lit("Topic "), (n % 7).cast("string"))).alias("topic_key"),
+        F.when(n % 5 == 0, F.concat(F.lit("event:"), (n % 25).cast("string"))).alias("event_key"), (F.col("hn_score") / 5.0).alias("editorial_score"), F.col("github_stars").cast("double").alias("score"),
+        F.when(n % 6 == 5, "partial").otherwise("ready").alias("content_quality"), F.when(n % 12 == 5, "cut off").otherwise("").alias("quality_reason"),
+    )
+    analyses = c.where(n % 7 != 6).select(F.floor(n / RUN).alias("run"), "id", _pick(RISKS, n % len(RISKS)).alias("risk_level"), F.concat(F.lit("because of "), n.cast("string")).alias("importance_reason"))
+    return rows, analyses
+
+
+@query()
+def editorial_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, analyses = choice_inputs(spark, sf_dir)
+    return choices.editorial_choice(rows, analyses, "run", TARGET, per_topic=3)
+
+
+@query()
+def candidate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of the edition loop with the one state in which it ended."""
+    all_rows = candidates(spark, sf_dir).where("id IS NOT NULL").select(F.coalesce(F.datediff(now(), "published_at"), F.lit(-1)).alias("run"), "id")
+    pools = edition_pools(spark, sf_dir).where("id IS NOT NULL")
+    pairs = pool_pairs(pools)
+    clustered = clustering.events(pools, pairs, ["run"])
+    events = clustered.where("state = 'event'").select("run", "id")
+    drafts = draft_pools(spark, sf_dir).join(events, ["run", "id"], "left_semi")
+    kept = pairs.join(events.select("run", F.col("id").alias("a")), ["run", "a"], "left_semi").join(events.select("run", F.col("id").alias("b")), ["run", "b"], "left_semi")
+    edited = editing.edit(drafts, kept, ["run"])
+    return choices.audit("run", all_rows, pools.select("run", "id"), clustered, edited)
+
+
+@query("""
+WITH d AS (SELECT doc_id AS id, list_filter(list_transform(string_split_regex(replace(coalesce(text, ''), '.', '！'), '[。！？!?]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+e AS (SELECT id, s, list_filter(s, lambda x, i: i % 2 = 1) AS f FROM d),
+r AS (SELECT id, list_filter(s, lambda x, i: len(list_filter(s[1:i], lambda y: y = x)) > len(list_filter(f, lambda y: y = x))) AS r FROM e)
+SELECT id, len(r) AS removed, array_to_string(r, '|') AS sentences FROM r""")
+def removed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that a shorter text lacks: here every text against itself without each second sentence."""
+    d = candidates(spark, sf_dir).select("id", summary_sentences(F.translate("summary", ".", "！")).alias("s"))
+    told = choices.removed_sentences(F.col("s"), F.filter("s", lambda _, i: i % 2 == 0))
+    return d.select("id", told.alias("r")).select("id", F.size("r").cast("long").alias("removed"), F.array_join("r", "|").alias("sentences"))
+
+
+def two_selections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = candidates(spark, sf_dir).where("id IS NOT NULL").withColumn("run", F.floor(F.col("id") / RUN))
+    first = selection.pool(c, ["run"], [F.desc("hn_score"), F.col("id")], TARGET).select("run", "id", "rank")
+    second = selection.pool(c, ["run"], [F.desc("github_stars"), F.col("id")], TARGET + 2).select("run", "id", "rank", (F.col("id") % 11 != 0).alias("ready"))
+    failures = c.where(F.col("run") % 5 == 4).select("run", F.lit("ValueError").alias("error"))
+    return first, second, failures
+
+
+_TWO = f"""{CANDIDATES}, r AS (SELECT id // {RUN} AS run, id, row_number() OVER (PARTITION BY id // {RUN} ORDER BY hn_score DESC, id) AS f, row_number() OVER (PARTITION BY id // {RUN} ORDER BY github_stars DESC, id) AS s FROM c WHERE id IS NOT NULL),
+a AS (SELECT run, id, CAST(f AS INTEGER) AS rank FROM r WHERE f <= {TARGET}), b AS (SELECT run, id, CAST(row_number() OVER (PARTITION BY run ORDER BY s) AS INTEGER) AS rank FROM r WHERE s <= {TARGET + 2} AND id % 11 <> 0),
+m AS (SELECT coalesce(a.run, b.run) AS run, coalesce(a.id, b.id) AS id, a.rank AS rank_first, b.rank AS rank_second, a.rank - b.rank AS displacement, CASE WHEN b.id IS NULL THEN 'dropped' WHEN a.id IS NULL THEN 'added' ELSE 'both' END AS side FROM a FULL JOIN b ON a.run = b.run AND a.id = b.id)"""
+
+
+@query(f"WITH {_TWO} SELECT * FROM m")
+def rank_displacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second, _ = two_selections(spark, sf_dir)
+    ready = selection.pool(second.where("ready").withColumnRenamed("rank", "_rank"), ["run"], [F.col("_rank")], TARGET + 2)
+    return choices.displacements(first, ready, "run")
+
+
+@query(f"""
+WITH {_TWO}, t AS (SELECT run, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank_first) FILTER (rank_first IS NOT NULL) AS selected, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank_second) FILTER (rank_second IS NOT NULL) AS recommended,
+    string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank_first) FILTER (side = 'dropped') AS dropped, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank_second) FILTER (side = 'added') AS added,
+    count(*) FILTER (rank_first <= {TARGET} AND rank_second <= {TARGET}) / {TARGET}.0 AS overlap, avg(abs(displacement)) AS footrule, count(rank_second) AS ready FROM m GROUP BY run),
+s AS (SELECT *, CASE WHEN run % 5 = 4 THEN 'agent_error:ValueError' WHEN ready < {TARGET} THEN 'insufficient_ready_write_candidates' ELSE '' END AS fallback_reason FROM t)
+SELECT run, CASE WHEN fallback_reason = '' THEN 'diagnostic_only' ELSE 'fallback' END AS status, fallback_reason, selected, CASE WHEN fallback_reason = '' THEN coalesce(recommended, '') ELSE '' END AS recommended, CASE WHEN fallback_reason = '' THEN coalesce(dropped, '') ELSE '' END AS dropped,
+    CASE WHEN fallback_reason = '' THEN coalesce(added, '') ELSE '' END AS added, CASE WHEN fallback_reason = '' THEN CAST(round(overlap, 6) AS DOUBLE) END AS overlap, CASE WHEN fallback_reason = '' THEN round(footrule, 6) END AS footrule FROM s""")
+def shadow_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = choices.shadow_comparison(*two_selections(spark, sf_dir)[:2], "run", TARGET, two_selections(spark, sf_dir)[2])
+    joined = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("selected", "recommended", "dropped", "added")]
+    return told.select("run", "status", "fallback_reason", *joined, F.round("overlap", 6).alias("overlap"), F.round("footrule", 6).alias("footrule"))

@@ -273,7 +273,7 @@ FROM (SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, ':
 def domain_publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = spark.createDataFrame([("example.com", "com"), ("example.net", "net")], "domain string, publisher string")
     rows = table(spark, sf_dir, "pages").select("page_id", "url")
-    return joins.domain_join(rows, registry, "url", "page_id").select("page_id", urls.bare_host(F.col("url")).alias("host"), "publisher")
+    return joins.domain_join(rows, registry, "url").select("page_id", urls.bare_host(F.col("url")).alias("host"), "publisher")
 
 
 @query("""
@@ -618,7 +618,7 @@ def edited_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register() -> None:
-    from . import checked, editions, landed, publishing, signals  # noqa: F401
+    from . import checked, choices, editions, landed, publishing, signals  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
