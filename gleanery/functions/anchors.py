@@ -87,7 +87,8 @@ def actions(text: Column, kinds: dict[str, tuple[str, ...]] | None = None) -> Co
 
 def asserted_actions(text: Column, kinds: dict[str, tuple[str, ...]] | None = None, negation: str = NEGATION) -> Column:
     """Kinds of event of which a whole mark stands in the text, sorted; none if it negates anything."""
-    found = lambda x: [F.when(x.rlike("|".join(map(bounded_shape, marks))), F.lit(kind)) for kind, marks in sorted((kinds or EVENT_ACTIONS).items())]
+    # Most marks do not even stand as substrings, which is found out faster than that they stand as words.
+    found = lambda x: [F.when(contains_any(x, marks) & x.rlike("|".join(map(bounded_shape, marks))), F.lit(kind)) for kind, marks in sorted((kinds or EVENT_ACTIONS).items())]
     return once(folded(unescape(text)), lambda x: F.when(x.rlike(negation), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*found(x)))))
 
 
@@ -113,7 +114,10 @@ def models(text: Column, families: tuple[str, ...] = FAMILIES, variants: tuple[s
     part = lambda x, n: F.regexp_extract_all(x, F.lit(shape), F.lit(n))
     dashed = lambda v, of: F.regexp_replace(F.lower(v), of, "-")
     named = lambda base, more: F.when(F.coalesce(more, F.lit("")) != "", F.concat(dashed(base, r"[\s-]+"), F.lit("-"), dashed(more, r"\s+"))).otherwise(dashed(base, r"[\s-]+"))
-    return once(plain, lambda x: F.array_sort(F.array_distinct(F.zip_with(part(x, 1), part(x, 2), named))))
+    # A version needs a digit and a family, which most texts are soon found to lack.
+    found = lambda x: F.array_sort(F.array_distinct(F.zip_with(part(x, 1), part(x, 2), named)))
+    none = F.array().cast("array<string>")
+    return once(plain, lambda x: F.when(x.rlike(r"(?U)\d") & once(F.lower(x), lambda low: contains_any(low, (*families, "ſ"))), found(x)).otherwise(none))
 
 
 def people(text: Column, names: tuple[str, ...]) -> Column:
@@ -133,7 +137,8 @@ def _marked(kind: str):
 def qualifiers(text: Column) -> Column:
     """kind:value of years, shares, amounts with their scale, and durations, sorted."""
     found = lambda x: [F.transform(F.regexp_extract_all(x, F.lit(shape), F.lit(1)), _marked(kind)) for kind, shape in QUALIFIERS.items()]
-    return once(folded(text), lambda x: F.array_sort(F.array_distinct(F.concat(*found(x)))))
+    none = F.array().cast("array<string>")
+    return once(folded(text), lambda x: F.when(x.rlike("[0-9]"), F.array_sort(F.array_distinct(F.concat(*found(x))))).otherwise(none))
 
 
 def tokens(text: Column, stop: tuple[str, ...] = KEY_STOPWORDS) -> Column:

@@ -22,6 +22,7 @@ TITLE_HEADS = ("chair", "chairman", "chairwoman", "counsel", "director", "engine
 TITLE_LETTERS = ("ceo", "cfo", "cio", "cmo", "coo", "cpo", "cto", "svp", "vp")
 DESIGNATORS = ("company", "corporation", "foundation", "group", "institute", "lab", "labs", "research", "systems", "team", "technologies", "technology", "university")
 
+#: The patterns of names, titles, pronouns and roles.
 NAME = r"\b([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+)+)\b"
 TITLE = rf"(?:{'|'.join(TITLE_LETTERS)}|(?:[A-Z][a-z]+[ \t]+){{0,4}}(?:{'|'.join(TITLE_HEADS)}))"
 PRONOUNS = r"\b(?:he|her|hers|him|his|she)\b"
@@ -43,7 +44,7 @@ def people(text: Column) -> Column:
 
     def named(line):
         parts = F.transform(F.split(line, r"\."), lambda part: F.struct(part.alias("text"), F.lower(part).alias("low")))
-        return once(parts, lambda within: in_line(line, within))
+        return F.when(line.rlike(NAME), once(parts, lambda within: in_line(line, within))).otherwise(F.array().cast("array<string>"))
 
     def in_line(line, within):
         def read(shown):

@@ -6,6 +6,8 @@ sentences never add up.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,8 +141,22 @@ def frame_supported(shown: Column, source: Column, publisher: Column) -> Column:
 def claim_supported(claim: Column, quote: Column, publisher: Column | None = None, kinds: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Whether one sentence of the quote says what the claim says; a claim without an event is never supported."""
     own = F.array().cast("array<string>") if publisher is None else publisher
-    frames = F.transform(sentences(quote), lambda s: claim_frame(s, kinds))
-    return once(claim_frame(claim, kinds), lambda c: F.coalesce(F.exists(frames, lambda q: F.coalesce(frame_supported(c, q, own), F.lit(False))), F.lit(False)))
+    of_kind = F.from_json(F.lit(json.dumps({k: list(many) for k, many in (kinds or EVENT_ACTIONS).items()}, ensure_ascii=False)), "map<string,array<string>>")
+
+    def plausible(c):
+        """Sentences that hold a mark of the claim's own action and all its literal details: only their frames are made."""
+        words = F.transform(F.filter(c["details"], lambda d: d.startswith("literal:")), lambda d: F.substring(d, F.lit(len("literal:") + 1), F.length(d)))
+        wanted = F.struct(words.alias("words"), F.element_at(of_kind, c["action"]).alias("marks"))
+        # Plain letters on single blanks need no cleaning.
+        bare = lambda s: F.when(s.rlike("[^ -%'-~À-Þà-ÿ]|  "), folded(_clean(s))).otherwise(F.lower(s))
+        holds = lambda w: lambda s: once(bare(s), lambda x: F.forall(w["words"], lambda d: x.contains(d)) & F.exists(w["marks"], lambda m: x.contains(m)))
+        return once(wanted, lambda w: F.filter(sentences(quote), holds(w)))
+
+    def supported(c):
+        fits = lambda s: once(claim_frame(s, kinds), lambda q: F.coalesce(frame_supported(c, q, own), F.lit(False)))
+        return F.when(c.isNotNull(), F.exists(plausible(c), fits)).otherwise(F.lit(False))
+
+    return once(claim_frame(claim, kinds), supported)
 
 
 def activity_only(evidence: Column) -> Column:
