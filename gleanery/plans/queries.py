@@ -95,23 +95,28 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.cross_references(candidates(spark, sf_dir), F.col("title"), "id")
 
 
-@query(f"""
-WITH {CANDIDATES}, d AS (SELECT *, {PARTS} FROM c), m AS (
+#: The views that give the candidates `c` their composite score, the last of them `z`.
+SCORED = f"""d AS (SELECT *, {PARTS} FROM c), m AS (
     SELECT a.*, (SELECT count(*) FROM d b WHERE b.id <> a.id AND a.clean <> '' AND b.clean <> '' AND {SIMILARITY} > 0.25) AS refs, {any_of('lower(title)', ACTS)} AS acts,
         CASE WHEN {any_of('lower(title)', BRANDS['acme'])} THEN 'acme' WHEN {any_of('lower(title)', BRANDS['bolt'])} THEN 'bolt' ELSE '' END AS brand FROM d a),
 s AS (SELECT *, {FRESH} * CASE WHEN (source_type = 'hn' AND hn_score < 10 AND hn_comments < 2) OR (source_type = 'huggingface' AND hf_likes < 20 AND hf_downloads < 1000) THEN 0.2 ELSE 0.5 END
     + CASE WHEN contains(lower(source), 'src1') THEN 9 WHEN contains(lower(source), 'src2') THEN 7 WHEN contains(lower(source), 'src') THEN 6 ELSE 5 END + refs * 3
     + 2 * least(5, {' + '.join(f"CAST(contains(lower(title), '{h}') AS INTEGER)" for h in HOT)}) + CASE WHEN length(summary) > 50 THEN 2 ELSE 0 END
     + CASE WHEN hn_score > 0 OR hn_comments > 0 THEN ln(1 + hn_score) * 1.5 + ln(1 + hn_comments) * 1.2 ELSE 0 END + CASE WHEN github_stars > 0 THEN ln(1 + github_stars) ELSE 0 END
-    + CASE WHEN hf_likes > 0 THEN ln(1 + hf_likes) * 2.0 ELSE 0 END + CASE WHEN hf_downloads > 100 THEN ln(1 + hf_downloads / 100.0) * 0.5 ELSE 0 END + arxiv_signal * 0.5 AS plain FROM m)
-SELECT id, refs AS cross_refs, CASE WHEN low THEN 'low' ELSE 'high' END AS confidence, round(CASE WHEN low THEN plain * 0.6 ELSE plain END, 6) AS score FROM (
-    SELECT *, acts AND brand <> '' AND NOT ((brand = 'acme' AND {any_of('lower(url)', PLACES['acme'])}) OR (brand = 'bolt' AND {any_of('lower(url)', PLACES['bolt'])})) AS low FROM s)""")
+    + CASE WHEN hf_likes > 0 THEN ln(1 + hf_likes) * 2.0 ELSE 0 END + CASE WHEN hf_downloads > 100 THEN ln(1 + hf_downloads / 100.0) * 0.5 ELSE 0 END + arxiv_signal * 0.5 AS plain FROM m),
+z AS (SELECT *, CASE WHEN low THEN 'low' ELSE 'high' END AS confidence, CASE WHEN low THEN plain * 0.6 ELSE plain END AS score FROM (
+    SELECT *, acts AND brand <> '' AND NOT ((brand = 'acme' AND {any_of('lower(url)', PLACES['acme'])}) OR (brand = 'bolt' AND {any_of('lower(url)', PLACES['bolt'])})) AS low FROM s))"""
+
+
+@query(f"WITH {CANDIDATES}, {SCORED} SELECT id, refs AS cross_refs, confidence, round(score, 6) AS score FROM z")
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = score(candidates(spark, sf_dir).withColumn("x_official", F.lit(False)), now(), HOT, WEIGHTS, BRANDS, PLACES, ACTS)
     return rows.select("id", "cross_refs", "confidence", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""
+WITH {CANDIDATES.replace('c AS', 'c0 AS', 1)}, c AS (SELECT * FROM c0 WHERE ({RETENTION}) = ''), {SCORED}
+SELECT id, title, bucket, round(exact, 6) AS score FROM (SELECT *, score AS exact, CAST(CASE WHEN url = '' OR title = '' THEN 2 WHEN length(summary) >= 60 THEN 0 ELSE 1 END AS INTEGER) AS bucket FROM z) ORDER BY bucket, exact DESC, published_at DESC NULLS LAST, url DESC LIMIT 45""")
 def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The production query: retention, composite score, three buckets, the best 45."""
     rows = candidates(spark, sf_dir).withColumn("x_official", F.lit(False))
