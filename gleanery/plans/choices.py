@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import evidence
 from ..functions.text import summary_sentences
 from ..operators import choices, clustering, editing, selection
 from .publishing import _pick
@@ -61,6 +62,36 @@ def removed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", told.alias("r")).select("id", F.size("r").cast("long").alias("removed"), F.array_join("r", "|").alias("sentences"))
 
 
+def _cleaned(x: str, most: int) -> str:
+    """`evidence.readable` in SQL, for texts without markup."""
+    out = f"coalesce({x}, '')"
+    for shape, kept in evidence.MARKDOWN:
+        out = "regexp_replace({0}, '{1}', '{2}', 'g')".format(out, shape.replace("(?dm)", "(?m)").replace("'", "''"), kept.replace("$1", chr(92) + "1"))
+    return f"trim(left(trim({out}), {most}))"
+
+
+_PLAIN = "CASE WHEN contains(coalesce(text, ''), '<') OR contains(coalesce(text, ''), '&') THEN '' ELSE coalesce(text, '') END"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id AS id, doc_id % 6 AS k, {_PLAIN} AS x FROM documents), p AS (SELECT *, {_cleaned('x', evidence.PURPOSE)} AS purpose, CASE WHEN id % 4 = 0 THEN 'See CHANGELOG.md' ELSE {_cleaned('x', evidence.CHANGES)} END AS notes, {_cleaned('x', evidence.SUMMARY)} AS own, {_cleaned('left(x, 30)', evidence.SUMMARY)} AS little FROM d)
+SELECT id, CASE WHEN k IN (0, 1) THEN CASE WHEN purpose = '' OR length(CASE WHEN id % 4 = 0 THEN '' ELSE notes END) < {evidence.LEAST} THEN 'missing' ELSE 'ready' END WHEN k = 2 THEN 'metadata_only'
+        WHEN k IN (3, 4) THEN CASE WHEN length(little) >= {evidence.LEAST} OR (k = 4 AND length(own) >= {evidence.LEAST}) THEN 'ready' WHEN little = '' THEN 'missing' ELSE 'too_short' END ELSE 'ready' END AS quality,
+    CASE WHEN k IN (0, 1) THEN CASE WHEN purpose = '' THEN '' WHEN id % 4 = 0 OR length(notes) < {evidence.LEAST} THEN '{evidence.PURPOSE_LABEL}' || purpose ELSE '{evidence.PURPOSE_LABEL}' || purpose || chr(10) || CASE WHEN k = 0 THEN '{evidence.TAGGED.format('v' + "1")}' ELSE '{evidence.UNTAGGED}' END || notes END WHEN k = 2 THEN ''
+        WHEN k IN (3, 4) THEN CASE WHEN length(little) >= {evidence.LEAST} THEN little WHEN k = 4 AND length(own) >= {evidence.LEAST} THEN own ELSE little END ELSE own END AS summary,
+    CASE WHEN k = 2 THEN 'https://a.example/x' WHEN k = 3 THEN 'https://news.ycombinator.com/item?id=2' ELSE 'https://b.example/y' END AS url FROM p""")
+def shadow_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without markup as releases, a forum's entries and posts, and other sources: what there is to write from."""
+    c = candidates(spark, sf_dir)
+    n, k = F.col("id"), F.col("id") % 6
+    x = F.when(F.col("summary").contains("<") | F.col("summary").contains("&"), "").otherwise(F.col("summary"))
+    said = F.when(k == 2, "\nArticle URL: https://a.example/x\nComments URL: https://news.ycombinator.com/item?id=1\n").when(k.isin(3, 4), F.left(x, F.lit(30))).otherwise(x)
+    kind = F.when(k < 2, "github").when(k == 2, "rss").when(k < 5, "hn").otherwise("rss")
+    url = F.when(k == 3, "https://news.ycombinator.com/item?id=2").otherwise("https://b.example/y")
+    made = evidence.normalized_evidence(F.col("title"), url, said, F.when(k == 2, "Hacker News").otherwise("s"), kind, x, F.when(n % 4 == 0, "See CHANGELOG.md").otherwise(x), F.when(k == 0, "v1"), x)
+    return c.select("id", made.alias("e")).select("id", "e.quality", "e.summary", "e.url")
+
+
 def two_selections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = candidates(spark, sf_dir).where("id IS NOT NULL").withColumn("run", F.floor(F.col("id") / RUN))
     first = selection.pool(c, ["run"], [F.desc("hn_score"), F.col("id")], TARGET).select("run", "id", "rank")
