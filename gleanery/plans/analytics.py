@@ -130,3 +130,15 @@ def balance_counts(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
 
     each = F.flatten(F.array(*[F.transform(c, named(n)) for n, c in dimensions.items()]))
     return rows.select(F.explode(each).alias("d")).select("d.dimension", "d.value").where(F.col("value").isNotNull() & (F.col("value") != "")).groupBy("dimension", "value").agg(F.count("*").alias("n"))
+
+
+#: What a small sample is warned of, and from how many days and labels on it is not small.
+NO_RUNS, NO_FEEDBACK, FEW_DAYS, FEW_LABELS = "没有可用的影子运行历史", "没有人工反馈", "覆盖天数少于 3 天", "人工反馈少于 20 条"
+LEAST_DAYS, LEAST_LABELS = 3, 20
+
+
+def sample_warnings(runs: DataFrame, feedback: DataFrame) -> DataFrame:
+    """pos and warning of what a history is too small for. runs: generated_at; feedback: a row per reviewed candidate."""
+    counted = runs.agg(F.count("*").alias("runs"), F.count_distinct(F.to_date("generated_at")).alias("days")).join(feedback.agg(F.count("*").alias("labels")))
+    rules = [(NO_RUNS, F.col("runs") == 0), (NO_FEEDBACK, F.col("labels") == 0), (FEW_DAYS, F.col("days") < LEAST_DAYS), (FEW_LABELS, F.col("labels") < LEAST_LABELS)]
+    return counted.select(F.posexplode(F.array_compact(F.array(*[F.when(holds, F.lit(text)) for text, holds in rules]))).alias("pos", "warning"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import evidence
+from ..functions import evidence, summaries
 from ..functions.text import summary_sentences
 from ..operators import choices, clustering, editing, selection
-from .publishing import _pick
+from .publishing import OBJECTS, _list, _pick
 from .queries import draft_pools, edition_pools, pool_pairs, query
-from .tables import CANDIDATES, candidates, now
+from .tables import CANDIDATES, candidates, now, table
 
 #: Rows of a run of two selections, and the length of each.
 RUN, TARGET = 100, 10
@@ -92,6 +92,27 @@ def shadow_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", made.alias("e")).select("id", "e.quality", "e.summary", "e.url")
 
 
+#: Titles that a generator might have made: of what the headline names, and of more.
+ADDED = ("", " GPT-5.2", " Claude 9", " Aurora", " deepseek-r1.", " Novak")
+_HEAD = f"{_list(OBJECTS)}[doc_id % {len(OBJECTS)} + 1]"
+_NAMED = "list_sort(list_distinct(list_transform(regexp_extract_all({0}, '" + summaries.PRODUCTS.replace("'", "''") + "', 1), lambda x: lower(x))))"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_HEAD} AS head, {_list(ADDED)}[doc_id % {len(ADDED)} + 1] AS added, coalesce(text, '') AS body, coalesce(source, '') AS source FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE head || added END AS shown, {_NAMED.format("head || added")} AS named, {_NAMED.format("head || ' ' || body || '  ' || source")} AS known FROM d),
+f AS (SELECT doc_id, CASE WHEN shown = '' THEN [] ELSE list_filter(named, lambda x: NOT list_contains(known, x)) END AS suspicious FROM s)
+SELECT doc_id AS id, len(suspicious) = 0 AS valid, coalesce(array_to_string(suspicious, '|'), '') AS suspicious, CASE WHEN len(suspicious) = 0 THEN 'keep' ELSE 'fallback' END AS action FROM f""")
+def summary_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shown titles that name products of which the whole source says nothing."""
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    n = F.col("doc_id")
+    head = _pick(OBJECTS, n % len(OBJECTS))
+    shown = F.when(n % 5 == 0, "").otherwise(F.concat(head, _pick(ADDED, n % len(ADDED))))
+    told = summaries.fact_check(shown, head, F.col("text"), F.lit(""), F.col("source"))
+    return d.select(n.alias("id"), told.alias("f")).select("id", "f.valid", F.array_join("f.suspicious", "|").alias("suspicious"), "f.action")
+
+
 def two_selections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = candidates(spark, sf_dir).where("id IS NOT NULL").withColumn("run", F.floor(F.col("id") / RUN))
     first = selection.pool(c, ["run"], [F.desc("hn_score"), F.col("id")], TARGET).select("run", "id", "rank")
