@@ -33,6 +33,27 @@ def evidence_order(score: str = "score") -> list:
     return [rank, F.col("official").cast("int").desc(), (F.col("channel") == "x").cast("int"), F.length("evidence").desc(), F.col(score).desc(), F.col("published_at").desc(), F.col("url")]
 
 
+def event_order() -> list:
+    """The selector's own order of events: community repositories last, then score, authority, late time and key."""
+    rank = F.lit(99)
+    for name, value in AUTHORITY.items():
+        rank = F.when(F.col("authority") == name, value).otherwise(rank)
+    late = (F.col("channel") == "github") & (F.col("authority") == "community")
+    return [F.coalesce(late, F.lit(False)).cast("int"), F.desc("score"), rank, F.desc_nulls_last("published_at"), F.col("event_key")]
+
+
+def selector_queue(events: DataFrame, keys: list[str], size: int = POOL, **caps) -> DataFrame:
+    """The best `size` events of each group in the selector's order with `place`, their place once repeated publishers and topics stand back.
+
+    events: event_key, channel, authority, score, published_at, publisher_id, reasons. An event's topic is what follows
+    `topic:` in the first of its reasons that starts so, else its key; events of officials and research are primary.
+    """
+    named = F.get(F.filter("reasons", lambda r: r.startswith("topic:")), F.lit(0))
+    topic = F.coalesce(F.lower(F.trim(F.substring(named, F.lit(len("topic:") + 1), F.length(named)))), F.col("event_key"))
+    pools = pool(events, keys, event_order(), size).select(*keys, "event_key", "rank", F.col("publisher_id").alias("source"), topic.alias("topic"), F.coalesce(F.col("authority").isin("official", "research"), F.lit(False)).alias("primary"))
+    return demote_repeats(pools, keys, **caps)
+
+
 def _fold(pools: DataFrame, keys: list[str], step, extra: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pools.schema.fields)
     columns = pools.columns

@@ -92,6 +92,21 @@ def shadow_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", made.alias("e")).select("id", "e.quality", "e.summary", "e.url")
 
 
+def queued_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = candidates(spark, sf_dir).where("id IS NOT NULL")
+    n = F.col("id")
+    return c.select(
+        F.floor(n / RUN).alias("run"), F.concat(F.lit("event-"), n.cast("string")).alias("event_key"), _pick(("github", "rss", "x"), n % 3).alias("channel"), _pick((*selection.AUTHORITY, "unknown"), n % 5).alias("authority"),
+        F.floor(F.col("hn_score") / 10).alias("score"), "published_at", F.concat(F.lit("p"), (n % 6).cast("string")).alias("publisher_id"), F.when(n % 4 != 0, F.array(F.lit("score"), F.concat(F.lit("topic: T"), (n % 8).cast("string")))).otherwise(F.array(F.lit("score"))).alias("reasons"),
+    )
+
+
+@query()
+def selector_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a run in the order in which the selector tries them."""
+    return selection.selector_queue(queued_events(spark, sf_dir), ["run"]).select("run", "event_key", "rank", "topic", "primary", "place")
+
+
 #: Titles that a generator might have made: of what the headline names, and of more.
 ADDED = ("", " GPT-5.2", " Claude 9", " Aurora", " deepseek-r1.", " Novak")
 _HEAD = f"{_list(OBJECTS)}[doc_id % {len(OBJECTS)} + 1]"

@@ -123,3 +123,28 @@ def test_domain_join_goes_by_host(spark):
     rows = spark.createDataFrame([(1, "http://a.example.com/x"), (1, "http://b.example.net/"), (None, "http://example.com/"), (None, "http://nowhere.org/"), (2, None), (1, "http://z.a.example.com/")], "id int, url string")
     found = sorted((r["url"] or "", r["publisher"]) for r in joins.domain_join(rows, registry, "url").collect())
     assert found == [("", None), ("http://a.example.com/x", "a"), ("http://b.example.net/", "net"), ("http://example.com/", "com"), ("http://nowhere.org/", None), ("http://z.a.example.com/", "a")]
+
+
+def test_selector_queue_equals_a_walk(spark):
+    rank = {"official": 0, "research": 1, "media": 2, "community": 3}
+    by_run = {}
+    for r in Q.queued_events(spark, SMALL).collect():
+        by_run.setdefault(r["run"], []).append(r)
+    want = {}
+    for rows in by_run.values():
+        when = lambda r: r["published_at"].timestamp() if r["published_at"] else float("-inf")
+        rows = sorted(rows, key=lambda r: (int(r["channel"] == "github" and r["authority"] == "community"), -r["score"], rank.get(r["authority"], 99), -when(r), r["event_key"]))[:45]
+        topic = lambda r: next((x.removeprefix("topic:").strip().lower() for x in r["reasons"] if x.startswith("topic:")), r["event_key"])
+        primary = lambda r: r["authority"] in ("official", "research")
+        left, sources, topics, n, place = list(rows), Counter(), Counter(), 0, 0
+        owed = any(map(primary, left))
+        while left:
+            fits = lambda r: not (owed and n < 2 and not primary(r)) and sources[r["publisher_id"]] < 2 and topics[topic(r)] < 2  # noqa: B023, E731
+            pick = next((r for r in left if fits(r)), left[0])
+            left.remove(pick)
+            place += 1
+            sources[pick["publisher_id"]] += 1
+            topics[topic(pick)] += 1
+            n += primary(pick)
+            want[pick["event_key"]] = (rows.index(pick) + 1, topic(pick), primary(pick), place)
+    assert {r["event_key"]: (r["rank"], r["topic"], r["primary"], r["place"]) for r in Q.selector_queue(spark, SMALL).collect()} == want
