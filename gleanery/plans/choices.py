@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import evidence, summaries
+from ..functions import evidence, summaries, verdicts
 from ..functions.text import summary_sentences
 from ..operators import choices, clustering, editing, selection
 from .publishing import OBJECTS, _list, _pick
@@ -159,3 +159,28 @@ def shadow_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = choices.shadow_comparison(*two_selections(spark, sf_dir)[:2], "run", TARGET, two_selections(spark, sf_dir)[2])
     joined = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("selected", "recommended", "dropped", "added")]
     return told.select("run", "status", "fallback_reason", *joined, F.round("overlap", 6).alias("overlap"), F.round("footrule", 6).alias("footrule"))
+
+
+#: Replies about a document's first and second half, by its id; {0} is its first long word, {1} a word that it has not.
+REPLIES = (
+    '{{"relationship":"same_event","shared_subjects":["{0}"],"shared_action":"launch"}}', '{{"relationship":"same_event","shared_subjects":["{0}"],"shared_action":"hire"}}', '{{"relationship":"distinct","shared_subjects":[],"shared_action":""}}',
+    '{{"relationship":"uncertain","shared_subjects":["{1}"],"shared_action":""}}', '{{"relationship":"same_event","shared_subjects":["team"],"shared_action":"launch"}}', '{{"relationship":"same","shared_subjects":[],"shared_action":""}}',
+    '{{"relationship":"distinct","shared_subjects":["{0}"]}}', '{{"relationship":"distinct","shared_subjects":"{0}","shared_action":""}}', '{{"relationship":"distinct","shared_subjects":[],"shared_action":null}}', '["{0}"]', '{{"relationship":', '{{"relationship":"same_event","shared_subjects":[],"shared_action":"launch"}}',
+)
+_WORD = "regexp_extract(lower(coalesce(text, '')), '[a-z]{8,}', 0)"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id % {len(REPLIES)} AS k, {_WORD} AS w, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS x FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT *, w <> '' AND contains(' ' || x || ' ', ' ' || w || ' ') AS stands FROM d)
+SELECT doc_id, CASE k WHEN 0 THEN CASE WHEN w = '' THEN 'subjects_no_texts' WHEN NOT stands THEN 'subject_not_anchored' ELSE '' END WHEN 1 THEN CASE WHEN w = '' THEN 'subjects_no_texts' WHEN NOT stands THEN 'subject_not_anchored' ELSE 'action_not_shared' END WHEN 2 THEN '' WHEN 3 THEN 'subject_not_anchored'
+    WHEN 4 THEN 'no_strong_subject' WHEN 5 THEN 'unknown_relationship' WHEN 6 THEN 'wrong_fields' WHEN 7 THEN 'subjects_no_texts' WHEN 8 THEN 'action_no_text' WHEN 9 THEN 'no_object' WHEN 10 THEN 'no_object' ELSE 'same_event_without_subject_or_action' END AS fault FROM s""")
+def checked_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies about two copies of a document, with the first fault of each."""
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " ")
+    word = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), "[a-z]{8,}", 0)
+    made = [F.concat(*[F.lit(part) if i == 0 else F.concat(word, F.lit(part)) for i, part in enumerate(r.replace("{1}", "zzqx").replace("{{", "{").replace("}}", "}").split("{0}"))]) for r in REPLIES]
+    reply = F.element_at(F.array(*made), (F.col("doc_id") % len(REPLIES) + 1).cast("int"))
+    acts = F.array(F.lit("launch"))
+    return d.select("doc_id", reply.alias("reply"), plain.alias("x"), word.alias("w")).select("doc_id", verdicts.fault(F.col("reply"), F.col("x"), F.col("x"), F.array("w"), acts, acts).alias("fault"))
