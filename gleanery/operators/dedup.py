@@ -70,15 +70,20 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.join(renamed, ["key", "block"]).where("class != class_o")
 
 
-def _scope(scope: str | None) -> Column:
-    return F.concat(F.col(scope).cast("string"), F.lit("\x1f")) if scope else F.lit("")
+def _scope(scope: str | None) -> list[Column]:
+    """The mark of a row's scope, as no column where there are none."""
+    return [F.concat(F.col(scope).cast("string"), F.lit("\x1f")).alias("mark")] if scope else []
+
+
+def _marks(frame: DataFrame) -> list[str]:
+    return ["mark"] if "mark" in frame.columns else []
 
 
 def title_classes(rows: DataFrame, title: Column, id_column: str, scope: str | None = None) -> DataFrame:
     """Rows with equal titles as one class: class (least id), n, parts, and mark, the value of `scope` (rows of different scopes never meet; an id lies in one scope only); written, as many branches read it. A row without a title is in none."""
-    made = rows.select(F.col(id_column).alias("_id"), clean_title(title).alias("clean"), _scope(scope).alias("mark")).where(F.length("clean") > 0)
-    distinct = made.groupBy("mark", "clean").agg(F.min("_id").alias("class"), F.count("*").alias("n"))
-    return settled(distinct.select("class", "n", title_parts(F.col("clean")).alias("parts"), "mark"))
+    made = rows.select(F.col(id_column).alias("_id"), clean_title(title).alias("clean"), *_scope(scope)).where(F.length("clean") > 0)
+    distinct = made.groupBy(*_marks(made), "clean").agg(F.min("_id").alias("class"), F.count("*").alias("n"))
+    return settled(distinct.select("class", "n", title_parts(F.col("clean")).alias("parts"), *_marks(made)))
 
 
 #: Titles of at least this length are looked for inside others by runs of so many characters, shorter ones by pairs.
@@ -93,8 +98,9 @@ def similar_titles(classes: DataFrame, threshold: float, inclusive: bool = False
     stand in the longer. Candidates that by their sizes, or by the place of the first value that they share, cannot reach
     the threshold go before anything but numbers is shuffled for them. No pair above the threshold is missed.
     """
-    marked = lambda c: F.transform(f"parts.{c}", lambda x: F.concat("mark", x)).alias(c)
-    flat = classes.select("class", marked("words"), marked("pairs"), "parts.canon", "parts.cjk", "parts.clean", "mark")
+    mark = _marks(classes)
+    marked = lambda c: F.transform(f"parts.{c}", lambda x: F.concat("mark", x)).alias(c) if mark else F.col(f"parts.{c}")
+    flat = classes.select("class", marked("words"), marked("pairs"), "parts.canon", "parts.cjk", "parts.clean", *mark)
     enough = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold - 1e-6
 
     def pairs(met: DataFrame) -> DataFrame:
@@ -108,14 +114,15 @@ def similar_titles(classes: DataFrame, threshold: float, inclusive: bool = False
 
     word_keys, pair_keys = _prefix_keys(flat, "words", threshold, "w:"), _prefix_keys(flat, "pairs", threshold, "p:")
     alike = overlapping(word_keys, word_keys).unionByName(overlapping(pair_keys.join(flat.where("cjk").select("class"), "class"), pair_keys))
-    named = flat.where(F.length("canon") > 0).select("class", F.concat("mark", "canon").alias("key"))
+    named = flat.where(F.length("canon") > 0).select("class", F.concat(*mark, "canon").alias("key"))
     # Equal canonical titles: all their words may differ, so each pair is a link of its own.
     canon_keys = named.join(named.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
     alike = alike.unionByName(pairs(_met(canon_keys, canon_keys)))
 
     def containing(text: str, size: int, whose: Column) -> DataFrame:
         held = flat if size > 1 else flat.where(enough(F.lit(1), F.length(text)))
-        each = held.select("class", F.explode(grams(F.col(text), size)).alias("key"), whose.alias("asks"), F.length(text).alias("size"), "mark").withColumn("key", F.concat("mark", "key")).drop("mark")
+        each = held.select("class", F.explode(grams(F.col(text), size)).alias("key"), whose.alias("asks"), F.length(text).alias("size"), *mark)
+        each = each.withColumn("key", F.concat("mark", "key")).drop("mark") if mark else each
         df = each.groupBy("key").agg(F.count("*").alias("df"))
         rarest = each.where("asks").join(df, "key").groupBy("class", "size").agg(F.min_by(F.struct("key", "df"), F.struct("df", "key")).alias("r")).select("class", "size", "r.key", "r.df")
         asked = rarest.groupBy("key").agg(F.first("df").alias("df"))
@@ -134,7 +141,7 @@ def similar_titles(classes: DataFrame, threshold: float, inclusive: bool = False
 
 def expanded(classes: DataFrame, pairs_of, rows: DataFrame, title: Column, id_column: str, scope: str) -> DataFrame:
     """scope, a < b, sim of all pairs of rows whose title classes `pairs_of` pairs, or whose titles are equal. For scopes of bounded size: each pair of rows is a result."""
-    members = rows.select(F.col(scope), F.col(id_column).alias("id"), clean_title(title).alias("clean"), _scope(scope).alias("mark")).where(F.length("clean") > 0)
+    members = rows.select(F.col(scope), F.col(id_column).alias("id"), clean_title(title).alias("clean"), *_scope(scope)).where(F.length("clean") > 0)
     members = settled(members.join(classes.select("mark", F.col("parts.clean").alias("clean"), "class"), ["mark", "clean"]).select(scope, "id", "class"))
     other = members.select(F.col("id").alias("o"), "class")
     same = members.join(other, "class").where("id < o").select(scope, F.col("id").alias("a"), F.col("o").alias("b"), F.lit(1.0).alias("sim"))
@@ -149,8 +156,8 @@ def cross_references(rows: DataFrame, title: Column, id_column: str, threshold:
     pairs = similar_titles(classes, threshold)
     both = pairs.select(F.col("a").alias("class"), F.col("n_b").alias("m")).unionByName(pairs.select(F.col("b").alias("class"), F.col("n_a").alias("m")))
     counts = classes.join(both.groupBy("class").agg(F.sum("m").alias("m")), "class", "left")
-    told = counts.select("mark", F.col("parts.clean").alias("_clean"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("cross_refs"))
-    joined = rows.select(F.col(id_column), clean_title(title).alias("_clean"), _scope(scope).alias("mark")).join(told, ["mark", "_clean"], "left")
+    told = counts.select(*_marks(classes), F.col("parts.clean").alias("_clean"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("cross_refs"))
+    joined = rows.select(F.col(id_column), clean_title(title).alias("_clean"), *_scope(scope)).join(told, [*_marks(classes), "_clean"], "left")
     return joined.select(id_column, F.coalesce("cross_refs", F.lit(0)).cast("long").alias("cross_refs"))
 
 
