@@ -188,9 +188,10 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -
     return Fitted(languages, totals, sink.getvalue().to_pybytes(), frequent[0]["lang"] if frequent else None)
 
 
-def predict(docs: DataFrame, fitted: Fitted) -> DataFrame:
-    """docs without text, with lang_pred and score. The score is the share of the evidence that the language has: the softmax of the summed word scores, which are cut to 20 words' weight so that no text is surer than its words."""
+def predict(docs: DataFrame, fitted: Fitted, names: tuple[str, str] = ("lang_pred", "score"), keep_text: bool = False) -> DataFrame:
+    """docs without text (or with it), with lang_pred and score, or what `names` calls them. The score is the share of the evidence that the language has: the softmax of the summed word scores, which are cut to 20 words' weight so that no text is surer than its words."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
+    dropped = () if keep_text else ("text",)
 
     def run(batches):
         model = shared.value.model()
@@ -202,10 +203,10 @@ def predict(docs: DataFrame, fitted: Fitted) -> DataFrame:
                 a, b = _judge(column.slice(start, stop - start), model, cache)
                 predicted += a
                 scores.append(b)
-            made = {"lang_pred": pa.array(predicted, pa.string()), "score": pa.array(np.concatenate(scores) if scores else np.zeros(0))}
-            yield with_columns(batch, ("text",), made)
+            made = dict(zip(names, (pa.array(predicted, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))), strict=True))
+            yield with_columns(batch, dropped, made)
 
-    return docs.mapInArrow(run, schema_with(docs, ("text",), "lang_pred string, score double"))
+    return docs.mapInArrow(run, schema_with(docs, dropped, f"`{names[0]}` string, `{names[1]}` double"))
 
 
 def _judge(texts: pa.Array, model: LanguageModel, cache: Cache) -> tuple[list[str], np.ndarray]:
