@@ -20,19 +20,25 @@ from gleanery.llm.queries import PACK_END, WINDOW, WORD_VOCABULARY
 LEAST_LANGUAGE_SCORE = 0.35
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many further underscores as no column of docs has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a learned language; documents without a letter, or of none of the languages, go."""
     model = language_id.fit(docs)
-    judged = language_id.predict(docs.select("text", F.struct("*").alias("row")), model)
-    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return judged.where(sure).select("row.*")
+    names = (unused(docs, "_lang_pred"), unused(docs, "_score"))
+    lang, score = (F.col(n) for n in names)
+    judged = language_id.predict(docs, model, names, keep_text=True)
+    return judged.where((lang != language_id.UNKNOWN) & (score >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def _one_of_each(docs: DataFrame, name: str, groups_of, group: str, best) -> DataFrame:
     """Of the rows that `groups_of` puts in one group, the one that is `best` by (id, row number)."""
-    row = "_row"
-    while row in {c.lower() for c in docs.columns}:
-        row += "_"
+    row = unused(docs, "_row")
     rows, _ = written(docs.withColumn(row, F.monotonically_increasing_id()), name)
     release(docs.sparkSession)
     ids = rows.select(F.col(row).alias("_row"), number_or_least(F.col("doc_id")).alias("_id"))
