@@ -328,6 +328,20 @@ def test_similar_titles_equal_all_pairs(spark, monkeypatch, threshold, inclusive
     assert len(found) == len(set(found)) and set(found) == expected and expected
 
 
+@pytest.mark.parametrize("small", [1024, 40])
+def test_small_scopes_are_paired_without_keys(spark, monkeypatch, small):
+    by_keys = []
+    monkeypatch.setattr(dedup, "SMALL_SCOPE", small)
+    monkeypatch.setattr(dedup, "_similar_by_keys", lambda classes, *how, plain=dedup._similar_by_keys: by_keys.append(sorted({r.mark for r in classes.collect()})) or plain(classes, *how))
+    rows = spark.createDataFrame([(s * 1000 + i, s, t) for s in (1, 2) for i, t in enumerate(TITLES)] + [(3000 + i, 1, f"one two three {i}") for i in range(15)], "id long, s long, title string")
+    classes = dedup.title_classes(rows, F.col("title"), "id", scope="s")
+    every = classes.select("mark", F.col("class").alias("a"), F.col("parts").alias("p")).join(classes.select("mark", F.col("class").alias("b"), F.col("parts").alias("q")), "mark").where("a < b")
+    expected = {(r.a, r.b, round(r.sim, 9)) for r in every.select("a", "b", text.title_similarity(F.col("p"), F.col("q")).alias("sim")).where("sim > 0.25").collect()}
+    found = [(r.a, r.b, round(r.sim, 9)) for r in dedup.similar_titles(classes, 0.25).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected and expected
+    assert by_keys == ([] if small == 1024 else [["1\x1f"]])
+
+
 def test_hash_links_count_near_rows(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 3)
     rng = np.random.default_rng(5)
