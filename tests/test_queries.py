@@ -328,6 +328,23 @@ def test_similar_titles_equal_all_pairs(spark, monkeypatch, threshold, inclusive
     assert len(found) == len(set(found)) and set(found) == expected and expected
 
 
+@pytest.mark.parametrize("threshold, block", [(0.25, 7), (0.25, 65536), (0.5, 7)])
+def test_cross_references_count_without_pairs(spark, monkeypatch, threshold, block):
+    """No pair of titles by their words alone is made, and the counts are those of all pairs."""
+    monkeypatch.setattr(dedup, "COUNTED_BLOCK", block)
+    monkeypatch.setattr(dedup, "similar_titles", lambda *a, **k: pytest.fail("pairs are made"))
+    monkeypatch.setattr(dedup, "_prefix_keys", lambda flat, values, *how, plain=dedup._prefix_keys: plain(flat, values, *how) if values == "pairs" else pytest.fail("pairs are made"))
+    rng = np.random.default_rng(3)
+    drawn = [" ".join(rng.choice(["al", "bet", "gam", "delta", "eps", "ze", "e", "theta!"], int(k))) for k in rng.integers(1, 9, 60)]
+    runs = ["nd " * 40 + "x", "nd nd", "the nd x", "x nd", "y " + "abcdefgh" * 9 + " z", "abcdefgh" * 4, "cdefghab" * 3, "abc-defgh" * 5, "efghabcd" * 8, "--- ---", "---"]
+    titles = [*TITLES, *drawn, *runs, "A B C D", None]
+    rows = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    parts = rows.select("id", text.title_parts(F.col("title")).alias("p"))
+    pairs = parts.join(parts.withColumnsRenamed({"id": "o", "p": "q"}), F.col("id") != F.col("o")).where(text.title_similarity(F.col("p"), F.col("q")) > threshold)
+    expected = Counter(r.id for r in pairs.select("id").collect())
+    assert {r.id: r.cross_refs for r in dedup.cross_references(rows, F.col("title"), "id", threshold).collect()} == {i: expected[i] for i in range(len(titles))}
+
+
 @pytest.mark.parametrize("small", [1024, 40])
 def test_small_scopes_are_paired_without_keys(spark, monkeypatch, small):
     by_keys = []
