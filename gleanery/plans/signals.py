@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import editorial, fingerprints, media, people, replies
 from ..operators import relation
+from ..operators.lineage import settled
 from ..sources import feeds, records
 from .publishing import HEADLINES, _list, _pick, headlines
 from .queries import query
@@ -80,7 +81,8 @@ def fingerprint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     confidence = F.when(n % 5 == 0, "low").when(n % 5 == 1, "medium").otherwise("high")
     key = fingerprints.keeper_key(F.col("channel"), n % 3, confidence, n % 2 == 0, (n % 9).cast("double"))
-    rows = headlines(spark, sf_dir).select("doc_id", fingerprints.fingerprint(F.col("title"), F.col("evidence")).alias("f"), key.alias("key"))
+    # Both sides read the fingerprints, so the texts are searched once.
+    rows = settled(headlines(spark, sf_dir).select("doc_id", fingerprints.fingerprint(F.col("title"), F.col("evidence")).alias("f"), key.alias("key")))
     a = rows.select(n.alias("a"), (n + 1).alias("b"), F.col("f").alias("fa"), F.col("key").alias("ka"))
     both = a.join(rows.select(n.alias("b"), F.col("f").alias("fb"), F.col("key").alias("kb")), "b")
     shared = fingerprints.overlap(F.col("fa"), F.col("fb"))
