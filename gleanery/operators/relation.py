@@ -52,8 +52,8 @@ def relationship(a: dict[str, Column], b: dict[str, Column], window_hours: float
     )
 
 
-def related_pairs(docs: DataFrame, window_hours: float = 48.0) -> DataFrame:
-    """a < b and relation of all pairs of `documents` that are not distinct.
+def _near_pairs(docs: DataFrame, window_hours: float) -> DataFrame:
+    """id < other of the pairs within the window that any rule but those of equal urls and status ids may relate.
 
     A rule that gives anything but distinct needs an equal url or status id, or, within the window, a shared action along
     with a shared person, model, candidate or organization, a shared asserted action along with a shared person or model or
@@ -69,24 +69,44 @@ def related_pairs(docs: DataFrame, window_hours: float = 48.0) -> DataFrame:
     threaded = F.when(F.col("thread") != "", F.transform(strong, lambda s: F.concat(F.lit("t:"), F.col("thread"), F.lit("|"), s))).otherwise(none)
     said = F.flatten(F.transform("asserted", lambda x: F.transform(F.array_distinct(F.concat("people", "mentioned", "models")), lambda s: F.concat(F.lit("s:"), x, F.lit("|"), s))))
     timed = F.concat(acts, said, titled, threaded)
-    fixed = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), c)) for c in ("url", "status")]))
     home = docs.select("id", F.explode(timed).alias("key"), bucket.alias("bucket"))
     near = home.select(F.col("id").alias("other"), "key", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    same = docs.select("id", F.explode(fixed).alias("key"))
-    pairs = home.join(near, ["key", "bucket"]).where("id < other").select("id", "other")
-    pairs = pairs.unionByName(same.join(same.withColumnRenamed("id", "other"), "key").where("id < other").select("id", "other")).distinct()
+    return home.join(near, ["key", "bucket"]).where("id < other").select("id", "other").distinct()
+
+
+def _related(docs: DataFrame, pairs: DataFrame, window_hours: float) -> DataFrame:
+    """a, b, relation and linked (by an equal url or status id) of the pairs (id, other) that are not distinct."""
     side = lambda name: docs.select(F.col("id").alias(name), F.struct(*FEATURES).alias(f"_{name}"))
     both = pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).join(side("a"), "a").join(side("b"), "b")
     of = lambda name: {f: F.col(f"_{name}.{f}") for f in FEATURES}
-    return both.select("a", "b", relationship(of("a"), of("b"), window_hours).alias("relation")).where("relation != 'distinct'")
+    equal = lambda f: (F.col(f"_a.{f}") != "") & (F.col(f"_a.{f}") == F.col(f"_b.{f}"))
+    return both.select("a", "b", relationship(of("a"), of("b"), window_hours).alias("relation"), (equal("url") | equal("status")).alias("linked")).where("relation != 'distinct'")
+
+
+def related_pairs(docs: DataFrame, window_hours: float = 48.0) -> DataFrame:
+    """a < b and relation of all pairs of `documents` that are not distinct: those of `_near_pairs`, and all with an equal url or status id."""
+    fixed = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), c)) for c in ("url", "status")]))
+    same = docs.select("id", F.explode(fixed).alias("key"))
+    linked = same.join(same.withColumnRenamed("id", "other"), "key").where("id < other").select("id", "other")
+    return _related(docs, _near_pairs(docs, window_hours).unionByName(linked).distinct(), window_hours).drop("linked")
 
 
 def related_counts(docs: DataFrame, window_hours: float = 48.0) -> DataFrame:
-    """A row per document: id, same_events and reviews, the numbers of its pairs of either kind."""
-    pairs = related_pairs(docs, window_hours)
+    """A row per document: id, same_events and reviews, the numbers of its pairs of either kind.
+
+    Documents with one url or status id tell of one event whatever else they say, and at any distance in time: they are
+    counted by url, by status id and, as those counts hold them twice, by both, and are not paired.
+    """
+    pairs = _related(docs, _near_pairs(docs, window_hours), window_hours).where(~F.col("linked"))
     both = pairs.select(F.col("a").alias("id"), "relation").unionByName(pairs.select(F.col("b").alias("id"), "relation"))
     counts = both.groupBy("id").agg(F.count_if(F.col("relation") == "same_event").alias("same_events"), F.count_if(F.col("relation") == "review").alias("reviews"))
-    return docs.select("id").join(counts, "id", "left").select("id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("same_events", "reviews")])
+    named = docs.select("id", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("url", "status")])
+    told = named.join(counts, "id", "left")
+    for name, keys in (("_urls", ["url"]), ("_statuses", ["status"]), ("_both", ["url", "status"])):
+        told = told.join(named.dropna(subset=keys).groupBy(*keys).agg((F.count("*") - 1).alias(name)), keys, "left")
+    known = lambda c: F.coalesce(c, F.lit(0))
+    same = known("same_events") + known("_urls") + known("_statuses") - known("_both")
+    return told.select("id", same.cast("long").alias("same_events"), known("reviews").cast("long").alias("reviews"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
