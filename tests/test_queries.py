@@ -3,7 +3,9 @@
 import glob
 import math
 import os
+import re
 from collections import Counter
+from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
@@ -402,3 +404,44 @@ def test_images_of_an_entry(spark):
     found = spark.createDataFrame(rows, kind).select(feeds.entry_images(*map(F.col, "mtleh")).alias("x")).collect()
     assert [tuple(p) for p in found[0].x] == [("m", "rss:media_content"), ("t", "rss:media_thumbnail"), ("i", "rss:link"), ("h", "rss:link"), ("e", "rss:enclosure"), ("w", "rss:html_img"), ("a&b", "rss:html_img")]
     assert found[1].x == []
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_topic_key_of_long_texts(spark):
+    texts = ["@@a b", "x" * 200, "-" * 500 + "A b", "a!" * 300, "新 " * 90, "a" * 80 + "!" * 9, "a" * 79 + " - b", "a" * 80 + " b", "!?", "", None, "a" * 79 + "!!\nb c"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, s string").repartition(2)
+    found = frame.select("id", text.topic_key(F.col("s")).alias("k"), text.slug(F.col("s")).alias("w"))
+    assert all(r.k == "topic:" + r.w[:80] for r in found.collect())
+    assert _plan(frame.select(text.topic_key(F.col("s")).alias("k"))).count("[^a-z0-9一-鿿]+,") == 1
+
+
+def test_white_space_and_tokens(spark):
+    values = ["a b", "a  b", " a\tb\n", "a b", "a    b", "\n\na\r\n b \x0b\x0c", "Ａ　ｂ！", "", None, "the a the b a b c"]
+    frame = spark.createDataFrame([(v,) for v in values], "s string").repartition(2)
+    for r in frame.select("s", text.collapse(F.col("s")).alias("c"), text.normalized(F.col("s")).alias("n"), text.text_tokens(F.col("s"), ("a", "the")).alias("t")).collect():
+        plain = lambda s: re.sub("[ \t\n\x0b\f\r]+", " ", s.replace(" ", " ")).strip(" ")
+        assert r.c == plain(r.s or "") and r.n == plain((r.s or "").translate(str.maketrans(text.WIDE, text.PLAIN)))
+        assert r.t == list(dict.fromkeys(w for w in re.findall("[a-z0-9][a-z0-9.+-]*", r.n.lower()) if w not in ("a", "the")))
+    assert "\\z" not in _plan(frame.select(text.text_tokens(F.col("s"), ("a", "the"))))
+
+
+def test_fingerprint_pairs_search_texts_once(spark):
+    assert "documents" not in _plan(signals.fingerprint_pairs(spark, "/root/testdata/sf0.001")) and "Relation" not in _plan(signals.fingerprint_pairs(spark, "/root/testdata/sf0.001"))
+
+
+def test_reports_of_one_address_are_counted_not_paired(spark, monkeypatch):
+    tried = []
+    monkeypatch.setattr(relation, "_related", lambda docs, pairs, hours, plain=relation._related: tried.append(pairs.count()) or plain(docs, pairs, hours))
+    kind = "id long, title string, evidence string, url string, thread_id string, item_id string, published_at timestamp"
+    at = datetime(2024, 1, 1)
+    hot = relation.documents(spark.createDataFrame([(i, f"t {i}", "x", "https://a/1", None, str(i), at + timedelta(days=i)) for i in range(120)], kind))
+    assert {tuple(r)[1:] for r in relation.related_counts(hot).collect()} == {(119, 0)} and tried == [0]
+    urls = ("https://x.com/u/status/7", "https://x.com/w/status/7", "https://x.com/u/status/7#a", "https://a/1", "https://a/1", "", None, "https://a/2")
+    said = ("OpenAI releases GPT-5", "OpenAI launches GPT-5", "OpenAI raises money", "nothing")
+    docs = relation.documents(spark.createDataFrame([(i, said[i % 4], "text", urls[i % 8], None, str(i), at + timedelta(hours=i * 5)) for i in range(24)], kind))
+    pairs = relation.related_pairs(docs).collect()
+    expected = {i: tuple(sum(i in (p.a, p.b) and p.relation == r for p in pairs) for r in ("same_event", "review")) for i in range(24)}
+    assert {r.id: (r.same_events, r.reviews) for r in relation.related_counts(docs).collect()} == expected
