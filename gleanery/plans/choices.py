@@ -179,8 +179,9 @@ def checked_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies about two copies of a document, with the first fault of each."""
     d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " ")
-    word = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), "[a-z]{8,}", 0)
+    d = d.select("doc_id", plain.alias("x"), F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), "[a-z]{8,}", 0).alias("w"))
+    word = F.col("w")
     made = [F.concat(*[F.lit(part) if i == 0 else F.concat(word, F.lit(part)) for i, part in enumerate(r.replace("{1}", "zzqx").replace("{{", "{").replace("}}", "}").split("{0}"))]) for r in REPLIES]
     reply = F.element_at(F.array(*made), (F.col("doc_id") % len(REPLIES) + 1).cast("int"))
     acts = F.array(F.lit("launch"))
-    return d.select("doc_id", reply.alias("reply"), plain.alias("x"), word.alias("w")).select("doc_id", verdicts.fault(F.col("reply"), F.col("x"), F.col("x"), F.array("w"), acts, acts).alias("fault"))
+    return d.select("doc_id", reply.alias("reply"), "x", "w").select("doc_id", verdicts.fault(F.col("reply"), F.col("x"), F.col("x"), F.array("w"), acts, acts).alias("fault"))
