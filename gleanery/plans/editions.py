@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprints
 from ..operators import repeats, selection
+from ..operators.dedup import METRICS
 from ..operators.topics import topic_clusters
 from .candidates import collect_news
 from .publishing import HEADLINES, MARKS, OBJECTS, SUBJECTS, _list, _pick, headlines
@@ -97,7 +98,8 @@ def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def topic_keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics over all rows of a run, with no bound on them."""
-    led = topic_clusters(news_rows(spark, sf_dir), "run", F.struct((-F.col("hn_score")).alias("s"), F.col("id").alias("i")), TOPICS)
+    rows = news_rows(spark, sf_dir).select("run", "id", "title", "source", *METRICS)
+    led = topic_clusters(rows, "run", F.struct((-F.col("hn_score")).alias("s"), F.col("id").alias("i")), TOPICS)
     return led.select("run", "id", "source", "hn_score", "github_stars", "cross_source_count", "absorbed")
 
 
