@@ -81,8 +81,12 @@ def entities(text: Column, names: tuple[str, ...] = ENTITIES) -> Column:
 
 def actions(text: Column, kinds: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Kinds of event of which a mark is a substring, sorted."""
-    low = folded(text)
-    return once(low, lambda x: F.array_compact(F.array(*[F.when(contains_any(x, marks), F.lit(kind)) for kind, marks in sorted((kinds or ACTIONS).items())])))
+    return once(folded(text), lambda x: actions_in(x, kinds))
+
+
+def actions_in(low: Column, kinds: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """`actions` of a folded text."""
+    return F.array_compact(F.array(*[F.when(contains_any(low, marks), F.lit(kind)) for kind, marks in sorted((kinds or ACTIONS).items())]))
 
 
 def asserted_actions(text: Column, kinds: dict[str, tuple[str, ...]] | None = None, negation: str = NEGATION) -> Column:
@@ -94,30 +98,45 @@ def asserted_actions(text: Column, kinds: dict[str, tuple[str, ...]] | None = No
 
 def canonical_names(text: Column, spellings: dict[str, str], short: bool = False) -> Column:
     """The canonical names of which a spelling stands in the text as whole words, sorted. `short` texts are not searched for substrings first."""
+    return once(folded(text), lambda x: canonical_names_in(x, spellings, short))
+
+
+def canonical_names_in(low: Column, spellings: dict[str, str], short: bool = False) -> Column:
+    """`canonical_names` of a folded text."""
     by_name: dict[str, list[str]] = {}
     for spelling, name in spellings.items():
         by_name.setdefault(name, []).append(spelling)
     # Most names do not even stand as substrings, which is found out faster than that they stand as words.
     stands = lambda x, many: (F.lit(True) if short else contains_any(x, many)) & x.rlike("|".join(map(bounded_shape, many)))
-    return once(folded(text), lambda x: F.array_compact(F.array(*[F.when(stands(x, many), F.lit(name)) for name, many in sorted(by_name.items())])))
+    return F.array_compact(F.array(*[F.when(stands(low, many), F.lit(name)) for name, many in sorted(by_name.items())]))
 
 
 def organizations(text: Column, spellings: dict[str, str] | None = None) -> Column:
     return canonical_names(text, spellings or ORGANIZATIONS)
 
 
+def organizations_in(low: Column) -> Column:
+    """`organizations` of a folded text."""
+    return canonical_names_in(low, ORGANIZATIONS)
+
+
 def models(text: Column, families: tuple[str, ...] = FAMILIES, variants: tuple[str, ...] = VARIANTS) -> Column:
     """Names of models with a version, and the variant that follows: gpt-4o-mini, claude-4.5-sonnet. Sorted."""
+    return models_in(normalized(text), families, variants)
+
+
+def models_in(plain: Column, families: tuple[str, ...] = FAMILIES, variants: tuple[str, ...] = VARIANTS) -> Column:
+    """`models` of a normalized text."""
     suffix = "|".join(sorted(variants, key=lambda v: (-len(v), v)))
     shape = rf"(?iU)\b((?:{'|'.join(families)})[- ]?[a-z]*\d[\w.+-]*)(?:\s*(?:\(\s*)?({suffix})\b(?:\s*\))?)?"
-    plain = F.regexp_replace(normalized(text), "[\u2010-\u2015\u2212]", "-")
+    hyphened = F.regexp_replace(plain, "[\u2010-\u2015\u2212]", "-")
     part = lambda x, n: F.regexp_extract_all(x, F.lit(shape), F.lit(n))
     dashed = lambda v, of: F.regexp_replace(F.lower(v), of, "-")
     named = lambda base, more: F.when(F.coalesce(more, F.lit("")) != "", F.concat(dashed(base, r"[\s-]+"), F.lit("-"), dashed(more, r"\s+"))).otherwise(dashed(base, r"[\s-]+"))
     # A version needs a digit and a family, which most texts are soon found to lack.
     found = lambda x: F.array_sort(F.array_distinct(F.zip_with(part(x, 1), part(x, 2), named)))
     none = F.array().cast("array<string>")
-    return once(plain, lambda x: F.when(x.rlike(r"(?U)\d") & once(F.lower(x), lambda low: contains_any(low, (*families, "ſ"))), found(x)).otherwise(none))
+    return once(hyphened, lambda x: F.when(x.rlike(r"(?U)\d") & once(F.lower(x), lambda low: contains_any(low, (*families, "ſ"))), found(x)).otherwise(none))
 
 
 def people(text: Column, names: tuple[str, ...]) -> Column:
@@ -136,9 +155,14 @@ def _marked(kind: str):
 
 def qualifiers(text: Column) -> Column:
     """kind:value of years, shares, amounts with their scale, and durations, sorted."""
+    return once(folded(text), qualifiers_in)
+
+
+def qualifiers_in(low: Column) -> Column:
+    """`qualifiers` of a folded text."""
     found = lambda x: [F.transform(F.regexp_extract_all(x, F.lit(shape), F.lit(1)), _marked(kind)) for kind, shape in QUALIFIERS.items()]
     none = F.array().cast("array<string>")
-    return once(folded(text), lambda x: F.when(x.rlike("[0-9]"), F.array_sort(F.array_distinct(F.concat(*found(x))))).otherwise(none))
+    return F.when(low.rlike("[0-9]"), F.array_sort(F.array_distinct(F.concat(*found(low))))).otherwise(none)
 
 
 def tokens(text: Column, stop: tuple[str, ...] = KEY_STOPWORDS) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .anchors import ORGANIZATIONS
-from .text import bounded_shape, folded, known, normalized, once, one_of
+from .text import bounded_shape, folded, known, once, one_of
 
 #: Known people, other spellings, and names that are none.
 KNOWN = (
@@ -24,6 +24,8 @@ DESIGNATORS = ("company", "corporation", "foundation", "group", "institute", "la
 
 #: The patterns of names, titles, pronouns and roles.
 NAME = r"\b([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+)+)\b"
+#: What `NAME` finds, without going a step deeper into the stack for each word: texts repeat a capitalised word a thousand times and more.
+_NAME = r"\b([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+\b)++)"
 TITLE = rf"(?:{'|'.join(TITLE_LETTERS)}|(?:[A-Z][a-z]+[ \t]+){{0,4}}(?:{'|'.join(TITLE_HEADS)}))"
 PRONOUNS = r"\b(?:he|her|hers|him|his|she)\b"
 ROLE = rf"\bas\s+(?:an?|the)\s+(?:{'|'.join(TITLE_HEADS)})\b"
@@ -40,11 +42,16 @@ def people(text: Column) -> Column:
 
     A context never goes beyond a full stop, so only the parts of a line between full stops that hold the name are searched.
     """
+    return people_in(text, folded(text))
+
+
+def people_in(text: Column, low: Column) -> Column:
+    """`people` of a text that is also there folded."""
     organizations = sorted({*ORGANIZATIONS, *ORGANIZATIONS.values()})
 
     def named(line):
         parts = F.transform(F.split(line, r"\."), lambda part: F.struct(part.alias("text"), F.lower(part).alias("low")))
-        return F.when(line.rlike(NAME), once(parts, lambda within: in_line(line, within))).otherwise(F.array().cast("array<string>"))
+        return F.when(line.rlike(_NAME), once(parts, lambda within: in_line(line, within))).otherwise(F.array().cast("array<string>"))
 
     def in_line(line, within):
         def read(shown):
@@ -59,11 +66,12 @@ def people(text: Column) -> Column:
             said = lambda part: part["low"].contains(name) & F.regexp_like(part["text"], context_shape(name, shown))
             return F.when(fits & ((p["at"] > 0) | F.exists(within, said)), name)
 
-        return F.transform(F.regexp_extract_all(line, F.lit(NAME), F.lit(1)), read)
+        return F.transform(F.regexp_extract_all(line, F.lit(_NAME), F.lit(1)), read)
 
-    lines = F.split(F.translate(known(text), "　", " "), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")
+    spaced = once(known(text), lambda x: F.when(x.contains("　"), F.translate(x, "　", " ")).otherwise(x))
+    lines = F.split(spaced, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")
     found = F.array_compact(F.flatten(F.transform(lines, named)))
-    spelled = once(folded(normalized(text)), lambda x: F.array_compact(F.array(*[F.when(x.rlike(bounded_shape(s)), F.lit(p)) for s, p in SPELLINGS.items()])))
+    spelled = once(low, lambda x: F.array_compact(F.array(*[F.when(x.contains(s) & x.rlike(bounded_shape(s)), F.lit(p)) for s, p in SPELLINGS.items()])))
 
     def both(f):
         return F.struct(
@@ -83,4 +91,9 @@ def shared(a: Column, text_a: Column, b: Column, text_b: Column) -> Column:
 
 def mentioned(text: Column) -> Column:
     """The known people whose name stands in a text as a phrase, whatever its case, sorted."""
-    return once(folded(text), lambda x: F.array_compact(F.array(*[F.when(x.contains(name) & x.rlike(bounded_shape(name)), F.lit(name)) for name in sorted(KNOWN)])))
+    return once(folded(text), mentioned_in)
+
+
+def mentioned_in(low: Column) -> Column:
+    """`mentioned` of a folded text."""
+    return F.array_compact(F.array(*[F.when(low.contains(name) & low.rlike(bounded_shape(name)), F.lit(name)) for name in sorted(KNOWN)]))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import anchors
-from ..functions.people import mentioned, people
-from ..functions.text import folded
+from ..functions.people import mentioned_in, people_in
+from ..functions.text import folded, folded_plain, normalized, once
 from ..functions.times import seconds
 from ..functions.urls import relation_url, status_id
 from .lineage import settled
@@ -19,13 +19,19 @@ FEATURES = ("url", "status", "thread", "item", "at", "title", "actions", "assert
 
 def documents(rows: DataFrame) -> DataFrame:
     """id and the features of each row: what its title and whole evidence name, and what its title asserts."""
-    text = F.concat_ws("\n", "title", "evidence")
+
+    def named(text, plain, low):
+        found = {"people": people_in(text, low), "mentioned": mentioned_in(low), "actions": anchors.actions_in(low), "models": anchors.models_in(plain), "organizations": anchors.organizations_in(low), "qualifiers": anchors.qualifiers_in(low)}
+        return F.struct(*[c.alias(f) for f, c in found.items()])
+
+    # Whole texts are normalized and folded once, for all that is looked for in them. No column is named inside: there, title would be the folded one.
+    told = once(F.concat_ws("\n", "title", "evidence"), lambda text: once(normalized(text), lambda plain: once(folded_plain(plain), lambda low: named(text, plain, low))))
     made = rows.select(
         "id", relation_url(F.col("url")).alias("url"), status_id(F.col("url")).alias("status"), F.coalesce("thread_id", F.lit("")).alias("thread"), F.coalesce("item_id", F.lit("")).alias("item"), seconds(F.col("published_at")).alias("at"),
-        folded(F.col("title")).alias("title"), anchors.actions(text).alias("actions"), anchors.asserted_actions(F.col("title")).alias("asserted"), people(text).alias("_p"), mentioned(text).alias("mentioned"),
-        anchors.models(text).alias("models"), anchors.organizations(text).alias("organizations"), anchors.qualifiers(text).alias("qualifiers"),
+        folded(F.col("title")).alias("title"), anchors.asserted_actions(F.col("title")).alias("asserted"), told.alias("_t"),
     )
-    return settled(made).select("*", F.col("_p.people").alias("people"), F.col("_p.candidates").alias("candidates")).drop("_p")
+    names = ("actions", "mentioned", "models", "organizations", "qualifiers")
+    return settled(made).select("*", *[F.col(f"_t.{f}").alias(f) for f in names], *[F.col(f"_t.people.{f}").alias(f) for f in ("people", "candidates")]).drop("_t")
 
 
 def relationship(a: dict[str, Column], b: dict[str, Column], window_hours: float = 48.0) -> Column:

@@ -180,12 +180,13 @@ RELATED_HOURS = 6.0
 
 
 def related_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headlines as eight reports an hour: posts of a hundred ids make a thread."""
+    """Headlines as eight reports an hour: posts of a hundred ids make a thread. Beyond 2^31 hours, the most that an interval counts, the hours begin anew."""
     n = F.col("doc_id")
+    hours = (F.floor(n / 8) % 2**31).cast("int")
     said = F.concat(_pick(PHRASES, n % len(PHRASES)), F.lit("\n"), "evidence")
     return headlines(spark, sf_dir).select(
         n.alias("id"), "title", said.alias("evidence"), F.when(n % 3 == 0, F.concat("url", F.lit("#"), n.cast("string"))).otherwise(F.concat(F.lit("https://x.com/u/status/"), n.cast("string"))).alias("url"),
-        F.when(F.col("channel") == "x", F.floor(n / 100).cast("string")).alias("thread_id"), n.cast("string").alias("item_id"), (now() - F.make_dt_interval(hours=F.floor(n / 8).cast("int"))).alias("published_at"),
+        F.when(F.col("channel") == "x", F.floor(n / 100).cast("string")).alias("thread_id"), n.cast("string").alias("item_id"), (now() - F.make_dt_interval(hours=hours)).alias("published_at"),
     )
 
 
