@@ -70,6 +70,8 @@ QUALIFIERS = {
     "year": r"\b((?:19|20)\d{2})\b",
     "duration": r"\b(\d+(?:[.,]\d+)?\s*(?:years?|months?|days?|hours?))\b",
 }
+#: What a text holds if it holds a qualifier of the kind, which is found out faster.
+_QUALIFIED = {"amount": ("$", "usd"), "percent": ("%",), "year": ("19", "20"), "duration": ("year", "month", "day", "hour")}
 #: Words without weight in an event's key, and in the tokens of a report.
 KEY_STOPWORDS = ("a", "an", "the", "to", "for", "of", "and", "with", "its", "new", "begin", "begins", "makes", "make", "selected")
 TEXT_STOPWORDS = ("a", "an", "and", "for", "from", "in", "is", "new", "of", "on", "the", "to", "with")
@@ -122,11 +124,11 @@ def organizations_in(low: Column) -> Column:
 
 def models(text: Column, families: tuple[str, ...] = FAMILIES, variants: tuple[str, ...] = VARIANTS) -> Column:
     """Names of models with a version, and the variant that follows: gpt-4o-mini, claude-4.5-sonnet. Sorted."""
-    return models_in(normalized(text), families, variants)
+    return once(normalized(text), lambda plain: models_in(plain, F.lower(plain), families, variants))
 
 
-def models_in(plain: Column, families: tuple[str, ...] = FAMILIES, variants: tuple[str, ...] = VARIANTS) -> Column:
-    """`models` of a normalized text."""
+def models_in(plain: Column, low: Column, families: tuple[str, ...] = FAMILIES, variants: tuple[str, ...] = VARIANTS) -> Column:
+    """`models` of a normalized text that is also there in lower case, or folded."""
     suffix = "|".join(sorted(variants, key=lambda v: (-len(v), v)))
     shape = rf"(?iU)\b((?:{'|'.join(families)})[- ]?[a-z]*\d[\w.+-]*)(?:\s*(?:\(\s*)?({suffix})\b(?:\s*\))?)?"
     hyphened = F.regexp_replace(plain, "[\u2010-\u2015\u2212]", "-")
@@ -136,7 +138,7 @@ def models_in(plain: Column, families: tuple[str, ...] = FAMILIES, variants: tup
     # A version needs a digit and a family, which most texts are soon found to lack.
     found = lambda x: F.array_sort(F.array_distinct(F.zip_with(part(x, 1), part(x, 2), named)))
     none = F.array().cast("array<string>")
-    return once(hyphened, lambda x: F.when(x.rlike(r"(?U)\d") & once(F.lower(x), lambda low: contains_any(low, (*families, "ſ"))), found(x)).otherwise(none))
+    return F.when(plain.rlike(r"(?U)\d") & contains_any(low, (*families, "ſ")), once(hyphened, found)).otherwise(none)
 
 
 def people(text: Column, names: tuple[str, ...]) -> Column:
@@ -160,8 +162,8 @@ def qualifiers(text: Column) -> Column:
 
 def qualifiers_in(low: Column) -> Column:
     """`qualifiers` of a folded text."""
-    found = lambda x: [F.transform(F.regexp_extract_all(x, F.lit(shape), F.lit(1)), _marked(kind)) for kind, shape in QUALIFIERS.items()]
     none = F.array().cast("array<string>")
+    found = lambda x: [F.when(contains_any(x, _QUALIFIED[kind]), F.transform(F.regexp_extract_all(x, F.lit(shape), F.lit(1)), _marked(kind))).otherwise(none) for kind, shape in QUALIFIERS.items()]
     return F.when(low.rlike("[0-9]"), F.array_sort(F.array_distinct(F.concat(*found(low))))).otherwise(none)
 
 

@@ -21,7 +21,7 @@ def documents(rows: DataFrame) -> DataFrame:
     """id and the features of each row: what its title and whole evidence name, and what its title asserts."""
 
     def named(text, plain, low):
-        found = {"people": people_in(text, low), "mentioned": mentioned_in(low), "actions": anchors.actions_in(low), "models": anchors.models_in(plain), "organizations": anchors.organizations_in(low), "qualifiers": anchors.qualifiers_in(low)}
+        found = {"people": people_in(text, low), "mentioned": mentioned_in(low), "actions": anchors.actions_in(low), "models": anchors.models_in(plain, low), "organizations": anchors.organizations_in(low), "qualifiers": anchors.qualifiers_in(low)}
         return F.struct(*[c.alias(f) for f, c in found.items()])
 
     # Whole texts are normalized and folded once, for all that is looked for in them. No column is named inside: there, title would be the folded one.
@@ -107,9 +107,12 @@ def related_counts(docs: DataFrame, window_hours: float = 48.0) -> DataFrame:
     both = pairs.select(F.col("a").alias("id"), "relation").unionByName(pairs.select(F.col("b").alias("id"), "relation"))
     counts = both.groupBy("id").agg(F.count_if(F.col("relation") == "same_event").alias("same_events"), F.count_if(F.col("relation") == "review").alias("reviews"))
     named = docs.select("id", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("url", "status")])
-    told = named.join(counts, "id", "left")
+    # What has no url or no status id meets nothing; by its id, so that not all of it goes to one task.
+    alone = F.concat(F.lit(" "), F.col("id").cast("string"))
+    told = named.join(counts, "id", "left").select("*", *[F.coalesce(c, alone).alias(f"_{c}") for c in ("url", "status")])
     for name, keys in (("_urls", ["url"]), ("_statuses", ["status"]), ("_both", ["url", "status"])):
-        told = told.join(named.dropna(subset=keys).groupBy(*keys).agg((F.count("*") - 1).alias(name)), keys, "left")
+        groups = named.dropna(subset=keys).groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg((F.count("*") - 1).alias(name))
+        told = told.join(groups, [f"_{c}" for c in keys], "left")
     known = lambda c: F.coalesce(c, F.lit(0))
     same = known("same_events") + known("_urls") + known("_statuses") - known("_both")
     return told.select("id", same.cast("long").alias("same_events"), known("reviews").cast("long").alias("reviews"))
